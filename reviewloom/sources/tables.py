@@ -67,8 +67,8 @@ def write_csv(df: DataFrame, path: str) -> None:
     )
 
 
-def convert_csv(spark: SparkSession, path: str, schema: str, target: str) -> DataFrame:
-    read_csv(spark, path, schema).write.mode("overwrite").parquet(target)
+def convert_csv(spark: SparkSession, path: str, schema: str, target: str, corrupt: str | None = None) -> DataFrame:
+    read_csv(spark, path, schema, corrupt).write.mode("overwrite").parquet(target)
     return spark.read.parquet(target)
 
 

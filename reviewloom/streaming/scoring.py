@@ -73,3 +73,23 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "app
     q.awaitTermination()
     spark = stream.sparkSession
     return spark.read.schema(stream.schema).parquet(path)
+
+
+def keep_current(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Drain an aggregating stream; every batch writes the full result as a new version, the last is returned.
+
+    A batch that is retried rewrites its own version, so readers never see half a table.
+    """
+    written: list[str] = []
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        target = f"{path}/version-{batch_id}"
+        batch.write.mode("overwrite").parquet(target)
+        written.append(target)
+
+    q = (
+        stream.writeStream.outputMode("complete").foreachBatch(write)
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )
+    q.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(written[-1])
