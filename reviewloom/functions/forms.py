@@ -26,23 +26,21 @@ def _field(fields: Column, fragment: str) -> Column:
     return _first(fields, lambda f: F.lower(f["label"]).contains(fragment.lower()))
 
 
-def text_answer(fields: Column, fragment: str) -> Column:
-    return F.coalesce(_field(fields, fragment)["value"], F.lit(""))
+def _text_with_id(items: Column, wanted: Column) -> Column:
+    """Text of the first item with the id.  A position lookup evaluates ``wanted`` once, not per item."""
+    return F.get(items["text"], (F.array_position(items["id"], wanted) - 1).cast("int"))
 
 
-def dropdown_answer(fields: Column, fragment: str, default: str) -> Column:
-    f = _field(fields, fragment)
-    chosen = F.get(F.from_json(f["value"], "array<string>"), F.lit(0))
-    return F.coalesce(_first(f["options"], lambda o: o["id"] == chosen)["text"], F.lit(default))
+def dropdown_answer(field: Column, default: str) -> Column:
+    chosen = F.get(F.from_json(field["value"], "array<string>"), F.lit(0))
+    return F.coalesce(_text_with_id(field["options"], chosen), F.lit(default))
 
 
-def matrix_answer(fields: Column, fragment: str) -> Column:
+def matrix_answer(matrix: Column, answers: Column, fragment: str) -> Column:
     """Numeric column text chosen for a row; the default for anything missing, odd or zero."""
-    f = _first(fields, lambda x: x["type"] == "MATRIX")
-    row = _first(f["rows"], lambda r: F.lower(r["text"]).contains(fragment.lower()))
-    answers = F.from_json(f["value"], "map<string,array<string>>")
+    row = _first(matrix["rows"], lambda r: F.lower(r["text"]).contains(fragment.lower()))
     chosen = F.get(F.try_element_at(answers, row["id"]), F.lit(0))
-    text = _first(f["columns"], lambda c: c["id"] == chosen)["text"]
+    text = _text_with_id(matrix["columns"], chosen)
     number = F.regexp_extract(text, r"^\s*([+-]?(?:\d+\.?\d*|\.\d+))", 1).try_cast("double")
     return F.coalesce(F.nullif(number, F.lit(0.0)), F.lit(DEFAULT_RATING))
 
@@ -52,22 +50,30 @@ def parse_forms(
 ) -> DataFrame:
     """One row per event with the review attributes; unreadable JSON yields the defaults.
 
-    ``now`` stands in for a missing creation time.
+    ``now`` stands in for a missing creation time.  Each level is its own
+    projection, so the payload and the answer map are parsed once per event.
     """
     if now is None:
         now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    data = F.from_json(json_column, FORM_SCHEMA)["body"]["data"]
-    parsed = df.select(
-        *keep,
-        F.coalesce(data["fields"], F.array().cast(FIELDS)).alias("_fields"),
-        F.coalesce(data["createdAt"], now).alias("submitted_at"),
+    parsed = df.select(*keep, F.from_json(json_column, FORM_SCHEMA).alias("_form"), now.alias("_now"))
+    data = F.col("_form.body.data")
+    parsed = parsed.select(
+        *keep, F.coalesce(data["createdAt"], F.col("_now")).alias("submitted_at"),
+        data["fields"].alias("_fields"),
     )
     f = F.col("_fields")
-    return parsed.select(
+    found = parsed.select(
+        *keep, "submitted_at",
+        *[_field(f, frag)["value"].alias(n) for n, frag in FORM_TEXT_LABELS.items()],
+        *[_field(f, n).alias(f"_{n}") for n in FORM_DEFAULTS],
+        _first(f, lambda x: x["type"] == "MATRIX").alias("_matrix"),
+    )
+    found = found.withColumn("_answers", F.from_json(F.col("_matrix")["value"], "map<string,array<string>>"))
+    return found.select(
         *keep,
-        *[text_answer(f, frag).alias(n) for n, frag in FORM_TEXT_LABELS.items()],
-        *[dropdown_answer(f, n, d).alias(n) for n, d in FORM_DEFAULTS.items()],
-        *[matrix_answer(f, frag).alias(n) for n, frag in FORM_MATRIX_LABELS.items()],
+        *[F.coalesce(n, F.lit("")).alias(n) for n in FORM_TEXT_LABELS],
+        *[dropdown_answer(F.col(f"_{n}"), d).alias(n) for n, d in FORM_DEFAULTS.items()],
+        *[matrix_answer(F.col("_matrix"), F.col("_answers"), frag).alias(n) for n, frag in FORM_MATRIX_LABELS.items()],
         F.substring_index("submitted_at", "T", 1).alias("submission_date"),
         "submitted_at",
     )

@@ -13,9 +13,15 @@ WS = (
     r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 )
 
+WS_CHARS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
+    "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
 
 def strip_ws(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
+    """Trim by character list: looks at the ends only, where a regex would scan the text."""
+    return F.trim(c, F.lit(WS_CHARS))
 
 
 def norm_text(c: Column) -> Column:
@@ -40,26 +46,26 @@ def letter_words(c: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}]+"), lambda t: t != "")
 
 
-def keyword_tokens(c: Column, stopwords: list[str]) -> Column:
-    """ASCII words of four letters or more that are not stop words."""
-    tokens = F.split(F.lower(F.coalesce(c, F.lit(""))), "[^a-z]+")
-    keep = F.filter(tokens, lambda t: F.length(t) > 3)
-    if not stopwords:
-        return keep
-    return F.filter(keep, lambda t: ~t.isin(*stopwords))
+def raw_keywords(c: Column) -> Column:
+    """Lower-cased runs of ASCII letters, before length and stop-word filters."""
+    return F.split(F.lower(F.coalesce(c, F.lit(""))), "[^a-z]+")
+
+
+def is_keyword(word: Column, stopwords: list[str]) -> Column:
+    """Four letters or more and no stop word."""
+    keep = F.length(word) > 3
+    return keep & ~word.isin(*stopwords) if stopwords else keep
 
 
 def review_id(pros: Column, cons: Column, company: Column, date: Column) -> Column:
-    """First 12 hex digits of SHA-1 over the normalised fields."""
-    raw = F.concat_ws("|", *[norm_text(c) for c in (pros, cons, company, date)])
-    return F.substring(F.sha1(raw), 1, 12)
+    """First 12 hex digits of SHA-1 over fields that :func:`norm_text` has normalised."""
+    return F.substring(F.sha1(F.concat_ws("|", pros, cons, company, date)), 1, 12)
 
 
 def content_key(pros: Column, cons: Column, min_length: int = MIN_KEY_LENGTH) -> Column:
-    """SHA-1 of the normalised texts, or '' when together they are too short."""
-    p, c = norm_text(pros), norm_text(cons)
-    return F.when(F.length(p) + F.length(c) < min_length, F.lit("")).otherwise(
-        F.sha1(F.concat_ws("|", p, c))
+    """SHA-1 of two normalised texts, or '' when together they are too short."""
+    return F.when(F.length(pros) + F.length(cons) < min_length, F.lit("")).otherwise(
+        F.sha1(F.concat_ws("|", pros, cons))
     )
 
 

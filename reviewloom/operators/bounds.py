@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Row, functions as F
 
 from ..session import written
@@ -35,14 +36,19 @@ def distinct_values(df: DataFrame, column: str, limit: int = MAX_COLUMNS_FROM_DA
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:
-    """Compute a derived lookup table once and make its size known to the optimiser.
+    """Compute a derived table once and make its size known to the optimiser.
 
     Aggregates carry no useful size estimate, so joining one back would shuffle
     the large side first.  Up to ``SETTLED_ROWS`` rows and ``SETTLED_BYTES`` the
     table becomes a local relation with a broadcast hint; beyond that it is
-    written to the shared folder and joined as an ordinary table.
+    written to the shared folder and joined as an ordinary table.  The cached
+    copy only spans the check, so nothing is computed twice.
     """
-    probe = df.limit(SETTLED_ROWS + 1).toArrow()
-    if probe.num_rows <= SETTLED_ROWS and probe.nbytes <= SETTLED_BYTES:
-        return F.broadcast(df.sparkSession.createDataFrame(probe, schema=df.schema))
-    return written(df, name)
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        probe = kept.limit(SETTLED_ROWS + 1).toArrow()
+        if probe.num_rows <= SETTLED_ROWS and probe.nbytes <= SETTLED_BYTES:
+            return F.broadcast(df.sparkSession.createDataFrame(probe, schema=df.schema))
+        return written(kept, name)
+    finally:
+        kept.unpersist()

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.strings import content_key, norm_text, review_id
 from .align import quoted
 
 
@@ -23,6 +24,17 @@ def keep_first(df: DataFrame, key: Column | str, order: list[str]) -> DataFrame:
     )
 
 
+def add_keys(df: DataFrame, pros: Column, cons: Column, company: Column, date: Column) -> DataFrame:
+    """``review_id`` and ``content_key`` columns; each field is normalised once, in its own projection."""
+    fields = {"_pros": pros, "_cons": cons, "_company": company, "_date": date}
+    normal = df.select("*", *[norm_text(c).alias(n) for n, c in fields.items()])
+    p, c = F.col("_pros"), F.col("_cons")
+    return normal.select(
+        *[quoted(x) for x in df.columns],
+        review_id(p, c, F.col("_company"), F.col("_date")).alias("review_id"), content_key(p, c).alias("content_key"),
+    )
+
+
 def merge_sources(first: DataFrame, second: DataFrame, key: str, order: list[str]) -> DataFrame:
     """Union in which the first source wins.
 
@@ -56,19 +68,17 @@ def new_keys_only(df: DataFrame, seen: DataFrame, key: str) -> DataFrame:
     return df.join(known, key, "left_anti")
 
 
-def key_overlap(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
-    """Distinct keys per side, shared keys and the duplicate rate, from one aggregation."""
-    sides = a.select(key, F.lit(1).alias("in_a"), F.lit(0).alias("in_b")).unionByName(
-        b.select(key, F.lit(0).alias("in_a"), F.lit(1).alias("in_b"))
+def key_overlap(df: DataFrame, key: str, in_b: Column) -> DataFrame:
+    """Distinct keys per side, shared keys and the duplicate rate, from one scan and one aggregation."""
+    per_key = df.groupBy(key).agg(
+        F.max(F.when(in_b, 0).otherwise(1)).alias("in_a"), F.max(F.when(in_b, 1).otherwise(0)).alias("in_b")
     )
-    per_key = sides.groupBy(key).agg(F.max("in_a").alias("in_a"), F.max("in_b").alias("in_b"))
     return per_key.agg(
         F.coalesce(F.sum("in_a"), F.lit(0)).alias("keys_a"),
         F.coalesce(F.sum("in_b"), F.lit(0)).alias("keys_b"),
         F.count_if((F.col("in_a") == 1) & (F.col("in_b") == 1)).alias("keys_shared"),
     ).withColumn(
-        "duplicate_percent",
-        F.col("keys_shared") * 100.0 / F.greatest(F.col("keys_a"), F.lit(1)),
+        "duplicate_percent", F.col("keys_shared") * 100.0 / F.greatest(F.col("keys_a"), F.lit(1)),
     )
 
 

@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.fixed_values import RATING_MAX, RATING_MIN
 from ..functions.maths import blend, clip, confidence, satisfaction_label
+from .bounds import settle
 
 EPSILON = 2.0 ** -52
+RANK_RANGES = 128
 
 
 def join_predictions(real: DataFrame, predicted: DataFrame, key: str, how: str = "inner") -> DataFrame:
@@ -70,17 +72,29 @@ def best_per_group(df: DataFrame, by: list[str], metric: str, carry: list[str],
 
 
 def rank_within(df: DataFrame, by: list[str], score: str, name: str = "rank") -> DataFrame:
-    """Rank by descending score; ties share the smallest rank.
+    """Rank by descending score; ties share the smallest rank, a null score has none.
 
-    The rank of a score is one plus the rows above it, and those are summed over
-    counts per distinct score, so the window sees scores and not rows.
+    The rank of a score is one plus the rows above it.  Rows are first counted
+    per distinct score, and the scores of a group are cut into ranges whose
+    totals give each range its start, so no task sorts a whole group.
     """
-    counts = df.groupBy(*by, score).agg(F.count("*").alias("_n"))
-    above = F.sum("_n").over(
-        Window.partitionBy(*by).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, -1)
+    counts = settle(
+        df.where(F.col(score).isNotNull()).groupBy(*by, score).agg(F.count("*").alias("_n")), "score-counts"
     )
-    ranks = counts.select(*by, score, (F.coalesce(above, F.lit(0)) + 1).cast("long").alias(name))
-    return df.join(ranks, [*by, score])
+    cuts = settle(counts.groupBy(*by).agg(
+        F.percentile_approx(score, [i / RANK_RANGES for i in range(1, RANK_RANGES)], 1000).alias("_cuts")
+    ), "score-cuts")
+    ranges = counts.join(cuts, by).withColumn(
+        "_range", F.size(F.filter("_cuts", lambda c: c > F.col(score)))
+    ).drop("_cuts")
+    totals = ranges.groupBy(*by, "_range").agg(F.sum("_n").alias("_total"))
+    earlier = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select(*by, "_range", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_start"))
+    above = Window.partitionBy(*by, "_range").orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, -1)
+    ranks = ranges.join(settle(starts, "rank-starts"), [*by, "_range"]).select(
+        *by, score, (F.col("_start") + F.coalesce(F.sum("_n").over(above), F.lit(0)) + 1).cast("long").alias(name)
+    )
+    return df.join(ranks, [*by, score], "left")
 
 
 def fold_error_profile(df: DataFrame, fold: str, by: list[str], y: str, p: str) -> DataFrame:

@@ -79,12 +79,11 @@ def rows_with_any_nonzero(df: DataFrame, columns: list[str]) -> DataFrame:
 def value_shares(df: DataFrame, split: str, column: str) -> DataFrame:
     """Relative frequency per split plus all rows ('all'); nulls count in the denominator only."""
     counts = df.groupBy(split, column).agg(F.count("*").alias("n"))
-    both = counts.select(F.explode(F.array(F.lit("all"), F.col(split))).alias(split), column, "n")
+    both = by_split_and_all(counts, split).groupBy(split, column).agg(F.sum("n").alias("n"))
+    both = settle(both, "value-counts")
     totals = both.groupBy(split).agg(F.sum("n").alias("total"))
-    return (
-        both.where(F.col(column).isNotNull()).groupBy(split, column).agg(F.sum("n").alias("n"))
-        .join(settle(totals, "share-totals"), split)
-        .select(split, column, "n", (F.col("n") / F.col("total")).alias("share"))
+    return both.where(F.col(column).isNotNull()).join(totals, split).select(
+        split, column, "n", (F.col("n") / F.col("total")).alias("share")
     )
 
 
@@ -108,10 +107,10 @@ def by_split_and_all(df: DataFrame, split: str) -> DataFrame:
     return df.withColumn(split, F.explode(F.array(F.lit("all"), F.col(split))))
 
 
-def iqr_report(df: DataFrame, split: str, columns: list[str], rounds: int = 1) -> DataFrame:
+def iqr_report(df: DataFrame, split: str, columns: list[str]) -> DataFrame:
     """Quartiles and interquartile range per split and column."""
     long = melt(df, [split], columns)
-    q = exact_quantiles(long, [split, "variable"], "value", {"q25": 0.25, "q75": 0.75}, rounds)
+    q = exact_quantiles(long, [split, "variable"], "value", {"q25": 0.25, "q75": 0.75})
     return q.withColumn("iqr", F.col("q75") - F.col("q25"))
 
 
@@ -146,18 +145,22 @@ def split_consistency(
         long = df.select(split, F.inline(F.array(*[
             F.struct(F.lit(c).alias("variable"), quoted(c).cast("string").alias("category")) for c in categorical
         ])))
-        n = df.groupBy(split).agg(F.count("*").alias("n"))
-        sizes = settle(by_split_and_all(n, split).groupBy(split).agg(F.sum("n").alias("total")), "split-sizes")
-        counts = by_split_and_all(
-            long.where("category is not null").groupBy(split, "variable", "category").agg(F.count("*").alias("n")),
-            split,
-        ).groupBy(split, "variable", "category").agg(F.sum("n").alias("n"))
+        # One count table, nulls included, from which totals and known values follow.
+        counts = settle(
+            by_split_and_all(
+                long.groupBy(split, "variable", "category").agg(F.count("*").alias("n")), split
+            ).groupBy(split, "variable", "category").agg(F.sum("n").alias("n")),
+            "category-counts",
+        )
+        sizes = counts.groupBy(split, "variable").agg(F.sum("n").alias("total"))
         # The skip rule looks at shares among non-null values, the comparison at shares of all rows.
-        known = settle(
-            counts.where(F.col(split) == "all").groupBy("variable").agg(F.sum("n").alias("known")), "known-values"
+        known = counts.where((F.col(split) == "all") & F.col("category").isNotNull()).groupBy("variable").agg(
+            F.sum("n").alias("known"))
+        shares = (
+            counts.where("category is not null").join(sizes, [split, "variable"]).join(known, "variable")
+            .withColumn("share", F.col("n") / F.col("total"))
         )
-        shares = counts.join(sizes, split).join(known, "variable").withColumn("share", F.col("n") / F.col("total"))
-        n_splits = sizes.count()
+        n_splits = sizes.select(split).distinct().count()
         per_category = shares.groupBy("variable", "category").agg(
             F.max(F.when(F.col(split) == "all", F.col("n") / F.col("known"))).alias("overall"),
             F.when(F.count("*") < n_splits, F.lit(0.0)).otherwise(F.min("share")).alias("low"),
@@ -176,7 +179,7 @@ def split_consistency(
 
 
 def outlier_limits(
-    train: DataFrame, columns: list[str], multiplier: float = OUTLIER_MULTIPLIER, rounds: int = 1
+    train: DataFrame, columns: list[str], multiplier: float = OUTLIER_MULTIPLIER
 ) -> DataFrame:
     """Limits per column: q75 of distinct values minus q25 of non-zero values, times the multiplier.
 
@@ -189,7 +192,7 @@ def outlier_limits(
         .unionByName(long.where("value <> 0").select(F.lit("nonzero").alias("part"), "variable", "value"))
         .unionByName(long.select(F.lit("rows").alias("part"), "variable", "value"))
     )
-    q = exact_quantiles(labelled, ["part", "variable"], "value", {"q25": 0.25, "q75": 0.75}, rounds)
+    q = exact_quantiles(labelled, ["part", "variable"], "value", {"q25": 0.25, "q75": 0.75})
     pick = lambda part, name: F.max(F.when(F.col("part") == part, F.col(name)))
     iqr = pick("distinct", "q75") - pick("nonzero", "q25")
     return q.groupBy("variable").agg(

@@ -1,9 +1,9 @@
 """Text features from dictionary tables, and keyword tables.
 
-A dictionary that passes the size check is inlined as hash-set membership
-inside one projection, so a document never leaves its task.  A larger one is
-joined on the token, after which the hits of a document are summed again.
-Both give the same columns.
+Tokens are exploded, looked up in the dictionary and summed per document.  The
+tokens of a document lie in one task, so the sums combine there and only one row
+per document is shuffled.  A dictionary that passes the size check is broadcast;
+a larger one is an ordinary skew-safe join.  One scan of the texts in either case.
 """
 
 from __future__ import annotations
@@ -11,9 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.fixed_values import LABEL_ALL
-from ..functions.strings import keyword_tokens, letter_words, word_count, words
+from ..functions.strings import is_keyword, letter_words, raw_keywords, word_count, words
 from .align import quoted
-from .bounds import distinct_values, rows_if_small
+from .bounds import distinct_values, settle
 
 
 def add_lengths(df: DataFrame, fields: list[str]) -> DataFrame:
@@ -25,23 +25,6 @@ def add_lengths(df: DataFrame, fields: list[str]) -> DataFrame:
     return df.withColumns(out)
 
 
-def _grouped_dictionary(dictionary: DataFrame, token: str, group: str) -> dict[str, list] | None:
-    rows = rows_if_small(dictionary.select(F.col(token).alias("t"), F.col(group).alias("g")).distinct())
-    if rows is None:
-        return None
-    out: dict[str, list] = {}
-    for r in rows:
-        if r["t"] is not None and r["g"] is not None:
-            out.setdefault(r["g"], []).append(r["t"])
-    return {g: sorted(ts) for g, ts in out.items()}
-
-
-def _hits(tokens: Column, entries: list) -> Column:
-    if not entries:
-        return F.lit(0)
-    return F.size(F.filter(tokens, lambda t: t.isin(*entries)))
-
-
 def category_counts(
     df: DataFrame, key: str, text: str, dictionary: DataFrame, token: str, category: str,
     categories: list[str], tokens=letter_words,
@@ -50,20 +33,14 @@ def category_counts(
 
     A token in several categories counts once in each.  ``key`` is unique.
     """
-    tokenised = df.select(key, tokens(quoted(text)).alias("_tokens"))
-    inlined = _grouped_dictionary(dictionary, token, category)
-    if inlined is not None:
-        return tokenised.select(
-            key, F.size("_tokens").alias("n_tokens"),
-            *[_hits(F.col("_tokens"), inlined.get(c, [])).alias(f"n_{c}") for c in categories],
-        )
-    entries = dictionary.select(F.col(token).alias("_t"), F.col(category).alias("_c")).distinct()
-    per_token = tokenised.select(key, F.explode("_tokens").alias("_t")).join(entries, "_t")
-    hits = per_token.groupBy(key).agg(*[
-        F.count_if(F.col("_c") == c).alias(f"n_{c}") for c in categories
-    ])
-    return tokenised.select(key, F.size("_tokens").alias("n_tokens")).join(hits, key, "left").select(
-        key, "n_tokens", *[F.coalesce(quoted(f"n_{c}"), F.lit(0)).alias(f"n_{c}") for c in categories]
+    flags = [F.max((F.col(category) == c).cast("int")).alias(f"_f{i}") for i, c in enumerate(categories)]
+    entries = settle(
+        dictionary.where(F.col(token).isNotNull()).groupBy(F.col(token).alias("_t")).agg(*flags), "dictionary"
+    )
+    per_token = df.select(key, F.explode_outer(tokens(quoted(text))).alias("_t")).join(entries, "_t", "left")
+    return per_token.groupBy(key).agg(
+        F.count("_t").alias("n_tokens"),
+        *[F.coalesce(F.sum(f"_f{i}"), F.lit(0)).alias(f"n_{c}") for i, c in enumerate(categories)],
     )
 
 
@@ -106,30 +83,19 @@ def valence_compound(
 
     Negation, booster and punctuation rules of the published method are not applied.
     """
-    entries = valences.select(F.col(token).alias("t"), F.col(valence).cast("double").alias("v")).distinct()
-    tokenised = df.select(key, letter_words(quoted(text)).alias("_tokens"))
-    rows = rows_if_small(entries)
-    if rows is not None:
-        by_value: dict[float, list] = {}
-        for r in rows:
-            by_value.setdefault(r["v"], []).append(r["t"])
-        score = F.lit(0.0)
-        for v, ts in sorted(by_value.items()):
-            score = score + F.lit(v) * _hits(F.col("_tokens"), sorted(ts))
-        scored = tokenised.select(key, score.alias("_s"))
-    else:
-        hits = (
-            tokenised.select(key, F.explode("_tokens").alias("t")).join(entries, "t")
-            .groupBy(key).agg(F.sum("v").alias("_s"))
-        )
-        scored = tokenised.select(key).join(hits, key, "left").select(key, F.coalesce("_s", F.lit(0.0)).alias("_s"))
+    entries = settle(
+        valences.groupBy(F.col(token).alias("_t")).agg(F.sum(F.col(valence).cast("double")).alias("_v")), "valences"
+    )
+    per_token = df.select(key, F.explode_outer(letter_words(quoted(text))).alias("_t")).join(entries, "_t", "left")
+    scored = per_token.groupBy(key).agg(F.coalesce(F.sum("_v"), F.lit(0.0)).alias("_s"))
     return scored.select(key, (F.col("_s") / F.sqrt(F.col("_s") * F.col("_s") + 15.0)).alias(name))
 
 
 def word_frequencies(df: DataFrame, text: str, stopwords: list[str], by: tuple[str, ...] = ()) -> DataFrame:
     """Keyword counts, overall or per group."""
     return (
-        df.select(*by, F.explode(keyword_tokens(quoted(text), stopwords)).alias("word"))
+        df.select(*by, F.explode(raw_keywords(quoted(text))).alias("word"))
+        .where(is_keyword(F.col("word"), stopwords))
         .groupBy(*by, "word").agg(F.count("*").alias("frequency"))
     )
 

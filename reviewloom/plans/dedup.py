@@ -3,9 +3,9 @@
 from pyspark.sql import functions as F
 
 from . import query, sql_norm, table
-from ..functions.strings import content_key, review_id
-from ..operators.dedup import keep_first, key_overlap, merge_sources, new_keys_only, shared_keys, stage_counts
+from ..operators.dedup import add_keys, keep_first, key_overlap, merge_sources, new_keys_only, shared_keys, stage_counts
 from ..session import written
+from ..sources.tables import spread
 
 _KEYED = f"""
 d AS (SELECT doc_id, source, lang, n_chars, {sql_norm('text')} AS t FROM documents),
@@ -26,15 +26,19 @@ f AS (SELECT *, row_number() OVER (PARTITION BY review_id ORDER BY is_b, doc_id)
 
 def _keyed(spark, sf):
     """Keys are computed at the scan, so no text takes part in any shuffle."""
-    nothing = F.lit("")
-    return table(spark, sf, "documents").select(
-        "doc_id", "source", "lang", "n_chars",
-        review_id(F.col("text"), nothing, F.col("source"), nothing).alias("review_id"),
-        content_key(F.col("text"), nothing).alias("content_key"),
+    docs = spread(table(spark, sf, "documents"))
+    keyed = add_keys(docs, F.col("text"), F.lit(""), F.col("source"), F.lit(""))
+    return keyed.select(
+        "doc_id", "source", "lang", "n_chars", "review_id", "content_key",
         F.when(F.substring("source", 4, 10).cast("int") < 10, 0).otherwise(1).alias("is_b"),
     )
 
 
+def _keyed_once(spark, sf):
+    """The key table without texts, written once because several branches read it."""
+    return written(_keyed(spark, sf), "keyed")
+
+
 def _sides(keyed):
     return keyed.where("is_b = 0"), keyed.where("is_b = 1")
 
@@ -43,7 +47,7 @@ def _sides(keyed):
 SELECT source, count(*) AS n_reviews, round(avg(n_chars), 2) AS mean_chars
 FROM f WHERE rr = 1 GROUP BY source""")
 def review_merge_dedup(spark, sf):
-    a, b = _sides(_keyed(spark, sf))
+    a, b = _sides(_keyed_once(spark, sf))
     merged = merge_sources(a, b, "content_key", ["doc_id"])
     final = keep_first(merged, "review_id", ["is_b", "doc_id"])
     return (
@@ -65,15 +69,15 @@ SELECT CAST(sum(in_a) AS BIGINT) AS keys_a, CAST(sum(in_b) AS BIGINT) AS keys_b,
        round(count(*) FILTER (in_a = 1 AND in_b = 1) * 100.0 / greatest(sum(in_a), 1), 4)::DOUBLE AS duplicate_percent
 FROM p""")
 def source_overlap(spark, sf):
-    a, b = _sides(_keyed(spark, sf).where("content_key <> ''"))
-    return key_overlap(a, b, "content_key").withColumn("duplicate_percent", F.round("duplicate_percent", 4))
+    keyed = _keyed(spark, sf).where("content_key <> ''")
+    return key_overlap(keyed, "content_key", F.col("is_b") == 1).withColumn("duplicate_percent", F.round("duplicate_percent", 4))
 
 
 @query(f"""WITH {_KEYED}
 SELECT content_key FROM k WHERE is_b = 0 AND content_key <> ''
 INTERSECT SELECT content_key FROM k WHERE is_b = 1""")
 def shared_content_keys(spark, sf):
-    a, b = _sides(_keyed(spark, sf).where("content_key <> ''"))
+    a, b = _sides(_keyed_once(spark, sf).where("content_key <> ''"))
     return shared_keys(a, b, "content_key")
 
 
@@ -81,7 +85,7 @@ def shared_content_keys(spark, sf):
 SELECT doc_id, source FROM k WHERE is_b = 1 AND (content_key = '' OR content_key NOT IN (
     SELECT content_key FROM k WHERE is_b = 0 AND content_key <> ''))""")
 def new_in_second_source(spark, sf):
-    a, b = _sides(_keyed(spark, sf))
+    a, b = _sides(_keyed_once(spark, sf))
     return new_keys_only(b, a, "content_key").select("doc_id", "source")
 
 
@@ -90,7 +94,7 @@ SELECT 0 AS stage, 'read' AS name, count(*) AS n_rows FROM k
 UNION ALL SELECT 1, 'after_content', count(*) FROM m
 UNION ALL SELECT 2, 'after_id', count(*) FROM f WHERE rr = 1""")
 def removal_accounting(spark, sf):
-    keyed = written(_keyed(spark, sf), "keyed")
+    keyed = _keyed_once(spark, sf)
     merged = written(merge_sources(*_sides(keyed), "content_key", ["doc_id"]), "merged")
     final = keep_first(merged.select("doc_id", "is_b", "review_id"), "review_id", ["is_b", "doc_id"])
     return stage_counts({"read": keyed, "after_content": merged, "after_id": final})

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..sources.tables import spread
 from . import query, table
 from ..functions.forms import parse_forms
 from ..sources.pages import NON_CONTENT, extract_records, page_coverage as coverage
@@ -27,7 +28,7 @@ SELECT page_id, position, title, coalesce({_first('blk', LEAD[0])}, {_first('blk
        md5({_TEXT.format(c='blk')}) AS body FROM b""")
 def page_records(spark, sf):
     records = extract_records(
-        table(spark, sf, "pages"), "page_id", "html", BLOCK,
+        spread(table(spark, sf, "pages")), "page_id", "html", BLOCK,
         {"lead": LEAD, "body": [r"(?s)^(.*)$"]}, page_fields={"title": TITLE},
     )
     return records.select("page_id", "position", "title", "lead", F.md5("body").alias("body"))
@@ -36,7 +37,7 @@ def page_records(spark, sf):
 @query(r"""WITH u AS (SELECT regexp_extract(url, '^https?://([^/]+)/', 1) AS host, CAST(regexp_extract(url, '/(\d+)', 1) AS BIGINT) AS page FROM pages)
 SELECT host, count(DISTINCT page) AS n_pages, max(page) AS last_page FROM u GROUP BY host""")
 def page_coverage(spark, sf):
-    pages = table(spark, sf, "pages").select(
+    pages = spread(table(spark, sf, "pages")).select(
         F.regexp_extract("url", r"^https?://([^/]+)/", 1).alias("host"),
         F.regexp_extract("url", r"/(\d+)", 1).cast("bigint").alias("page"),
     )
@@ -82,7 +83,7 @@ def form_payload(e):
 FROM events""")
 def form_fields(spark, sf):
     """Payloads are built from the events; every 97th is cut short and must fall back to the defaults."""
-    e = table(spark, sf, "events")
+    e = spread(table(spark, sf, "events"))
     payload = form_payload(e)
     broken = F.when(F.col("event_id") % 97 == 0, F.substring(payload, 1, 9)).otherwise(payload)
     forms = parse_forms(e.select("event_id", broken.alias("payload")), "payload", ("event_id",), F.lit("2024-01-01T00:00:00Z"))

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..sources.tables import spread
 from . import query, sql_split, table
 from ..functions.dates import lenient_date
 from ..operators import profile as P
@@ -11,7 +12,7 @@ NUMERIC = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
 def _lines(spark, sf):
-    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_returnflag", "l_linestatus", *NUMERIC)
+    lines = spread(table(spark, sf, "lineitem")).select("l_orderkey", "l_returnflag", "l_linestatus", *NUMERIC)
     return hash_split(lines, "l_orderkey")
 
 
@@ -119,7 +120,7 @@ def outlier_report(spark, sf):
     f"SELECT '{a}' AS column_a, '{b}' AS column_b, count(*) AS n_rows, round(corr({a}, {b}), 6) AS correlation FROM lineitem"
     for i, a in enumerate(NUMERIC) for b in NUMERIC[i + 1:]))
 def corr_matrix(spark, sf):
-    out = P.correlation_matrix(table(spark, sf, "lineitem"), NUMERIC)
+    out = P.correlation_matrix(spread(table(spark, sf, "lineitem")), NUMERIC)
     return out.withColumn("correlation", F.round("correlation", 6))
 
 
@@ -127,7 +128,7 @@ def corr_matrix(spark, sf):
 b AS (SELECT least(CAST(floor((l_extendedprice - lo) / ((hi - lo) / 10)) AS INTEGER), 9) AS bin, lo, hi FROM lineitem, m)
 SELECT bin, round(any_value(lo) + bin * ((any_value(hi) - any_value(lo)) / 10), 4) AS bin_start, count(*) AS n_rows FROM b GROUP BY bin""")
 def histogram10(spark, sf):
-    return P.histogram(table(spark, sf, "lineitem"), "l_extendedprice").withColumn("bin_start", F.round("bin_start", 4))
+    return P.histogram(spread(table(spark, sf, "lineitem")), "l_extendedprice").withColumn("bin_start", F.round("bin_start", 4))
 
 
 @query("""WITH d AS (SELECT o_orderstatus, CASE WHEN o_custkey % 11 = 0 THEN 'soon' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS s FROM orders)
@@ -176,4 +177,4 @@ def quality_gates(spark, sf):
 
 @query("SELECT l_orderkey, l_linenumber, count(*) AS n_rows FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
 def duplicate_keys(spark, sf):
-    return P.duplicate_keys(table(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"])
+    return P.duplicate_keys(spread(table(spark, sf, "lineitem")), ["l_orderkey", "l_linenumber"])

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..sources.tables import spread
 from . import query, sql_norm, table
 from ..functions.fixed_values import CLINICAL_VOCABULARY, DOMAIN_STOPWORDS, EMOTIONS, LABEL_HIGH, LABEL_LOW
 from ..functions.maths import clip
@@ -36,7 +37,7 @@ n AS (SELECT doc_id, len({_D}) AS n_tokens FROM documents)"""
 
 
 def _docs(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", "text")
+    return spread(table(spark, sf, "documents")).select("doc_id", "text")
 
 
 _LEN = f"CASE WHEN {sql_norm('text')} = '' THEN 0 ELSE len(regexp_split_to_array({sql_norm('text')}, '{WS}+')) END"
@@ -68,7 +69,7 @@ SELECT * FROM r WHERE position <= 100""")
 def keyword_topn_by_class(spark, sf):
     labels = table(spark, sf, "labels").select("doc_id", "quality")
     named = F.when(F.col("quality") == 1, LABEL_HIGH).when(F.col("quality") == 0, LABEL_LOW)
-    docs = table(spark, sf, "documents").select("doc_id", "text", F.col("lang").alias("source"))
+    docs = spread(table(spark, sf, "documents")).select("doc_id", "text", F.col("lang").alias("source"))
     docs = docs.join(labels, "doc_id", "left").select("source", "text", named.alias("satisfaction"))
     return T.top_words_by_class(docs, "text", "source", "satisfaction", [LABEL_HIGH, LABEL_LOW], 100, DOMAIN_STOPWORDS)
 

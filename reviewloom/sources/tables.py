@@ -42,6 +42,16 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for costly row work on a small input.
+
+    A file with one row group is one task whatever its size.  An input with at
+    least as many partitions as cores, as any large table has, is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= 4 * cores else df.repartition(cores)
+
+
 def read_csv(spark: SparkSession, path: str | list[str], schema: str, corrupt: str | None = None) -> DataFrame:
     """CSV with a header and an explicit schema, from any URI Spark can read.
 

@@ -18,7 +18,8 @@ TABLES = (
 def session(cpus: int = 8) -> SparkSession:
     spark = (
         SparkSession.builder.master(f"local[{cpus}]").appName("reviewloom")
-        .config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", str(cpus))
+        .config("spark.ui.enabled", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false").config("spark.sql.shuffle.partitions", str(cpus))
         .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "12g")
         .getOrCreate()
     )
