@@ -38,15 +38,20 @@ def fit_target_encoder(train: DataFrame, column: str, target: str) -> tuple[Data
     Null categories and null targets are left out of the groups.  Training rows
     see their own target, as in the pipeline this follows.
     """
-    pairs = train.select(F.col(column), F.col(target).cast("double").alias("_y")).where("_y is not null")
-    present = pairs.where(F.col(column).isNotNull())
-    means = present.groupBy(column).agg(F.avg("_y").alias(f"{column}_targenc_mean"))
-    medians = exact_quantiles(present, [column], "_y", {f"{column}_targenc_median": 0.5})
-    stats = settle(means.join(medians, column), "target-encoding")
-    everything = pairs.select(F.lit("all").alias("_all"), "_y")
-    overall = exact_quantiles(everything, ["_all"], "_y", {"median": 0.5}).first()
-    mean = pairs.agg(F.avg("_y")).first()[0]
-    return stats, {"mean": mean, "median": overall["median"] if overall else None}
+    kind = train.schema[column].dataType
+    pairs = train.select(quoted(column).cast("string").alias("_key"), quoted(target).cast("double").alias("_y"))
+    # Every row counts once for its category and once for the whole table, so both come from the same scans.
+    levels = F.array(F.struct(F.lit(0).alias("_all"), F.col("_key")), F.struct(F.lit(1).alias("_all"), F.lit("").alias("_key")))
+    rows = pairs.where("_y is not null").select("_y", F.inline(levels)).where("_key is not null")
+    keys = ["_all", "_key"]
+    means = rows.groupBy(*keys).agg(F.avg("_y").alias("_mean"))
+    stats = settle(means.join(exact_quantiles(rows, keys, "_y", {"_median": 0.5}), keys), "target-encoding")
+    overall = stats.where("_all = 1").first()
+    per_category = stats.where("_all = 0").select(
+        F.col("_key").cast(kind).alias(column),
+        F.col("_mean").alias(f"{column}_targenc_mean"), F.col("_median").alias(f"{column}_targenc_median"),
+    )
+    return per_category, {"mean": overall and overall["_mean"], "median": overall and overall["_median"]}
 
 
 def apply_target_encoder(df: DataFrame, column: str, stats: DataFrame, overall: dict[str, float]) -> DataFrame:

@@ -7,6 +7,7 @@ from ..operators import encode as E
 from ..operators.align import fill_family
 from ..operators.enrich import left_lookup
 from ..operators.ranks import contiguous_folds
+from ..session import written
 
 _SPLIT = f"s AS (SELECT *, {sql_split('o_orderkey')} AS split FROM orders LEFT JOIN customer ON o_custkey = c_custkey)"
 
@@ -30,7 +31,8 @@ def target_encode(spark, sf):
     """Null categories and a category seen only in test take the overall value."""
     nation = F.when(F.col("o_orderkey") % 50 == 0, None).when(
         (F.col("split") == "test") & (F.col("nation") == 3), -1).otherwise(F.col("nation"))
-    orders = _orders(spark, sf).select("o_orderkey", "split", "o_totalprice", nation.alias("nation"))
+    orders = written(
+        _orders(spark, sf).select("o_orderkey", "split", "o_totalprice", nation.alias("nation")), "split-orders")
     stats, overall = E.fit_target_encoder(orders.where("split = 'train'"), "nation", "o_totalprice")
     out = E.apply_target_encoder(orders, "nation", stats, overall)
     return out.select("o_orderkey", *[F.round(c, 5).alias(c) for c in ("nation_targenc_mean", "nation_targenc_median")])

@@ -7,6 +7,7 @@ from . import query, sql_split, table
 from ..functions.dates import lenient_date
 from ..operators import profile as P
 from ..operators.encode import apply_scaler, fit_scaler, hash_split
+from ..session import written
 
 NUMERIC = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
@@ -16,6 +17,11 @@ def _lines(spark, sf):
     return hash_split(lines, "l_orderkey")
 
 
+def _lines_once(spark, sf):
+    """The labelled rows written once: a split is a table, not something to derive in every scan."""
+    return written(_lines(spark, sf), "split-lines")
+
+
 def _sql_long(where="true"):
     parts = [f"SELECT split, '{c}' AS variable, {c} AS value FROM s" for c in NUMERIC]
     return f"""s AS (SELECT *, {sql_split('l_orderkey')} AS split FROM lineitem),
@@ -94,7 +100,7 @@ def class_spread(spark, sf):
 SELECT split, variable, round(quantile_cont(value, 0.25), 6) AS q25, round(quantile_cont(value, 0.75), 6) AS q75,
        round(quantile_cont(value, 0.75) - quantile_cont(value, 0.25), 6) AS iqr FROM long GROUP BY 1, 2""")
 def iqr_report(spark, sf):
-    report = P.iqr_report(P.by_split_and_all(_lines(spark, sf), "split"), "split", NUMERIC)
+    report = P.iqr_report(P.by_split_and_all(_lines_once(spark, sf), "split"), "split", NUMERIC)
     return report.select("split", "variable", *[F.round(c, 6).alias(c) for c in ("q25", "q75", "iqr")])
 
 
@@ -109,7 +115,7 @@ SELECT split, variable, round(any_value(lower), 6) AS lower, round(any_value(upp
 FROM one JOIN lim USING (variable) GROUP BY 1, 2""")
 def outlier_report(spark, sf):
     """Multiplier 0.1 instead of the default 10, so that this data has outliers to count."""
-    report = P.outlier_report(_lines(spark, sf), "split", NUMERIC, multiplier=0.1)
+    report = P.outlier_report(_lines_once(spark, sf), "split", NUMERIC, multiplier=0.1)
     return report.select(
         "split", "variable", F.round("lower", 6).alias("lower"), F.round("upper", 6).alias("upper"),
         "n_outliers", F.round("outlier_share", 9).alias("outlier_share"),
@@ -155,7 +161,7 @@ r AS (SELECT 'iqr' AS check_name, variable, '' AS category, abs((max(iqr) - min(
 SELECT check_name, variable, category, round(difference, 6) AS difference, allowed::DOUBLE AS allowed,
        CASE WHEN difference <= allowed THEN 1 ELSE 0 END AS passed FROM r""")
 def split_consistency(spark, sf):
-    report = P.split_consistency(_lines(spark, sf), "split", NUMERIC, ["l_returnflag", "l_linestatus"])
+    report = P.split_consistency(_lines_once(spark, sf), "split", NUMERIC, ["l_returnflag", "l_linestatus"])
     return report.withColumn("difference", F.round("difference", 6))
 
 

@@ -47,7 +47,7 @@ def signature_align(spark, sf):
 
 
 _MONTHLY = """m AS (SELECT year(o_orderdate) AS year, month(o_orderdate) AS month, o_orderstatus AS s,
-                   avg(o_totalprice) AS v FROM orders GROUP BY 1, 2, 3)"""
+                   sum(o_totalprice) AS v FROM orders GROUP BY 1, 2, 3)"""
 
 
 def _monthly_wide(spark, sf):
@@ -55,19 +55,19 @@ def _monthly_wide(spark, sf):
         (F.year("o_orderdate") * 100 + F.month("o_orderdate")).alias("ym"), "o_orderstatus", "o_totalprice"
     )
     statuses = distinct_values(orders, "o_orderstatus")
-    return pivot_series(orders, "ym", "o_orderstatus", F.avg("o_totalprice"), statuses, "Close_")
+    return pivot_series(orders, "ym", "o_orderstatus", F.sum("o_totalprice"), statuses, "Close_")
 
 
 @query(f"""WITH {_MONTHLY},
 k AS (SELECT DISTINCT year, month FROM m), s AS (SELECT DISTINCT s FROM m)
-SELECT year::BIGINT AS year, month::BIGINT AS month, 'Close_' || s.s AS variable, round(m.v, 4) AS value
+SELECT year::BIGINT AS year, month::BIGINT AS month, 'Close_' || s.s AS variable, round(m.v, 2) AS value
 FROM k CROSS JOIN s LEFT JOIN m USING (year, month, s)""")
 def melt_series(spark, sf):
     wide = _monthly_wide(spark, sf)
     series = [c for c in wide.columns if c != "ym"]
     return melt(wide, ["ym"], series).select(
         F.floor(F.col("ym") / 100).alias("year"), (F.col("ym") % 100).cast("long").alias("month"),
-        "variable", F.round("value", 4).alias("value"),
+        "variable", F.round("value", 2).alias("value"),
     )
 
 

@@ -62,6 +62,8 @@ def read_csv(spark: SparkSession, path: str | list[str], schema: str, corrupt: s
     reader = (
         spark.read.option("header", True).option("multiLine", True)
         .option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE")
+        # A null marker no file holds keeps an empty field (null) apart from a quoted empty string.
+        .option("nullValue", "\u0000").option("emptyValue", "")
     )
     if corrupt:
         reader = reader.option("columnNameOfCorruptRecord", corrupt)
@@ -73,7 +75,8 @@ def write_csv(df: DataFrame, path: str) -> None:
     """CSV export that :func:`read_csv` reads back unchanged, empty strings included."""
     (
         df.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"')
-        .option("emptyValue", '""').option("nullValue", "").csv(path)
+        .option("emptyValue", '""').option("nullValue", "")
+        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
     )
 
 
