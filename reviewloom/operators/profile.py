@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from itertools import combinations
 
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.fixed_values import (
@@ -18,6 +20,8 @@ from .align import melt, quoted
 from .bounds import settle
 from .ranks import exact_quantiles
 
+PAIRWISE_COLUMNS = 20
+
 
 def top_groups(df: DataFrame, by: list[str], n: int, count: str = "n_rows") -> DataFrame:
     """The n largest groups; the group key breaks ties."""
@@ -223,6 +227,8 @@ def correlation_matrix(df: DataFrame, columns: list[str], min_rows: int = 10) ->
     """Pearson correlation of every column pair on complete rows, null unless more than ``min_rows``."""
     complete = df.select(*[quoted(c).cast("double").alias(c) for c in columns]).dropna()
     pairs = list(combinations(columns, 2))
+    if len(columns) > PAIRWISE_COLUMNS:
+        return _correlations_by_gram_matrix(complete, columns, pairs, min_rows)
     structs = [
         F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"),
                  F.corr(quoted(a), quoted(b)).alias("r"))
@@ -236,6 +242,22 @@ def correlation_matrix(df: DataFrame, columns: list[str], min_rows: int = 10) ->
     )
 
 
+def _correlations_by_gram_matrix(complete: DataFrame, columns: list[str], pairs: list, min_rows: int) -> DataFrame:
+    """Many columns: one pass sums the Gram matrix, whose size depends on the schema only."""
+    names = [f"_c{i}" for i in range(len(columns))]
+    vectors = VectorAssembler(inputCols=names, outputCol="_x").transform(complete.toDF(*names)).select("_x")
+    n = complete.count()
+    at = {c: i for i, c in enumerate(columns)}
+    values = {}
+    if n > min_rows:
+        matrix = Correlation.corr(vectors, "_x").first()[0].toArray()
+        values = {(a, b): float(matrix[at[a], at[b]]) for a, b in pairs}
+    return complete.sparkSession.createDataFrame(
+        [(a, b, n, values.get((a, b))) for a, b in pairs],
+        "column_a string, column_b string, n_rows bigint, correlation double",
+    )
+
+
 def histogram(df: DataFrame, column: str, bins: int = 10) -> DataFrame:
     """Equal-width bins between minimum and maximum; the maximum belongs to the last bin."""
     v = df.select(quoted(column).cast("double").alias("v")).where("v is not null")

@@ -78,9 +78,9 @@ def impute_family(spark, sf):
 
 
 @query("""WITH k AS (SELECT o_orderkey, o_orderdate::DATE AS d, make_date(CAST(1985 + o_custkey % 20 AS INTEGER), 1, 1) AS f FROM orders)
-SELECT o_orderkey, month(d) AS month, year(d) AS year, date_diff('day', d, DATE '2024-01-01') AS "days from review to t0",
-       date_diff('day', f, DATE '2024-01-01') AS "days from foundation to t0",
-       greatest(0, date_diff('day', f, d)) AS "days from foundation to review" FROM k""")
+SELECT o_orderkey, month(d)::INTEGER AS month, year(d)::INTEGER AS year, date_diff('day', d, DATE '2024-01-01')::INTEGER AS "days from review to t0",
+       date_diff('day', f, DATE '2024-01-01')::INTEGER AS "days from foundation to t0",
+       greatest(0, date_diff('day', f, d))::INTEGER AS "days from foundation to review" FROM k""")
 def date_features(spark, sf):
     orders = table(spark, sf, "orders").select(
         "o_orderkey", F.to_date("o_orderdate").alias("day"), (F.lit(1985) + F.col("o_custkey") % 20).cast("int").alias("founded")

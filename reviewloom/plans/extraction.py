@@ -23,7 +23,7 @@ LEAD = [r"(?s)<b>(.*?)</b>", r"(?s)<b>(.*?)<br>"]
 
 @query(f"""WITH c AS (SELECT page_id, regexp_replace(html, '{NON_CONTENT}', '', 'g') AS h FROM pages),
 b AS (SELECT page_id, coalesce({_first('h', TITLE[0])}, {_first('h', TITLE[1])}, '-') AS title,
-             unnest(regexp_extract_all(h, '{BLOCK}', 1)) AS blk, generate_subscripts(regexp_extract_all(h, '{BLOCK}', 1), 1) - 1 AS position FROM c)
+             unnest(regexp_extract_all(h, '{BLOCK}', 1)) AS blk, generate_subscripts(regexp_extract_all(h, '{BLOCK}', 1), 1)::INTEGER - 1 AS position FROM c)
 SELECT page_id, position, title, coalesce({_first('blk', LEAD[0])}, {_first('blk', LEAD[1])}, '-') AS lead,
        md5({_TEXT.format(c='blk')}) AS body FROM b""")
 def page_records(spark, sf):

@@ -138,7 +138,7 @@ def histogram10(spark, sf):
 
 
 @query("""WITH d AS (SELECT o_orderstatus, CASE WHEN o_custkey % 11 = 0 THEN 'soon' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS s FROM orders)
-SELECT o_orderstatus, year(TRY_CAST(s AS DATE)) AS year, count(*) AS n_rows FROM d WHERE TRY_CAST(s AS DATE) IS NOT NULL GROUP BY 1, 2""")
+SELECT o_orderstatus, CAST(year(TRY_CAST(s AS DATE)) AS INTEGER) AS year, count(*) AS n_rows FROM d WHERE TRY_CAST(s AS DATE) IS NOT NULL GROUP BY 1, 2""")
 def yearly_counts(spark, sf):
     day = F.when(F.col("o_custkey") % 11 == 0, F.lit("soon")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
     return P.counts_per_year(table(spark, sf, "orders"), lenient_date(day), ("o_orderstatus",))

@@ -15,7 +15,7 @@ def hash_split(spark, sf):
     return split(table(spark, sf, "orders").select("o_orderkey"), "o_orderkey")
 
 
-@query("SELECT o_orderkey, ntile(5) OVER (ORDER BY o_orderkey) - 1 AS fold FROM orders")
+@query("SELECT o_orderkey, CAST(ntile(5) OVER (ORDER BY o_orderkey) - 1 AS INTEGER) AS fold FROM orders")
 def fold_assign(spark, sf):
     return contiguous_folds(table(spark, sf, "orders").select("o_orderkey"), "o_orderkey", rows_per_bucket=BUCKET_ROWS)
 

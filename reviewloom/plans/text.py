@@ -43,7 +43,7 @@ def _docs(spark, sf):
 _LEN = f"CASE WHEN {sql_norm('text')} = '' THEN 0 ELSE len(regexp_split_to_array({sql_norm('text')}, '{WS}+')) END"
 
 
-@query(f"SELECT doc_id, length(coalesce(text, '')) AS text_charlen, {_LEN} AS text_wordlen FROM documents")
+@query(f"SELECT doc_id, length(coalesce(text, ''))::INTEGER AS text_charlen, ({_LEN})::INTEGER AS text_wordlen FROM documents")
 def text_lengths(spark, sf):
     return T.add_lengths(_docs(spark, sf), ["text"]).drop("text")
 
@@ -64,7 +64,7 @@ k AS (SELECT source, satisfaction, unnest({_KEYWORDS}) AS word FROM j),
 f AS (SELECT * FROM k WHERE word NOT IN ({_STOP})),
 c AS (SELECT source, satisfaction, word, count(*) AS frequency FROM f WHERE satisfaction IS NOT NULL GROUP BY 1, 2, 3
       UNION ALL SELECT source, 'All', word, count(*) FROM f GROUP BY 1, 3),
-r AS (SELECT *, row_number() OVER (PARTITION BY source, satisfaction ORDER BY frequency DESC, word) AS position FROM c)
+r AS (SELECT *, row_number() OVER (PARTITION BY source, satisfaction ORDER BY frequency DESC, word)::INTEGER AS position FROM c)
 SELECT * FROM r WHERE position <= 100""")
 def keyword_topn_by_class(spark, sf):
     labels = table(spark, sf, "labels").select("doc_id", "quality")

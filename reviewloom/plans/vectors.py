@@ -35,7 +35,7 @@ def vector_cosine(spark, sf):
 _PAIRS = """p AS (SELECT a.vec_id AS query, b.vec_id AS neighbour, b.label,
   sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) ** 2))) AS distance
   FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id),
-r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY distance, neighbour) AS rank FROM p)"""
+r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY distance, neighbour)::INTEGER AS rank FROM p)"""
 
 
 @query(f"WITH {_PAIRS} SELECT query, neighbour, round(distance, 6) AS distance, rank FROM r WHERE rank <= 5")

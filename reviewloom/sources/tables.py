@@ -45,11 +45,11 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """Use all cores for costly row work on a small input.
 
-    A file with one row group is one task whatever its size.  An input with at
-    least as many partitions as cores, as any large table has, is left alone.
+    A file with one row group is one task whatever its size.  An input with a
+    partition per core, as any large table has, is left alone.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= 4 * cores else df.repartition(cores)
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
 def read_csv(spark: SparkSession, path: str | list[str], schema: str, corrupt: str | None = None) -> DataFrame:
@@ -163,8 +163,9 @@ def missing_periods(df: DataFrame, entity: str, period: Column, first: Column, l
     """
     seen = df.select(entity, period.alias("period")).distinct()
     span = df.agg(first.alias("lo"), last.alias("hi")).first()
+    kind = seen.schema["period"].dataType
     expected = seen.select(entity).distinct().select(
-        entity, F.explode(F.sequence(F.lit(span["lo"]), F.lit(span["hi"]))).alias("period")
+        entity, F.explode(F.sequence(F.lit(span["lo"]).cast(kind), F.lit(span["hi"]).cast(kind))).alias("period")
     )
     return expected.join(seen, [entity, "period"], "left_anti")
 

@@ -168,6 +168,16 @@ def test_histogram_last_bin_and_constant(spark):
     assert profile.histogram(df.selectExpr("5.0D AS v"), "v").count() == 1
 
 
+def test_correlation_of_many_columns_is_the_same(spark, monkeypatch):
+    df = spark.range(50).selectExpr("rand(1) AS a", "rand(2) AS `b.c`", "IF(id = 3, NULL, rand(3)) AS d")
+    pairs = rows(profile.correlation_matrix(df, ["a", "b.c", "d"]), "column_a", "column_b")
+    monkeypatch.setattr(profile, "PAIRWISE_COLUMNS", 1)
+    gram = rows(profile.correlation_matrix(df, ["a", "b.c", "d"]), "column_a", "column_b")
+    assert [p[:3] for p in pairs] == [g[:3] for g in gram] and pairs[0][2] == 49
+    assert np.allclose([p[3] for p in pairs], [g[3] for g in gram])
+    assert {r["correlation"] for r in profile.correlation_matrix(df.limit(10), ["a", "d"]).collect()} == {None}
+
+
 def test_gates(spark):
     df = spark.createDataFrame([(1, 1.0), (1, -1.0)], "id int, x double")
     with pytest.raises(ValueError):
