@@ -225,7 +225,9 @@ def outlier_report(df: DataFrame, split: str, columns: list[str], train: str = "
 
 def correlation_matrix(df: DataFrame, columns: list[str], min_rows: int = 10) -> DataFrame:
     """Pearson correlation of every column pair on complete rows, null unless more than ``min_rows``."""
-    complete = df.select(*[quoted(c).cast("double").alias(c) for c in columns]).dropna()
+    complete = df.select(*[quoted(c).cast("double").alias(c) for c in columns])
+    for c in columns:
+        complete = complete.where(quoted(c).isNotNull())
     pairs = list(combinations(columns, 2))
     if len(columns) > PAIRWISE_COLUMNS:
         return _correlations_by_gram_matrix(complete, columns, pairs, min_rows)
