@@ -81,6 +81,18 @@ def test_quantiles_of_large_skewed_groups(spark, values):
         assert np.allclose([got[k]["q25"], got[k]["q75"]], np.quantile(part["v"], [0.25, 0.75]), rtol=1e-12)
 
 
+def test_quantiles_of_many_group_sizes(spark):
+    """Without whole groups: the cut points and the step next to them must always hold the rank."""
+    sizes = [1, 2, 3, 4, 5, 7, 11, 50, 99, 500, 1001, 1999, 2503, 4999, 7001]
+    parts = [(n, float(v)) for n in sizes for v in np.random.default_rng(n).normal(size=n)]
+    df = spark.createDataFrame(parts, "k int, v double")
+    probs = {"a": 0.0, "b": 0.25, "c": 0.5, "d": 0.9, "e": 1.0}
+    got = {r["k"]: r for r in ranks.exact_quantiles(df, ["k"], "v", probs, whole_group=0).collect()}
+    for n in sizes:
+        want = np.quantile([v for k, v in parts if k == n], list(probs.values()))
+        assert np.allclose([got[n][c] for c in probs], want, rtol=1e-12, atol=1e-12), n
+
+
 def test_quantiles_when_tables_are_written(spark, no_broadcast):
     df = spark.range(500).selectExpr("id % 2 AS k", "CAST(id AS DOUBLE) AS v")
     got = rows(ranks.exact_quantiles(df, ["k"], "v", {"m": 0.5}), "k")
