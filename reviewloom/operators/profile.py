@@ -187,14 +187,13 @@ def outlier_limits(
 ) -> DataFrame:
     """Limits per column: q75 of distinct values minus q25 of non-zero values, times the multiplier.
 
-    Distinct values, non-zero values and all values are three labelled streams
-    of one long table, so the quantiles of all of them come from one selection.
+    Distinct values, non-zero values and all values are labelled parts of one
+    long table, so the quantiles of all of them come from one selection.
     """
     long = melt(train, [], columns)
-    labelled = (
+    parts = F.when(F.col("value") != 0, F.array(F.lit("rows"), F.lit("nonzero"))).otherwise(F.array(F.lit("rows")))
+    labelled = long.select(F.explode(parts).alias("part"), "variable", "value").unionByName(
         long.distinct().select(F.lit("distinct").alias("part"), "variable", "value")
-        .unionByName(long.where("value <> 0").select(F.lit("nonzero").alias("part"), "variable", "value"))
-        .unionByName(long.select(F.lit("rows").alias("part"), "variable", "value"))
     )
     q = exact_quantiles(labelled, ["part", "variable"], "value", {"q25": 0.25, "q75": 0.75})
     pick = lambda part, name: F.max(F.when(F.col("part") == part, F.col(name)))

@@ -12,6 +12,7 @@ from ..operators.matching import (
     entity_presence as presence, entries_in_use, map_whitelist, slug_matches, substring_matches,
 )
 from ..operators.profile import top_groups
+from ..sources.tables import spread
 
 KEYWORDS = ["licen", "copyright", "http", "@", "password"] + UK_KEYWORDS
 
@@ -58,7 +59,7 @@ SELECT source, count(*) AS n_docs, count(*) FILTER ({_HIT}) AS n_keyword,
        count(*) FILTER (({_HIT}) OR lang = 'fr') AS n_kept
 FROM d GROUP BY source""")
 def keyword_filter(spark, sf):
-    d = table(spark, sf, "documents").select("source", "lang", contains_any(F.col("text"), KEYWORDS).alias("hit"))
+    d = spread(table(spark, sf, "documents")).select("source", "lang", contains_any(F.col("text"), KEYWORDS).alias("hit"))
     return d.groupBy("source").agg(
         F.count("*").alias("n_docs"), F.count_if("hit").alias("n_keyword"),
         F.count_if(F.col("hit") | (F.col("lang") == "fr")).alias("n_kept"),
