@@ -1,7 +1,5 @@
 """Seeded split, folds and row numbers without a global sort."""
 
-from pyspark.sql import functions as F
-
 from . import query, sql_split, table
 from ..operators.encode import hash_split as split
 from ..operators.ranks import contiguous_folds, with_row_number

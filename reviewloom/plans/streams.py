@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from . import query, table
 from .extraction import form_payload
-from ..functions.fixed_values import SUB_RATINGS
 from ..operators import models as M
 from ..session import shared_dir
 from ..streaming import scoring as S

@@ -1,6 +1,9 @@
 """Plan shapes that must hold at any scale."""
 
+import pathlib
 import re
+import subprocess
+import sys
 
 import pytest
 
@@ -45,3 +48,18 @@ def test_keep_first_combines_on_the_map_side(spark):
     df = spark.range(100).selectExpr("id", "id % 3 AS k")
     text = plan(keep_first(df, "k", ["id"]))
     assert "partial_min_by" in text and "Window" not in text
+
+
+def test_tasks_do_not_need_the_package(spark, tmp_path):
+    """Python tasks get their functions by value: a session started elsewhere runs them."""
+    repo = str(pathlib.Path(entry.__file__).resolve().parent)
+    script = f"""
+import sys; sys.path.insert(0, {repo!r})
+import __spark_entry__ as e
+from tests.compare import session
+s = session(2)
+for n in ("knn_regress", "dimension_similarity"):
+    assert e.queries()[n](s, {SF!r}).count() > 0
+"""
+    done = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-2000:]
