@@ -27,3 +27,28 @@ def op1_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lm import score_texts
 
     return score_texts(table(spark, sf_dir, "documents"), stored=True)
+
+
+@query
+def op2_one_permutation_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of whole texts and of their edited texts."""
+    from .fingerprints import fingerprints
+
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data in whole texts."""
+    from .pii import BASE, PATTERNS, find_spans, listed
+
+    spans = F.col("spans")
+
+    def count(kind: str):
+        return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return find_spans(table(spark, sf_dir, "documents")).select(
+        "doc_id", *[count(kind) for kind in BASE],
+        F.sha2(listed(BASE, spans).cast("binary"), 256).alias("base_sha256"), listed(tuple(PATTERNS), spans).alias("spans"),
+        F.transform(spans, lambda s: s["score"]).alias("scores"),
+    )
