@@ -206,7 +206,7 @@ def learn_weights(histogram: pd.DataFrame, order: int, v: int, rounds: int = 60)
 
 
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 2, parts: int = 5,
-                held_part: int = 1, weight_parts: int = 10, rows_per_block: int = 8192, stored: bool = False) -> DataFrame:
+                held_part: int = 1, weight_parts: int = 10, rows_per_block: int = 4096, stored: bool = False) -> DataFrame:
     """Score every text with a model learned from the rows whose crc32(id) mod ``parts`` is not ``held_part``.
 
     One in ``weight_parts`` training texts is held out once more to learn the mixture weights; the final counts
