@@ -52,3 +52,23 @@ def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(listed(BASE, spans).cast("binary"), 256).alias("base_sha256"), listed(tuple(PATTERNS), spans).alias("spans"),
         F.transform(spans, lambda s: s["score"]).alias("scores"),
     )
+
+
+@query
+def op3_block_max_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with the test items that they hold."""
+    from .decontaminate import find_leaks
+
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op4_convolutional_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every text by a classifier that learns from three quarters of the labels."""
+    from .toxicity import fit, flagged, score
+
+    docs = table(spark, sf_dir, "documents")
+    model = fit(docs, table(spark, sf_dir, "labels"))
+    held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4 == 2
+    return score(docs.select("doc_id", "lang", "text"), model).select(
+        "doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), flagged(model).alias("over_language_threshold"))
