@@ -72,3 +72,11 @@ def op4_convolutional_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4 == 2
     return score(docs.select("doc_id", "lang", "text"), model).select(
         "doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), flagged(model).alias("over_language_threshold"))
+
+
+@query
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents that share nine tenths of their three-word shingles."""
+    from .jaccard_join import similar_components
+
+    return similar_components(table(spark, sf_dir, "documents"), width=3, percent=90)
