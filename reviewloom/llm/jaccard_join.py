@@ -101,9 +101,9 @@ def _signatures(width: int, percent: int, ranks: np.ndarray):
                 head = np.concatenate(([0], np.cumsum(own)))
                 pick = np.arange(head[-1]) - np.repeat(head[:-1] - first[:-1], own)
                 yield pa.RecordBatch.from_arrays([
-                    b.column("id").slice(at, end - at), pa.array(n.astype(np.int64)), pa.array(class_ids(shingles, first)),
+                    *(b.column(c).slice(at, end - at) for c in ("id", "whole")), pa.array(n.astype(np.int64)), pa.array(class_ids(shingles, first)),
                     pa.ListArray.from_arrays(pa.array(head.astype(np.int32)), pa.array(token[pick].view(np.int64))),
-                ], names=["id", "n", "class", "tokens"])
+                ], names=["id", "whole", "n", "class", "tokens"])
 
     return run
 
@@ -250,14 +250,15 @@ def _search(percent: int):
 
 
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """One row per document: id, n_shingles, class, component_id (the smallest id of its component), class_size.
+    """One row per document: id, n_shingles, class, component, component_id (the smallest id of the component), class_size
+    and whole (a hash of the text).  Class and component are null for empty sets.
 
     Documents link when 100 * shared shingles >= ``percent`` * shingles of either.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("whole"))
     ranks = count_sketch(texts, width)
-    every = written(texts.mapInArrow(_signatures(width, percent, ranks), f"id {id_type}, n long, class long, tokens array<bigint>"), "signatures")
+    every = written(texts.mapInArrow(_signatures(width, percent, ranks), f"id {id_type}, whole long, n long, class long, tokens array<bigint>"), "signatures")
     classes = every.where("n > 0").groupBy("class").agg(F.min("id").alias("id"), F.count("*").alias("size"))
     own = every.where("n > 0").dropDuplicates(["class"])
     postings = own.select("class", "n", F.size("tokens").alias("indexed"), F.explode("tokens").alias("token"))
@@ -299,7 +300,24 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     labels = components(links.unionByName(more))
     named = classes.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
     smallest = named.groupBy("label").agg(F.min("id").alias("component_id"))
-    named = named.join(smallest, "label").select("class", "component_id", F.col("size").alias("class_size"))
-    full = every.where("n > 0").select("id", "n", "class").join(named, "class", "left")
-    empty = every.where("n = 0").select("id", "n", F.lit(None).cast("long").alias("class"), F.col("id").alias("component_id"), F.lit(1).cast("long").alias("class_size"))
-    return full.select("id", "n", "class", "component_id", "class_size").unionByName(empty).withColumnsRenamed({"id": id_col, "n": "n_shingles"})
+    named = named.join(smallest, "label").select("class", F.col("label").alias("component"), "component_id", F.col("size").alias("class_size"))
+    none = F.lit(None).cast("long")
+    full = every.where("n > 0").select("id", "whole", "n", "class").join(named, "class", "left")
+    empty = every.where("n = 0").select(
+        "id", "whole", "n", none.alias("class"), none.alias("component"), F.col("id").alias("component_id"), F.lit(1).cast("long").alias("class_size"))
+    return full.unionByName(empty).select("id", "n", "class", "component", "component_id", "class_size", "whole").withColumnsRenamed({"id": id_col, "n": "n_shingles"})
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """The documents without near copies: of each component one row of the smallest id stays, with all its columns.
+
+    Null ids count as the largest, equal ids go by a hash of the text; texts without words all stay.
+    """
+    found = similar_components(docs, id_col, text_col, width, percent).select(F.col(id_col).alias("_id"), F.col("whole").alias("_whole"), "component")
+    best = found.where("component IS NOT NULL").groupBy("component").agg(F.min(F.struct(F.col("_id").isNull().alias("last"), "_id", "_whole")).alias("b"))
+    chosen = best.select("b._id", "b._whole")
+    keyed = docs.withColumn("_own", F.xxhash64(F.coalesce(text_col, F.lit(""))))
+    wordless = F.col(text_col).isNull() | F.col(text_col).rlike(r"^[\x20\x09-\x0D]*$")
+    with_words = keyed.where(~wordless)
+    stay = with_words.join(chosen, with_words[id_col].eqNullSafe(chosen["_id"]) & (F.col("_own") == F.col("_whole")), "left_semi").dropDuplicates([id_col, "_own"])
+    return stay.unionByName(keyed.where(wordless)).drop("_own")

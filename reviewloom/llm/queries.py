@@ -134,3 +134,35 @@ SELECT page_id, octet_length(encode(html)) AS payload_bytes,
     CASE WHEN page_id <> first THEN first END AS refers_to
 FROM p JOIN f USING (html)
 """
+
+
+@query
+def op5_shared_prefix_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts as piece ids, and read back from them."""
+    from .pieces import decode, encode, load
+
+    vocabulary = load()
+    docs = decode(encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary), vocabulary)
+    same = F.col("decoded") == F.coalesce(F.col("text"), F.lit(""))
+    return docs.select("doc_id", "pieces", F.size("pieces").alias("n_pieces"), "piece_score", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), same.alias("same"))
+
+
+@query
+def op7_distinct_site_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the lines that stand on ten sites or more."""
+    from .line_dedup import remove_boilerplate
+
+    return remove_boilerplate(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+
+
+ORACLES["op7_distinct_site_spread"] = """
+WITH d AS (SELECT doc_id, coalesce(source, chr(1)) AS site, coalesce(text, '') AS text FROM documents),
+    l AS (SELECT doc_id, site, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS place FROM d),
+    m AS (SELECT doc_id, site, text, place, line, trim(line, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS mark FROM l),
+    spots AS (SELECT mark, text, arg_min(site, doc_id) AS site, min(doc_id) AS doc_id FROM m WHERE mark <> '' GROUP BY mark, text),
+    gone AS (SELECT mark, min(doc_id) AS keeper FROM spots GROUP BY mark HAVING count(DISTINCT site) >= 10),
+    k AS (SELECT m.doc_id, place, line, mark, keeper IS NOT NULL AND keeper <> m.doc_id AS out FROM m LEFT JOIN gone USING (mark))
+SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT out), '') AS text,
+    CASE WHEN count(*) = 1 AND max(line) = '' THEN 0 ELSE count(*) END AS n_lines, count(*) FILTER (out) AS n_removed
+FROM k GROUP BY doc_id
+"""
