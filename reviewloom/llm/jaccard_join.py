@@ -30,6 +30,7 @@ from .words import U, Words, mix, rows_of, slices, strings
 SLOTS = 1 << 19  # counters of the sketch
 PIECES = 16
 LONG = 64  # inverted lists longer than this are probed where the overlap allows it
+BAND = 1.02
 CHUNK = 1024  # expected entries of a list that one search holds
 
 
@@ -201,8 +202,23 @@ def divide_skip(lists: list[np.ndarray], least: int) -> dict[int, int]:
     return found
 
 
+def _band(n):
+    """Number of the size band, each about a fiftieth wide."""
+    return F.floor(F.log(n.cast("double")) / F.log(F.lit(BAND)))
+
+
+def _need_in_band(n, band, percent: int):
+    """A lower bound of the indexed shingles that a set of size n shares with one that it links with in the band."""
+    def need(m):
+        return F.ceil(percent * (n + m) / (100 + percent)) - F.ceil(percent * F.greatest(n, m) / 100)
+
+    low = F.greatest(F.floor(F.pow(F.lit(BAND), band)) - 1, F.ceil(percent * n / 100))
+    high = F.least(F.ceil(F.pow(F.lit(BAND), band + 1)) + 1, F.floor(100 * n / percent))
+    return F.least(need(low), need(high))
+
+
 def _search(percent: int):
-    """Candidates of each query: rows of one query and chunk follow each other, a row per inverted list."""
+    """Candidates of each query: rows of one query, band and chunk follow each other, a row per inverted list."""
     def candidates(own: pa.Table):
         query, n, members, label = (own[c][0].as_py() for c in ("query", "n", "members", "label"))
         lists, size = [], {}
@@ -225,7 +241,7 @@ def _search(percent: int):
             held, key = [], None
             for b in batches:
                 t = pa.Table.from_batches([b])
-                keys = list(zip(t["query"].to_pylist(), t["chunk"].to_pylist()))
+                keys = list(zip(*(t[c].to_pylist() for c in ("query", "band", "chunk"))))
                 at = 0
                 for k, rows in groupby(keys):
                     size = sum(1 for _ in rows)
@@ -288,12 +304,19 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     labels = written(labels.join(sizes, "label").select(F.col("node").alias("class"), "label", "members"), "labels")
     held = shared.join(labels, "class", "left").select(
         "token", "class", "n", F.struct(F.coalesce("members", F.lit(1)).alias("members"), F.coalesce("label", "class").alias("label")).alias("rank"))
-    mixed = held.groupBy("token").agg(F.min("rank.label").alias("low"), F.max("rank.label").alias("high"), F.max("rank").alias("top"), F.count("*").alias("length")).where("low != high")
-    held = held.join(mixed, "token")
-    chunk = F.pmod(F.xxhash64("class"), F.ceil(F.lit(shared.select("class").distinct().count() / CHUNK)).cast("long"))
-    lists = held.groupBy("token", chunk.alias("chunk")).agg(F.collect_list(F.struct("class", "n", "rank.members", "rank.label")).alias("entries"))
+    mixed = held.groupBy("token").agg(F.min("rank.label").alias("low"), F.max("rank.label").alias("high"), F.max("rank").alias("top")).where("low != high")
+    held = written(held.join(mixed.select("token", "top"), "token").withColumn("band", _band(F.col("n"))), "mixed")
+    presence = held.groupBy("token", "band").agg(F.count("*").alias("length"))
+    longest = presence.agg(F.max("length")).first()[0] or 0
     queries = held.where(F.col("rank") < F.col("top")).select("token", F.col("class").alias("query"), "n", "rank.members", "rank.label")
-    asked = queries.join(lists, "token").repartition("query", "chunk").sortWithinPartitions("query", "chunk")
+    # a band of sizes is only searched where enough of the query's lists reach into it
+    low, high = _band(F.ceil(percent * F.col("n") / 100)), _band(F.floor(100 * F.col("n") / percent))
+    asks = queries.join(presence.select("token", "band"), "token").where(F.col("band").between(low, high))
+    enough = asks.groupBy("query", "band", "n").agg(F.count("*").alias("lists")).where(F.col("lists") >= _need_in_band(F.col("n"), F.col("band"), percent))
+    asks = asks.join(enough.select("query", "band"), ["query", "band"], "left_semi")
+    chunk = F.pmod(F.xxhash64("class"), F.lit(-(-longest // CHUNK) or 1))
+    lists = held.groupBy("token", "band", chunk.alias("chunk")).agg(F.collect_list(F.struct("class", "n", "rank.members", "rank.label")).alias("entries"))
+    asked = asks.join(lists, ["token", "band"]).repartition("query", "band", "chunk").sortWithinPartitions("query", "band", "chunk")
     rest = written(asked.mapInArrow(_search(percent), "a long, b long"), "pairs")
     more = linked(rest, sets_of(rest), percent)
 
