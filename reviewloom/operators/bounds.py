@@ -41,14 +41,15 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     Aggregates carry no useful size estimate, so joining one back would shuffle
     the large side first.  Up to ``SETTLED_ROWS`` rows and ``SETTLED_BYTES`` the
     table becomes a local relation with a broadcast hint; beyond that it is
-    written to the shared folder and joined as an ordinary table.  The cached
+    written to the shared folder and joined as an ordinary table.  Rows and bytes
+    are summed on the executors before anything comes to the driver.  The cached
     copy only spans the check, so nothing is computed twice.
     """
     kept = df.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        probe = kept.limit(SETTLED_ROWS + 1).toArrow()
-        if probe.num_rows <= SETTLED_ROWS and probe.nbytes <= SETTLED_BYTES:
-            return F.broadcast(df.sparkSession.createDataFrame(probe, schema=df.schema))
+        size = kept.agg(F.count("*"), F.sum(F.length(F.to_json(F.struct("*"))))).first()
+        if size[0] <= SETTLED_ROWS and (size[1] or 0) <= SETTLED_BYTES:
+            return F.broadcast(df.sparkSession.createDataFrame(kept.toArrow(), schema=df.schema))
         return written(kept, name)
     finally:
         kept.unpersist()

@@ -65,7 +65,8 @@ def merge_sources(first: DataFrame, second: DataFrame, key: str, order: list[str
 def new_keys_only(df: DataFrame, seen: DataFrame, key: str) -> DataFrame:
     """Anti-join on a content key; rows with an empty key always pass."""
     known = seen.where(F.col(key) != "").select(key).distinct()
-    return df.join(known, key, "left_anti")
+    keyed = F.coalesce(F.col(key) != "", F.lit(False))
+    return df.where(~keyed).unionByName(df.where(keyed).join(known, key, "left_anti").select(*[quoted(c) for c in df.columns]))
 
 
 def key_overlap(df: DataFrame, key: str, in_b: Column) -> DataFrame:

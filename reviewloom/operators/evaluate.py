@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.fixed_values import RATING_MAX, RATING_MIN
 from ..functions.maths import blend, clip, confidence, satisfaction_label
-from .bounds import settle
+from ..session import written
+from .align import quoted
 
 EPSILON = 2.0 ** -52
-RANK_RANGES = 128
 
 
 def join_predictions(real: DataFrame, predicted: DataFrame, key: str, how: str = "inner") -> DataFrame:
@@ -71,30 +71,28 @@ def best_per_group(df: DataFrame, by: list[str], metric: str, carry: list[str],
     ).select(*by, "_best.*", f"best_{metric}", *[f"sum_{s}" for s in sums])
 
 
-def rank_within(df: DataFrame, by: list[str], score: str, name: str = "rank") -> DataFrame:
+def rank_within(df: DataFrame, by: list[str], score: str, name: str = "rank", rows_per_range: int = 1_000_000) -> DataFrame:
     """Rank by descending score; ties share the smallest rank, a null score has none.
 
-    The rank of a score is one plus the rows above it.  Rows are first counted
-    per distinct score, and the scores of a group are cut into ranges whose
-    totals give each range its start, so no task sorts a whole group.
+    Rows are dealt to ranges of (group, score) of about ``rows_per_range`` rows, so a large group lies in several
+    ranges and equal scores in one.  A rank is the rank in the range plus the group's rows in the ranges before it.
     """
-    counts = settle(
-        df.where(F.col(score).isNotNull()).groupBy(*by, score).agg(F.count("*").alias("_n")), "score-counts"
-    )
-    cuts = settle(counts.groupBy(*by).agg(
-        F.percentile_approx(score, [i / RANK_RANGES for i in range(1, RANK_RANGES)], 1000).alias("_cuts")
-    ), "score-cuts")
-    ranges = counts.join(cuts, by).withColumn(
-        "_range", F.size(F.filter("_cuts", lambda c: c > F.col(score)))
-    ).drop("_cuts")
-    totals = ranges.groupBy(*by, "_range").agg(F.sum("_n").alias("_total"))
-    earlier = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select(*by, "_range", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_start"))
-    above = Window.partitionBy(*by, "_range").orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = ranges.join(settle(starts, "rank-starts"), [*by, "_range"]).select(
-        *by, score, (F.col("_start") + F.coalesce(F.sum("_n").over(above), F.lit(0)) + 1).cast("long").alias(name)
-    )
-    return df.join(ranks, [*by, score], "left")
+    scored = df.where(quoted(score).isNotNull())
+    ranges = max(1, -(-scored.count() // rows_per_range))
+    dealt = scored.repartitionByRange(ranges, *[quoted(b) for b in by], quoted(score).desc())
+    dealt = written(dealt.withColumn("_range", F.spark_partition_id()), "score-ranges")
+    keys = [quoted(b) for b in by]
+    sizes = dealt.groupBy(*keys, "_range").agg(F.count("*").alias("_size"))
+    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(*[quoted(b).alias(f"_by{i}") for i, b in enumerate(by)], F.col("_range").alias("_at"),
+                          F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_start"))
+    local = dealt.withColumn("_local", F.rank().over(Window.partitionBy(*keys, "_range").orderBy(quoted(score).desc())))
+    same = F.col("_range") == F.col("_at")
+    for i, b in enumerate(by):
+        same = same & quoted(b).eqNullSafe(F.col(f"_by{i}"))
+    columns = [quoted(c) for c in df.columns]
+    ranked = local.join(starts, same).select(*columns, (F.col("_start") + F.col("_local")).cast("long").alias(name))
+    return ranked.unionByName(df.where(quoted(score).isNull()).select(*columns, F.lit(None).cast("long").alias(name)))
 
 
 def fold_error_profile(df: DataFrame, fold: str, by: list[str], y: str, p: str) -> DataFrame:

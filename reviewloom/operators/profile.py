@@ -6,6 +6,7 @@ Statistics over many columns are one aggregation of a long
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 from pyspark.ml.feature import VectorAssembler
@@ -20,18 +21,15 @@ from .align import melt, quoted
 from .bounds import settle
 from .ranks import exact_quantiles
 
-PAIRWISE_COLUMNS = 20
-
 
 def top_groups(df: DataFrame, by: list[str], n: int, count: str = "n_rows") -> DataFrame:
     """The n largest groups; the group key breaks ties."""
     return df.groupBy(*by).agg(F.count("*").alias(count)).orderBy(F.desc(count), *by).limit(n)
 
 
-def count_and_mean(df: DataFrame, by: list[str], value: str, digits: int = 2) -> DataFrame:
-    return df.groupBy(*by).agg(
-        F.count("*").alias("n_rows"), F.round(F.avg(value), digits).alias("mean_value")
-    )
+def count_and_mean(df: DataFrame, by: list[str], value: str, digits: int = 2, *more: Column) -> DataFrame:
+    """Rows and mean per group, and whatever else is wanted, in one aggregation."""
+    return df.groupBy(*by).agg(F.count("*").alias("n_rows"), F.round(F.avg(value), digits).alias("mean_value"), *more)
 
 
 def basic_profile(df: DataFrame, name: str, date: str, rating: str) -> DataFrame:
@@ -223,40 +221,23 @@ def outlier_report(df: DataFrame, split: str, columns: list[str], train: str = "
 
 
 def correlation_matrix(df: DataFrame, columns: list[str], min_rows: int = 10) -> DataFrame:
-    """Pearson correlation of every column pair on complete rows, null unless more than ``min_rows``."""
+    """Pearson correlation of every column pair on complete rows, null unless more than ``min_rows``.
+
+    One pass sums the Gram matrix, whose size depends on the schema only.  A
+    column without variance has no correlation (null).
+    """
     complete = df.select(*[quoted(c).cast("double").alias(c) for c in columns])
     for c in columns:
         complete = complete.where(quoted(c).isNotNull())
-    pairs = list(combinations(columns, 2))
-    if len(columns) > PAIRWISE_COLUMNS:
-        return _correlations_by_gram_matrix(complete, columns, pairs, min_rows)
-    structs = [
-        F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"),
-                 F.corr(quoted(a), quoted(b)).alias("r"))
-        for a, b in pairs
-    ]
-    return (
-        complete.agg(F.count("*").alias("n_rows"), F.array(*structs).alias("s"))
-        .select("n_rows", F.inline("s"))
-        .select("column_a", "column_b", "n_rows",
-                F.when(F.col("n_rows") > min_rows, F.col("r")).alias("correlation"))
-    )
-
-
-def _correlations_by_gram_matrix(complete: DataFrame, columns: list[str], pairs: list, min_rows: int) -> DataFrame:
-    """Many columns: one pass sums the Gram matrix, whose size depends on the schema only."""
     names = [f"_c{i}" for i in range(len(columns))]
     vectors = VectorAssembler(inputCols=names, outputCol="_x").transform(complete.toDF(*names)).select("_x")
     n = complete.count()
-    at = {c: i for i, c in enumerate(columns)}
-    values = {}
-    if n > min_rows:
-        matrix = Correlation.corr(vectors, "_x").first()[0].toArray()
-        values = {(a, b): float(matrix[at[a], at[b]]) for a, b in pairs}
-    return complete.sparkSession.createDataFrame(
-        [(a, b, n, values.get((a, b))) for a, b in pairs],
-        "column_a string, column_b string, n_rows bigint, correlation double",
-    )
+    matrix = Correlation.corr(vectors, "_x").first()[0].toArray() if n > min_rows else None
+    rows = []
+    for i, j in combinations(range(len(columns)), 2):
+        r = None if matrix is None or math.isnan(matrix[i, j]) else float(matrix[i, j])
+        rows.append((columns[i], columns[j], n, r))
+    return df.sparkSession.createDataFrame(rows, "column_a string, column_b string, n_rows bigint, correlation double")
 
 
 def histogram(df: DataFrame, column: str, bins: int = 10) -> DataFrame:

@@ -7,13 +7,12 @@ from ..functions.dates import lenient_date
 from ..operators import profile as P
 from ..operators.encode import apply_scaler, fit_scaler, hash_split
 from ..session import written
-from ..sources.tables import spread
 
 NUMERIC = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
 def _lines(spark, sf):
-    lines = spread(table(spark, sf, "lineitem")).select("l_orderkey", "l_returnflag", "l_linestatus", *NUMERIC)
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_returnflag", "l_linestatus", *NUMERIC)
     return hash_split(lines, "l_orderkey")
 
 
@@ -47,8 +46,7 @@ def dataset_profile(spark, sf):
 @query("SELECT c_mktsegment AS grp, count(*) AS n_rows, round(avg(c_acctbal), 2) AS mean_value, count(DISTINCT c_nationkey) AS n_nations FROM customer GROUP BY 1")
 def group_count_mean(spark, sf):
     c = table(spark, sf, "customer").withColumnRenamed("c_mktsegment", "grp")
-    means = P.count_and_mean(c, ["grp"], "c_acctbal")
-    return means.join(c.groupBy("grp").agg(F.countDistinct("c_nationkey").alias("n_nations")), "grp")
+    return P.count_and_mean(c, ["grp"], "c_acctbal", 2, F.countDistinct("c_nationkey").alias("n_nations"))
 
 
 @query("SELECT p_name, count(*) AS n_rows FROM part GROUP BY p_name ORDER BY n_rows DESC, p_name LIMIT 20")
@@ -126,15 +124,28 @@ def outlier_report(spark, sf):
     f"SELECT '{a}' AS column_a, '{b}' AS column_b, count(*) AS n_rows, round(corr({a}, {b}), 6) AS correlation FROM lineitem"
     for i, a in enumerate(NUMERIC) for b in NUMERIC[i + 1:]))
 def corr_matrix(spark, sf):
-    out = P.correlation_matrix(spread(table(spark, sf, "lineitem")), NUMERIC)
+    out = P.correlation_matrix(table(spark, sf, "lineitem"), NUMERIC)
     return out.withColumn("correlation", F.round("correlation", 6))
 
 
+WIDE = {f"{c}_{k}": f"{c} % {k}" for c in NUMERIC[:2] for k in range(3, 14)} | {"same": "7.0::DOUBLE"}
+
+
+@query(f"""WITH w AS (SELECT {', '.join(f'{e} AS {n}' for n, e in WIDE.items())} FROM lineitem)
+""" + " UNION ALL ".join(
+    f"SELECT '{a}' AS column_a, '{b}' AS column_b, count(*) AS n_rows, CASE WHEN var_pop({a}) > 0 AND var_pop({b}) > 0 THEN round(corr({a}, {b}), 6) END AS correlation FROM w"
+    for i, a in enumerate(WIDE) for b in list(WIDE)[i + 1:]))
+def corr_wide(spark, sf):
+    """Twenty-three columns, one of them constant."""
+    wide = table(spark, sf, "lineitem").select(*[F.expr(e.replace("::DOUBLE", "D")).alias(n) for n, e in WIDE.items()])
+    return P.correlation_matrix(wide, list(WIDE)).withColumn("correlation", F.round("correlation", 6))
+
+
 @query("""WITH m AS (SELECT min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem),
 b AS (SELECT least(CAST(floor((l_extendedprice - lo) / ((hi - lo) / 10)) AS INTEGER), 9) AS bin, lo, hi FROM lineitem, m)
 SELECT bin, round(any_value(lo) + bin * ((any_value(hi) - any_value(lo)) / 10), 4) AS bin_start, count(*) AS n_rows FROM b GROUP BY bin""")
 def histogram10(spark, sf):
-    return P.histogram(spread(table(spark, sf, "lineitem")), "l_extendedprice").withColumn("bin_start", F.round("bin_start", 4))
+    return P.histogram(table(spark, sf, "lineitem"), "l_extendedprice").withColumn("bin_start", F.round("bin_start", 4))
 
 
 @query("""WITH d AS (SELECT o_orderstatus, CASE WHEN o_custkey % 11 = 0 THEN 'soon' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS s FROM orders)
@@ -183,4 +194,4 @@ def quality_gates(spark, sf):
 
 @query("SELECT l_orderkey, l_linenumber, count(*) AS n_rows FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
 def duplicate_keys(spark, sf):
-    return P.duplicate_keys(spread(table(spark, sf, "lineitem")), ["l_orderkey", "l_linenumber"])
+    return P.duplicate_keys(table(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"])

@@ -1,5 +1,7 @@
 """Seeded split, folds and row numbers without a global sort."""
 
+from pyspark.sql import functions as F
+
 from . import query, sql_split, table
 from ..operators.encode import hash_split as split
 from ..operators.ranks import contiguous_folds, with_row_number
@@ -24,6 +26,13 @@ def row_index(spark, sf):
     return numbered.select("row_number", "event_id")
 
 
+@query("SELECT md5(doc_id::VARCHAR) AS review_id, CAST(ntile(5) OVER (ORDER BY md5(doc_id::VARCHAR)) - 1 AS INTEGER) AS fold, row_number() OVER (ORDER BY md5(doc_id::VARCHAR)) AS row_number FROM documents")
+def text_key_folds(spark, sf):
+    """Folds and row numbers in the order of a text key."""
+    ids = table(spark, sf, "documents").select(F.md5(F.col("doc_id").cast("string").cast("binary")).alias("review_id"))
+    return with_row_number(contiguous_folds(ids, "review_id", rows_per_bucket=BUCKET_ROWS), "review_id", rows_per_bucket=BUCKET_ROWS)
+
+
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 5000")
 def prefix_sample(spark, sf):
     """Calibration reads the first rows of a table: the row limit is the operator."""

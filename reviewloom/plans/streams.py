@@ -52,11 +52,30 @@ def _scorer(spark, sf):
 
 @query()
 def stream_score(spark, sf):
-    """Repeated events are dropped, forms parsed, scored with the loaded pipeline and labelled."""
-    events = S.once_per_submission(S.read_events(spark, _event_files(spark, sf, "events", repeat=True)))
-    scored = S.score_events(events, _scorer(spark, sf)).select(
-        "submission_id", "summary", "wl_balance", "predicted_rating", "satisfaction", "confidence")
-    return S.run_to_table(scored, shared_dir(spark, "scored"), shared_dir(spark, "checkpoint"))
+    """Forms parsed, scored with the loaded pipeline and labelled; each submission lands once."""
+    scored = S.score_events(S.read_events(spark, _event_files(spark, sf, "events", repeat=True)), _scorer(spark, sf))
+    kept = S.append_once(scored, shared_dir(spark, "scored"), shared_dir(spark, "checkpoint"))
+    return kept.select("submission_id", "summary", "wl_balance", "predicted_rating", "satisfaction", "confidence")
+
+
+@query("""SELECT CAST(event_id AS VARCHAR) AS submission_id, event_type, count(*) OVER () AS n_kept,
+(SELECT count(*) FROM events WHERE event_id % 50 = 0) AS n_rejected FROM events WHERE event_id % 50 <> 0""")
+def stream_dedup(spark, sf):
+    """Files that come latest first, one per batch, every event twice; events without a time are set aside."""
+    events = table(spark, sf, "events").select(
+        F.col("event_id").cast("string").alias("submission_id"), F.when(F.col("event_id") % 50 != 0, F.col("ts").cast("timestamp")).alias("ts"),
+        F.col("event_type").alias("payload"), F.col("ts").cast("timestamp").alias("_at"))
+    cuts = events.select(F.percentile_approx(F.col("_at").cast("double"), [0.25, 0.5, 0.75]).alias("c")).first()["c"]
+    part = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col("_at").cast("double")))
+    folder = shared_dir(spark, "late-events")
+    for k in reversed(range(4)):  # a write per part, so that files get their times in this order
+        own = events.where(part == k).drop("_at")
+        own.coalesce(1).write.mode("append").json(folder)
+        own.withColumn("ts", F.col("ts") + F.expr("INTERVAL 5 SECONDS")).coalesce(1).write.mode("append").json(folder)
+    kept, rejects = shared_dir(spark, "kept"), shared_dir(spark, "rejects")
+    out = S.append_once(S.read_events(spark, folder, files_per_batch=1), kept, shared_dir(spark, "checkpoint"), rejects=rejects)
+    again = spark.read.parquet(rejects).select("submission_id").distinct().count()
+    return out.select("submission_id", F.col("payload").alias("event_type"), F.lit(out.count()).alias("n_kept"), F.lit(again).alias("n_rejected"))
 
 
 def _rated(df):
@@ -93,5 +112,7 @@ def stream_daily(spark, sf):
     path = _gold(spark, sf, "daily-events")
     stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
     counts = S.class_counts(stream.withColumn("ts", F.to_timestamp("timestamp")), "ts", "satisfaction")
-    daily = S.keep_current(counts, shared_dir(spark, "daily"), shared_dir(spark, "checkpoint"))
+    target, checkpoint = shared_dir(spark, "daily"), shared_dir(spark, "checkpoint")
+    S.keep_current(counts, target, checkpoint)
+    daily = S.keep_current(counts, target, checkpoint)  # a second run without new files changes nothing
     return daily.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "satisfaction", "n_events")

@@ -2,24 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.fixed_values import GOLD_COLUMNS
 
-# Schemas of the two review dialects; ratings stay text until the lenient cast.
-_SOURCE_A = (
-    "firm date_review job_title current location overall_rating work_life_balance culture_values "
-    "diversity_inclusion career_opp comp_benefits senior_mgmt recommend ceo_approv outlook headline pros cons"
-).split()
-_SOURCE_B = [
-    "firm_link", "date", "job", "status", "rating", "Work/Life Balance", "Culture & Values",
-    "Diversity & Inclusion", "Career Opportunities", "Compensation and Benefits", "Senior Management",
-    "Recommend", "CEO Approval", "Business Outlook", "title", "pros", "cons", "advice",
-]
-SOURCE_A_SCHEMA = ", ".join(f"`{c}` string" for c in _SOURCE_A)
-SOURCE_B_SCHEMA = ", ".join(f"`{c}` string" for c in _SOURCE_B)
-
-# Canonical name -> name in each dialect (None where the dialect lacks it).
+# Canonical name -> name in each review dialect (None where the dialect lacks it), in the
+# order of the dialect's columns; ratings stay text until the lenient cast.
 SOURCE_A_MAP = {
     "company": "firm", "date": "date_review", "job_title": "job_title", "current": "current",
     "location": "location", "overall_rating": "overall_rating", "wl_balance": "work_life_balance",
@@ -38,18 +26,12 @@ SOURCE_B_MAP = {
 }
 
 
-def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+SOURCE_A_SCHEMA, SOURCE_B_SCHEMA = (
+    ", ".join(f"`{c}` string" for c in mapping.values() if c) for mapping in (SOURCE_A_MAP, SOURCE_B_MAP))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for costly row work on a small input.
-
-    A file with one row group is one task whatever its size.  An input with a
-    partition per core, as any large table has, is left alone.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
 def read_csv(spark: SparkSession, path: str | list[str], schema: str, corrupt: str | None = None) -> DataFrame:
@@ -85,15 +67,9 @@ def convert_csv(spark: SparkSession, path: str, schema: str, target: str, corrup
     return spark.read.parquet(target)
 
 
-def read_folder(spark: SparkSession, folder: str, schema: str, execution_type: str = "real") -> DataFrame:
-    """All files of a folder with their file name; ``test`` keeps the first five files by name."""
-    if execution_type not in ("test", "real"):
-        raise ValueError("execution type must be 'test' or 'real'")
-    files = read_csv(spark, folder, schema).select("*", F.col("_metadata.file_name").alias("file_name"))
-    if execution_type == "real":
-        return files
-    first = [r[0] for r in files.select("file_name").distinct().orderBy("file_name").limit(5).collect()]
-    return files.where(F.col("file_name").isin(*first))
+def read_folder(spark: SparkSession, folder: str | list[str], schema: str) -> DataFrame:
+    """All files of a folder, or of a list of paths, with their file name."""
+    return read_csv(spark, folder, schema).select("*", F.col("_metadata.file_name").alias("file_name"))
 
 
 def company_from_file(file_name: Column) -> Column:
@@ -158,16 +134,23 @@ def append_new(df: DataFrame, path: str, keys: list[str]) -> None:
 def missing_periods(df: DataFrame, entity: str, period: Column, first: Column, last: Column) -> DataFrame:
     """(entity, period) pairs between an entity-independent first and last period that have no rows.
 
-    Periods are consecutive integers.  The expected pairs come from exploding a
-    sequence per entity, not from a cross join.
+    Periods are consecutive integers.  Only the pairs seen are shuffled; each
+    spans the gap up to the entity's next one, and the outer ends.
     """
     seen = df.select(entity, period.alias("period")).distinct()
     span = df.agg(first.alias("lo"), last.alias("hi")).first()
     kind = seen.schema["period"].dataType
-    expected = seen.select(entity).distinct().select(
-        entity, F.explode(F.sequence(F.lit(span["lo"]).cast(kind), F.lit(span["hi"]).cast(kind))).alias("period")
-    )
-    return expected.join(seen, [entity, "period"], "left_anti")
+    low, high = F.lit(span["lo"]).cast(kind), F.lit(span["hi"]).cast(kind)
+    order = Window.partitionBy(entity).orderBy("period")
+    known = seen.where(F.col("period").isNotNull()).select(
+        entity, "period", F.lag("period").over(order).alias("before"), F.lead("period").over(order).alias("after"))
+    gap = lambda a, b: F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast(f"array<{kind.simpleString()}>"))
+    after = gap(F.greatest(F.col("period") + 1, low).cast(kind), F.least(F.coalesce(F.col("after") - 1, high), high).cast(kind))
+    ahead = F.when(F.col("before").isNull(), gap(low, F.least(F.col("period") - 1, high).cast(kind))).otherwise(
+        F.array().cast(f"array<{kind.simpleString()}>"))
+    never = seen.groupBy(entity).agg(F.max("period").alias("period")).where("period IS NULL")
+    return known.select(entity, F.explode(F.concat(ahead, after)).alias("period")).unionByName(
+        never.select(entity, F.explode(gap(low, high)).alias("period")))
 
 
 def quarantine(df: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, DataFrame]:

@@ -13,25 +13,42 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.forms import parse_forms
 from ..functions.fixed_values import SUB_RATINGS
 from ..operators.evaluate import decide
-from ..sources.tables import gold_rows
+from ..sources.tables import append_new, gold_rows, quarantine
 
 EVENT_SCHEMA = "submission_id string, ts timestamp, payload string"
 
 
 def read_events(spark: SparkSession, folder: str, files_per_batch: int = 100) -> DataFrame:
-    """JSON-lines events; a malformed line keeps null fields and is dropped by the id filter."""
+    """JSON-lines events; a malformed line keeps null fields."""
     return (
         spark.readStream.schema(EVENT_SCHEMA).option("mode", "PERMISSIVE")
         .option("maxFilesPerTrigger", files_per_batch).json(folder)
     )
 
 
-def once_per_submission(events: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Drop re-sent events that arrive within the watermark delay; state is bounded by it."""
-    return (
-        events.where("submission_id is not null and ts is not null")
-        .withWatermark("ts", delay).dropDuplicatesWithinWatermark(["submission_id"])
+def append_once(stream: DataFrame, path: str, checkpoint: str, key: str = "submission_id", rejects: str | None = None) -> DataFrame:
+    """Drain a stream into a table that holds each key once, however late a repeat or a first copy comes.
+
+    Every batch keeps the earliest row of a key (by ``ts``) and appends the keys
+    that the table lacks, so a batch that is retried adds nothing.  Rows without
+    key or time go to the ``rejects`` table with the reason.
+    """
+    columns = stream.columns
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        good, bad = quarantine(batch, {"no key": F.col(key).isNotNull(), "no time": F.col("ts").isNotNull()})
+        if rejects:
+            bad.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{rejects}/batch={batch_id}")
+        row = F.struct(*columns)
+        first = good.groupBy(F.col(key).alias("_key")).agg(F.min_by(row, F.struct("ts", row)).alias("_first"))
+        append_new(first.select("_first.*"), path, [key])
+
+    q = (
+        stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True).start()
     )
+    q.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)
 
 
 def score_events(events: DataFrame, model_score: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -76,20 +93,17 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "app
 
 
 def keep_current(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
-    """Drain an aggregating stream; every batch writes the full result as a new version, the last is returned.
+    """Drain an aggregating stream; every batch replaces the table by the full result.
 
-    A batch that is retried rewrites its own version, so readers never see half a table.
+    A retried batch writes the same rows again; a run without new input leaves
+    the table as it is.
     """
-    written: list[str] = []
-
     def write(batch: DataFrame, batch_id: int) -> None:
-        target = f"{path}/version-{batch_id}"
-        batch.write.mode("overwrite").parquet(target)
-        written.append(target)
+        batch.write.mode("overwrite").parquet(path)
 
     q = (
         stream.writeStream.outputMode("complete").foreachBatch(write)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
     q.awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(written[-1])
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)

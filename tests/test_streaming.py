@@ -21,14 +21,28 @@ def test_stream_equals_batch_without_repeats(spark, tmp_path):
     folder.mkdir()
     (folder / "a.json").write_text("\n".join([_line("1", "2024-01-01T10:00:00Z", "abcd"), "{broken", _line("2", "2024-01-01T10:01:00Z", "ab")]))
     (folder / "b.json").write_text("\n".join([_line("1", "2024-01-01T10:20:00Z", "abcd"), _line("3", "2024-01-01T10:30:00Z", "abcde")]))
-    events = S.once_per_submission(S.read_events(spark, str(folder), files_per_batch=1))
-    out = S.run_to_table(S.score_events(events, _score), str(tmp_path / "out"), str(tmp_path / "cp"))
+    stream = S.score_events(S.read_events(spark, str(folder), files_per_batch=1), _score)
+    target, checkpoint, rejects = (str(tmp_path / n) for n in ("out", "cp", "bad"))
+    S.append_once(stream, target, checkpoint, rejects=rejects)
+    out = S.append_once(stream, target, checkpoint, rejects=rejects)  # nothing new
+    assert spark.read.parquet(rejects).count() == 1
     got = sorted((r["submission_id"], r["predicted_rating"], r["satisfaction"]) for r in out.collect())
     assert got == [("1", 4.0, "Alto"), ("2", 2.0, "Bajo"), ("3", 5.0, "Alto")]
     batch = S.score_events(spark.read.schema(S.EVENT_SCHEMA).json(str(folder)).dropDuplicates(["submission_id"]).where("submission_id is not null"), _score)
     assert sorted((r["submission_id"], r["predicted_rating"], r["satisfaction"]) for r in batch.collect()) == got
 
 
+def test_late_events_stay_and_repeats_do_not(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    times = ["2024-01-02T10:00:00Z", "2024-01-02T11:30:00Z", "2024-01-01T10:00:00Z", "2023-01-01T10:00:00Z"]
+    target, checkpoint = str(tmp_path / "out"), str(tmp_path / "cp")
+    for k, ts in enumerate(times):
+        (folder / f"{k}.json").write_text("\n".join([_line(str(k), ts, "abcd"), _line("0", ts, "abcd"), json.dumps({"submission_id": "no time"})]))
+        S.append_once(S.read_events(spark, str(folder), files_per_batch=1), target, checkpoint)
+    assert sorted(r["submission_id"] for r in spark.read.parquet(target).collect()) == ["0", "1", "2", "3"]
+
+
 def test_gold_appends_only_new_files(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
@@ -43,5 +57,6 @@ def test_gold_appends_only_new_files(spark, tmp_path):
 def test_class_counts_versions(spark, tmp_path):
     spark.sql("SELECT timestamp'2024-01-01 10:00:00' AS ts, 'Alto' AS c UNION ALL SELECT timestamp'2024-01-02 01:00:00', 'Bajo'").write.parquet(str(tmp_path / "gold"))
     stream = spark.readStream.schema("ts timestamp, c string").parquet(str(tmp_path / "gold"))
-    out = S.keep_current(S.class_counts(stream, "ts", "c"), str(tmp_path / "daily"), str(tmp_path / "cp"))
+    for _ in range(2):  # the second run has no new files
+        out = S.keep_current(S.class_counts(stream, "ts", "c"), str(tmp_path / "daily"), str(tmp_path / "cp"))
     assert sorted((str(r["day"]), r["c"], r["n_events"]) for r in out.collect()) == [("2024-01-01 00:00:00", "Alto", 1), ("2024-01-02 00:00:00", "Bajo", 1)]
