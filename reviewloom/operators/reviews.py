@@ -38,10 +38,12 @@ def merge_reviews(
     for df in (a, b):
         listed = settle(slug_matches(df, "company", slugs, slug), "listed-slugs")
         kept = keep_matching(df, "company", listed)
-        sides.append(add_keys(kept, F.col("pros"), F.col("cons"), F.col("company"), F.col("date")))
-    # Several branches read the keyed tables, so each is computed once.
-    merged = merge_sources(written(sides[0], "reviews-a"), written(sides[1], "reviews-b"), "content_key", order)
-    unique = keep_first(merged, "review_id", ["source", *order])
+        keyed = add_keys(kept, F.col("pros"), F.col("cons"), F.col("company"), F.col("date"))
+        sides.append(written(keyed.withColumn("_row", F.monotonically_increasing_id()), "reviews"))
+    # Winners are chosen on keys alone; texts are only read again for the rows that stay.
+    narrow = [s.select("_row", "source", "content_key", *dict.fromkeys(["review_id", *order])) for s in sides]
+    winners = keep_first(merge_sources(*narrow, "content_key", [*order, "_row"]), "review_id", ["source", *order, "_row"])
+    unique = sides[0].unionByName(sides[1]).join(winners.select("source", "_row"), ["source", "_row"], "left_semi")
     return keep_existing(unique, CANONICAL_COLUMNS)
 
 

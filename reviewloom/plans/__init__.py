@@ -38,7 +38,7 @@ def sql_split(key: str, seed: int = 20, percent: int = 80) -> str:
 
 MODULES = (
     "dedup matching schema enrichment profiling encoding text vectors decisions extraction "
-    "split io models incremental streams"
+    "split io models incremental streams reviews"
 ).split()
 
 
