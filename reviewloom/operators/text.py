@@ -104,16 +104,12 @@ def top_words(df: DataFrame, text: str, n: int, stopwords: list[str]) -> DataFra
     return word_frequencies(df, text, stopwords).orderBy(F.desc("frequency"), "word").limit(n)
 
 
-def top_words_by_class(
-    df: DataFrame, text: str, source: str, label: str, classes: list[str], n: int, stopwords: list[str]
-) -> DataFrame:
+def top_words_by_class(counts: DataFrame, source: str, label: str, classes: list[str], n: int) -> DataFrame:
     """The n most frequent words per (source, class) and per source over all rows.
 
-    Words are counted per class first; the overall counts are sums of those, so
-    the texts are read and exploded once.  'All' also holds rows whose class is
-    null or unknown, hence it is its own branch and not a null group.
+    ``counts`` has ``word`` and ``frequency`` beside source and class, at any grain (per document, say), so texts
+    are exploded once and never joined.  'All' also holds rows whose class is null or unknown.
     """
-    counts = word_frequencies(df, text, stopwords, (source, label))
     slots = F.when(F.col(label).isin(*classes), F.array(F.col(label), F.lit(LABEL_ALL))).otherwise(
         F.array(F.lit(LABEL_ALL))
     )

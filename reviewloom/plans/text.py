@@ -69,8 +69,9 @@ def keyword_topn_by_class(spark, sf):
     labels = table(spark, sf, "labels").select("doc_id", "quality")
     named = F.when(F.col("quality") == 1, LABEL_HIGH).when(F.col("quality") == 0, LABEL_LOW)
     docs = table(spark, sf, "documents").select("doc_id", "text", F.col("lang").alias("source"))
-    docs = docs.join(labels, "doc_id", "left").select("source", "text", named.alias("satisfaction"))
-    return T.top_words_by_class(docs, "text", "source", "satisfaction", [LABEL_HIGH, LABEL_LOW], 100, DOMAIN_STOPWORDS)
+    counts = T.word_frequencies(docs, "text", DOMAIN_STOPWORDS, ("doc_id", "source")).join(labels, "doc_id", "left")
+    counts = counts.select("source", named.alias("satisfaction"), "word", "frequency")
+    return T.top_words_by_class(counts, "source", "satisfaction", [LABEL_HIGH, LABEL_LOW], 100)
 
 
 def _ws_words(t):

@@ -175,7 +175,7 @@ def test_vocabulary_ratio_and_valence(spark):
 
 def test_top_words_by_class_counts_unlabelled_rows_in_all(spark):
     docs = spark.createDataFrame([("s", "Alto", "apple apple pear"), ("s", None, "apple plum"), ("s", "odd", "plum")], "src string, cls string, t string")
-    got = rows(text.top_words_by_class(docs, "t", "src", "cls", ["Alto", "Bajo"], 2, []).select("cls", "word", "frequency", "position"), "cls", "position")
+    got = rows(text.top_words_by_class(text.word_frequencies(docs, "t", [], ("src", "cls")), "src", "cls", ["Alto", "Bajo"], 2).select("cls", "word", "frequency", "position"), "cls", "position")
     assert got == [("All", "apple", 3, 1), ("All", "plum", 2, 2), ("Alto", "apple", 2, 1), ("Alto", "pear", 1, 2)]
 
 
