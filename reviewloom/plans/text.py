@@ -3,10 +3,11 @@
 from pyspark.sql import functions as F
 
 from . import query, sql_norm, table
-from ..functions.fixed_values import CLINICAL_VOCABULARY, DOMAIN_STOPWORDS, EMOTIONS, LABEL_HIGH, LABEL_LOW
+from ..functions.fixed_values import CLINICAL_VOCABULARY, DOMAIN_STOPWORDS, EMOTIONS, LABEL_HIGH, LABEL_LOW, TOPIC_CATEGORIES
 from ..functions.maths import clip
 from ..functions.strings import WS, letter_words, words
 from ..operators import text as T
+from ..operators.featurise import merged_dictionary, review_features as features_of
 from ..operators.bounds import settle
 from ..operators.profile import rows_with_any_nonzero
 
@@ -168,3 +169,60 @@ def tag_frequency_columns(spark, sf):
 @query("SELECT event_id, greatest(1.0, least(5.0, value / 50)) AS rating FROM events")
 def clip_ratings(spark, sf):
     return table(spark, sf, "events").select("event_id", clip(F.col("value") / 50, 1.0, 5.0).alias("rating"))
+
+
+def review_dictionary(spark, sf):
+    """The merged dictionary of the feature queries: common words of the conversations, vocabulary of the benchmark."""
+    w = _common_words(spark, sf, 60)
+    pick = lambda names, at: F.array(*[F.lit(n) for n in names])[at]
+    topic = pick(TOPIC_CATEGORIES, (F.col("bucket") * 2 + F.length("token") % 2).cast("int"))
+    vocabulary = table(spark, sf, "benchmark").select(F.explode(words(F.lower("text"))).alias("token"))
+    vocabulary = vocabulary.union(spark.createDataFrame([(v,) for v in CLINICAL_VOCABULARY], "token string")).distinct()
+    return merged_dictionary(
+        w.select("token", pick(TAGS, F.col("bucket") % 5).alias("tag")), w.select("token", pick(EMOTION_KEYS, F.col("bucket")).alias("category")),
+        w.select("token", topic.alias("topic")), w.select("token", (F.col("bucket") - 4).alias("valence")), vocabulary)
+
+
+def review_texts(spark, sf):
+    """Documents as reviews: the start as summary, the whole text as pros, what follows the start as cons."""
+    t = F.coalesce("text", F.lit(""))
+    return table(spark, sf, "documents").select("doc_id", F.substring(t, 1, 60).alias("summary"), t.alias("pros"), F.substring(t, 61, 300).alias("cons"))
+
+
+def _sql_review_features():
+    fields, long = ("summary", "pros", "cons"), ("pros", "cons")
+    wordlen = lambda n: f"CASE WHEN {n} = '' THEN 0 ELSE len(regexp_split_to_array({n}, '{WS}+')) END"
+    out = []
+    for f in fields:
+        out += [f"any_value({f}_c)::INTEGER AS {f}_charlen", f"any_value({f}_w)::INTEGER AS {f}_wordlen"]
+    letters = {f: f"count(*) FILTER (field = '{f}' AND kind = 'letters')" for f in fields}
+    for f in fields:
+        out += [f"nullif(count(*) FILTER (field = '{f}' AND bucket % 5 = {i}), 0) / greatest({letters[f]}, 1) AS {f}_ld_{t}" for i, t in enumerate(TAGS)]
+    for f in long:
+        out += [f"coalesce(count(*) FILTER (field = '{f}' AND bucket = {i}) / nullif(count(bucket) FILTER (field = '{f}'), 0), 0)::DOUBLE AS {f}_emolex_{short}" for i, short in enumerate(EMOTIONS)]
+    for f in long:
+        v = f"coalesce(sum(bucket - 4) FILTER (field = '{f}'), 0)::DOUBLE"
+        out.append(f"round({v} / sqrt({v} * {v} + 15), 8) AS {f}_nltk_sia")
+    for f in long:
+        out.append(f"count(*) FILTER (field = '{f}' AND known = 1) / greatest(count(*) FILTER (field = '{f}' AND kind = 'words'), 1) AS ODI_related_vocab_{f}")
+    for f in long:
+        out += [f"count(*) FILTER (field = '{f}' AND bucket * 2 + length(token) % 2 = {i}) / greatest({letters[f]}, 1) AS {f}_empath_{t}" for i, t in enumerate(TOPIC_CATEGORIES)]
+    tokens = " UNION ALL ".join(
+        f"SELECT doc_id, '{f}' AS field, '{kind}' AS kind, unnest({expression}) AS token FROM x" for f in fields
+        for kind, expression in (("letters", _TOKENS.format(c=f)), ("words", _ws_words(sql_norm(f)))))
+    return f"""w AS (SELECT unnest({_D}) AS token FROM conversations),
+dict AS (SELECT token, 'letters' AS kind, ('0x' || substr(md5(token), 1, 6))::BIGINT % 10 AS bucket FROM w GROUP BY token ORDER BY count(*) DESC, token LIMIT 60),
+v AS (SELECT DISTINCT unnest({_ws_words("lower(text)")}) AS token FROM benchmark UNION SELECT unnest([{', '.join("'" + w + "'" for w in CLINICAL_VOCABULARY)}])),
+vk AS (SELECT token, 'words' AS kind, 1 AS known FROM v),
+x AS (SELECT doc_id, substr(coalesce(text, ''), 1, 60) AS summary, coalesce(text, '') AS pros, substr(coalesce(text, ''), 61, 300) AS cons FROM documents),
+t AS ({tokens}),
+y AS (SELECT doc_id, {', '.join(f'length({f}) AS {f}_c, {wordlen(sql_norm(f))} AS {f}_w' for f in fields)} FROM x)
+SELECT y.doc_id, {', '.join(out)}
+FROM y LEFT JOIN t ON t.doc_id = y.doc_id LEFT JOIN dict USING (token, kind) LEFT JOIN vk USING (token, kind) GROUP BY y.doc_id"""
+
+
+@query(f"WITH {_sql_review_features()}")
+def review_features(spark, sf):
+    """Every text feature of a review in one pass, in signature order."""
+    out = features_of(review_texts(spark, sf), "doc_id", review_dictionary(spark, sf), TAGS)
+    return out.withColumns({c: F.round(c, 8) for c in ("pros_nltk_sia", "cons_nltk_sia")})
