@@ -15,6 +15,7 @@ ids; other columns are ignored.  Shingles and classes are told apart by 64-bit h
 from __future__ import annotations
 
 import heapq
+import zlib
 from bisect import bisect_left
 from itertools import groupby
 
@@ -27,44 +28,58 @@ from ..session import written
 from .components import components
 from .words import U, Words, mix, rows_of, slices, strings
 
-SLOTS = 1 << 19  # counters of the sketch
+CHARS_PER_SLOT = 400  # one counter of the sketch for so many characters, from 2^16 to 2^24 counters
 PIECES = 16
 LONG = 64  # inverted lists longer than this are probed where the overlap allows it
 BAND = 1.02
 CHUNK = 1024  # expected entries of a list that one search holds
 
 
-def _counters(width: int):
-    """Partial sketches: how many shingles of a task's texts fall on each counter, in pieces."""
+def _counters(width: int, slots: int):
+    """Partial sketches: how many shingles of a task's texts fall on each counter, in packed pieces."""
     def run(batches):
-        total = np.zeros(SLOTS, np.int64)
+        total = np.zeros(slots, np.int64)
         for b in batches:
             t = strings(b.column("text"))
             for at, end in slices(t):
-                total += np.bincount((Words(t.slice(at, end - at)).shingles(width)[0] % U(SLOTS)).astype(np.int64), minlength=SLOTS)
-        yield pa.RecordBatch.from_pydict({"piece": pa.array(range(PIECES), pa.int32()), "counts": [x.astype("<i8").tobytes() for x in np.split(total, PIECES)]})
+                total += np.bincount((Words(t.slice(at, end - at)).shingles(width)[0] % U(slots)).astype(np.int64), minlength=slots)
+        yield pa.RecordBatch.from_pydict({"piece": pa.array(range(PIECES), pa.int32()), "counts": [packed(x) for x in np.split(total, PIECES)]})
 
     return run
 
 
+def packed(counts: np.ndarray) -> bytes:
+    """Counts by their four low bytes and four high bytes, compressed: most are small."""
+    return zlib.compress((counts & 0xFFFFFFFF).astype("<u4").tobytes() + (counts >> 32).astype("<u4").tobytes(), 1)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    low, high = np.frombuffer(zlib.decompress(data), "<u4").astype(np.int64).reshape(2, -1)
+    return low + (high << 32)
+
+
 def _summed(group: pa.Table) -> pa.Table:
-    total = np.sum([np.frombuffer(x, "<i8") for x in group["counts"].to_pylist()], axis=0)
-    return pa.table({"piece": group["piece"].slice(0, 1), "counts": [total.astype("<i8").tobytes()]})
+    total = np.zeros(1, np.int64)
+    for x in group["counts"]:
+        total = total + unpacked(x.as_py())
+    return pa.table({"piece": group["piece"].slice(0, 1), "counts": [packed(total)]})
 
 
 def count_sketch(texts: DataFrame, width: int) -> np.ndarray:
     """Rank of each counter: 0 for usual ones, growing with the logarithm of the count above twice the mean."""
-    parts = texts.mapInArrow(_counters(width), "piece int, counts binary").groupBy("piece").applyInArrow(_summed, "piece int, counts binary").collect()
+    chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
+    slots = 1 << int(np.clip(np.ceil(np.log2(max(chars, 1) / CHARS_PER_SLOT)), 16, 24))
+    parts = texts.mapInArrow(_counters(width, slots), "piece int, counts binary").groupBy("piece").applyInArrow(_summed, "piece int, counts binary").collect()
     if not parts:
-        return np.zeros(SLOTS, np.uint8)
-    total = np.concatenate([np.frombuffer(r["counts"], "<i8") for r in sorted(parts, key=lambda r: r["piece"])])
+        return np.zeros(slots, np.uint8)
+    total = np.concatenate([unpacked(r["counts"]) for r in sorted(parts, key=lambda r: r["piece"])])
     return np.clip(np.floor(np.log2(np.maximum(total, 1) / (2 * total.mean() + 16))) + 1, 0, 63).astype(np.uint8)
 
 
 def distinct_shingles(texts: pa.Array, width: int, ranks: np.ndarray):
     """Distinct shingles of each text in the common order, and where each text starts; 58-bit tokens carry the rank."""
     shingles, first = Words(texts).shingles(width)
-    token = (shingles >> U(6)) | (ranks[(shingles % U(SLOTS)).astype(np.int64)].astype(U) << U(58))
+    token = (shingles >> U(6)) | (ranks[(shingles % U(len(ranks))).astype(np.int64)].astype(U) << U(58))
     row = rows_of(first)
     order = np.lexsort((shingles, token, row))
     shingles, token, row = shingles[order], token[order], row[order]
@@ -139,14 +154,21 @@ def _key(ids: pa.Array, classes: np.ndarray) -> np.ndarray:
     return mix(own + classes.view(U)).view(np.int64)
 
 
-def whole_sets(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(class, members) of the wanted (class, id) pairs: the sorted hashes of their sets, read from the texts again."""
+def whole_sets(texts: DataFrame, pairs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
+    """(class, members, left, right): the sorted hashes of the sets of all classes in the pairs, read from the texts
+    again; left and right tell on which side of the pairs a class is wanted.
+
+    Rows are picked by Bloom filters on (class, id), so a few more than wanted, or one twice, may come along.
+    """
     def keys(batches):
         for b in batches:
             yield pa.RecordBatch.from_pydict({"key": _key(b.column("id"), b.column("class").to_numpy())})
 
-    bits = _filter(wanted.select("id", "class").mapInArrow(keys, "key long"))
-    none = np.zeros(SLOTS, np.uint8)
+    def wanted(side: str) -> np.ndarray:
+        nodes = pairs.select(F.col(side).alias("class")).distinct().join(classes, "class")
+        return _filter(nodes.select("id", "class").mapInArrow(keys, "key long"))
+
+    filters, none = (wanted("a"), wanted("b")), np.zeros(1, np.uint8)
 
     def run(batches):
         for b in batches:
@@ -154,12 +176,18 @@ def whole_sets(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
             for at, end in slices(t):
                 shingles, _, first = distinct_shingles(t.slice(at, end - at), width, none)
                 classes = class_ids(shingles, first)
-                place = _bits(_key(b.column("id").slice(at, end - at), classes), 8 * len(bits))
-                hit = np.flatnonzero(((bits[place >> 3] >> (7 - (place & 7))) & 1).all(0) & (np.diff(first) > 0))
+                keys = _key(b.column("id").slice(at, end - at), classes)
+                sides = []
+                for bits in filters:
+                    place = _bits(keys, 8 * len(bits))
+                    sides.append(((bits[place >> 3] >> (7 - (place & 7))) & 1).all(0) & (np.diff(first) > 0))
+                hit = np.flatnonzero(sides[0] | sides[1])
                 if len(hit):
-                    yield pa.RecordBatch.from_pydict({"class": classes[hit], "members": [np.sort(shingles[first[i]:first[i + 1]]).tobytes() for i in hit]})
+                    yield pa.RecordBatch.from_pydict({
+                        "class": classes[hit], "members": [np.sort(shingles[first[i]:first[i + 1]]).tobytes() for i in hit],
+                        "left": sides[0][hit], "right": sides[1][hit]})
 
-    return written(texts.mapInArrow(run, "class long, members binary").dropDuplicates(["class"]), "sets")
+    return written(texts.mapInArrow(run, "class long, members binary, left boolean, right boolean"), "sets")
 
 
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -173,9 +201,9 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(both * (100 + percent) >= percent * (len(x) + len(y)))
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left = pairs.join(sets.select(F.col("class").alias("a"), F.col("members").alias("x")), "a")
-    both = left.join(sets.select(F.col("class").alias("b"), F.col("members").alias("y")), "b").select("a", "b", "x", "y")
-    return written(both.mapInArrow(run, "a long, b long"), "linked")
+    left = pairs.join(sets.where("left").select(F.col("class").alias("a"), F.col("members").alias("x")), "a")
+    both = left.join(sets.where("right").select(F.col("class").alias("b"), F.col("members").alias("y")), "b").select("a", "b", "x", "y")
+    return written(both.mapInArrow(run, "a long, b long").distinct(), "linked")
 
 
 def divide_skip(lists: list[np.ndarray], least: int) -> dict[int, int]:
@@ -278,7 +306,9 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = every.where("n > 0").groupBy("class").agg(F.min("id").alias("id"), F.count("*").alias("size"))
     own = every.where("n > 0").dropDuplicates(["class"])
     postings = own.select("class", "n", F.size("tokens").alias("indexed"), F.explode("tokens").alias("token"))
-    several = postings.groupBy("token").agg(F.count("*").alias("length")).where("length > 1").select("token")
+    # the conditions on n and indexed always hold: with them both uses of the classes share one shuffle
+    several = postings.groupBy("token").agg(F.count("*").alias("length"), F.max("n").alias("n"), F.max("indexed").alias("i"))
+    several = several.where("length > 1 AND n > 0 AND i > 0").select("token")
     shared = written(postings.join(several, "token"), "postings")
 
     # every list against its most central class: the one with the largest share of its index in lists
@@ -292,11 +322,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     stars = stars.groupBy(F.col("class").alias("a"), F.col("pivot.class").alias("b")).agg(F.count("*").alias("shared"), F.first(need).alias("need"))
     stars = written(stars.where("shared >= need").select("a", "b"), "pairs")
 
-    def sets_of(pairs: DataFrame) -> DataFrame:
-        nodes = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
-        return whole_sets(texts, nodes.join(classes, "class").select("class", "id"), width)
-
-    links = linked(stars, sets_of(stars), percent)
+    links = linked(stars, whole_sets(texts, stars, classes, width), percent)
     labels = components(links)
 
     # what is left: lists that hold several components; the smaller component asks the larger one
@@ -318,7 +344,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     lists = held.groupBy("token", "band", chunk.alias("chunk")).agg(F.collect_list(F.struct("class", "n", "rank.members", "rank.label")).alias("entries"))
     asked = asks.join(lists, ["token", "band"]).repartition("query", "band", "chunk").sortWithinPartitions("query", "band", "chunk")
     rest = written(asked.mapInArrow(_search(percent), "a long, b long"), "pairs")
-    more = linked(rest, sets_of(rest), percent)
+    more = linked(rest, whole_sets(texts, rest, classes, width), percent)
 
     labels = components(links.unionByName(more))
     named = classes.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
