@@ -1,13 +1,14 @@
 """Chat formatting: records of unlike layouts become canonical turns, then one marked text with a loss mask.
 
-A record's schema fingerprint is the hash of its nested field paths; it selects a declarative mapping to turns.  The
+A record's schema fingerprint is the hash of its nested field paths; it selects a declarative mapping to turns.  Fields
+beside the paths of a layout are optional, but for fields in which another layout keeps texts.  The
 template writes ``<|im_start|>role\\ntext<|im_end|>\\n`` per turn.  In roles and texts a backslash is doubled and ``<|``
 becomes ``<\\|`` (in roles a line end becomes ``\\n``), so that control strings inside texts cannot be taken for marks
 and reading back gives the very texts.  The loss mask is the places of assistant texts, in code points.
 
 Odd input: null texts and roles are empty; turns order by turn, role, text, nulls first; repeated rows are turns of
 their own; a null conversation id is one conversation; a record that is no object, or of an unknown layout, has the
-layout ``unknown`` and no turns; an empty table gives no rows.  One conversation is one row, so it must fit a row.
+layout ``unknown`` and no turns, and stays whole in the column ``unmapped``; an empty table gives no rows.  One conversation is one row, so it must fit a row.
 """
 
 from __future__ import annotations
@@ -54,6 +55,18 @@ def fingerprint(names) -> str:
 
 
 MAPPINGS = {fingerprint(names): (layout, mapping) for layout, (names, mapping) in LAYOUTS.items()}
+#: Outermost fields in which a layout keeps texts.
+FIELDS = {layout: {re.split(r"[.\[]", n)[0] for n in names} for layout, (names, _) in LAYOUTS.items()}
+TEXT_FIELDS = set().union(*FIELDS.values())
+
+
+def mapping_of(names: set[str]) -> tuple[str, dict | None]:
+    """The layout whose paths are all there and whose fields are all of the text fields that are there."""
+    there = TEXT_FIELDS & {re.split(r"[.\[]", n)[0] for n in names}
+    for layout, (needed, mapping) in LAYOUTS.items():
+        if FIELDS[layout] == there and names.issuperset(needed):
+            return layout, mapping
+    return "unknown", None
 
 
 def _text(value) -> str:
@@ -68,13 +81,15 @@ def canonical(record: str | None) -> tuple[str, str, list[tuple[str, str]]]:
         value = None
     names = paths(value)
     mark = fingerprint(names)
-    layout, mapping = MAPPINGS.get(mark, ("unknown", None))
+    layout, mapping = MAPPINGS.get(mark) or mapping_of(names)
     if not isinstance(value, dict) or mapping is None:
         return mark, "unknown", []
     if "turns" in mapping:
         return mark, layout, [(role, "\n\n".join(t for t in (_text(value[f]) for f in fields) if t)) for role, fields in mapping["turns"]]
     for step in mapping["each"].split("."):
-        value = value[step]
+        value = value.get(step) if isinstance(value, dict) else None
+    if not isinstance(value, list) or not all(isinstance(m, dict) for m in value):
+        return mark, "unknown", []
     renamed = mapping.get("names", {})
     return mark, layout, [(renamed.get(r, r), _text(m.get(mapping["text"]))) for m in value for r in [_text(m.get(mapping["role"]))]]
 
@@ -108,23 +123,25 @@ def read_turns(text: str) -> list[tuple[str, str]]:
     return out
 
 
-FORMATTED = "fingerprint string, layout string, formatted string, loss_spans array<struct<start:bigint,end:bigint>>"
+FORMATTED = "fingerprint string, layout string, formatted string, loss_spans array<struct<start:bigint,end:bigint>>, unmapped string"
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 _TURNS = pa.list_(pa.struct([("role", pa.string()), ("text", pa.string())]))
 
 
 def format_chats(records: DataFrame, id_col: str = "conv_id", record_col: str = "record") -> DataFrame:
-    """id, fingerprint, layout, formatted text and loss_spans of JSON records."""
+    """id, fingerprint, layout, formatted text and loss_spans of JSON records; unmapped is a record of unknown layout."""
     kind = records.schema[id_col].dataType.simpleString()
 
     def run(batches):
         for b in batches:
             for i in range(b.num_rows):  # a row at a time: conversations may be long
-                mark, layout, turns = canonical(b.column(1)[i].as_py())
+                record = b.column(1)[i].as_py()
+                mark, layout, turns = canonical(record)
                 text, spans = formatted(turns)
                 yield pa.RecordBatch.from_arrays([
                     b.column(0).slice(i, 1), pa.array([mark]), pa.array([layout]), pa.array([text]), pa.array([[{"start": s, "end": e} for s, e in spans]], _SPANS),
-                ], names=["id", "fingerprint", "layout", "formatted", "loss_spans"])
+                    pa.array([record if layout == "unknown" else None], pa.string()),
+                ], names=["id", "fingerprint", "layout", "formatted", "loss_spans", "unmapped"])
 
     return _packed(records.select(F.col(id_col).alias("id"), record_col), run, f"id {kind}, {FORMATTED}").withColumnRenamed("id", id_col)
 
@@ -161,22 +178,47 @@ def _packed(df: DataFrame, run, schema: str, rows: int = 256, size: int = 4 << 2
     return df.mapInArrow(packed, schema)
 
 
+def unmapped(chats: DataFrame, id_col: str = "conv_id") -> DataFrame:
+    """The records of unknown layout among formatted chats, whole, with their fingerprints."""
+    return chats.where(F.col("layout") == "unknown").select(id_col, "fingerprint", F.col("unmapped").alias("record"))
+
+
 def records_of(turns: DataFrame) -> DataFrame:
-    """One JSON record per conversation (conv_id, turn, role, text), in the layout that its roles allow.
+    """One JSON record per conversation (conv_id, turn, role, text), dealt by id to the layouts that its roles allow.
 
-    A prompt with its response, an instruction with a system text, a shared dialogue where a system text comes
-    first, else a list of messages.
+    Some records have fields beside those of their layout, and some messages a name.
     """
     text = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
     rows = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", text("role"), text("text")))).alias("t"))
-    roles, at = F.col("t.role"), lambda i: F.col("t")[i]["text"]
+    roles, at = F.col("t.role"), lambda i, name: F.col("t")[i]["text"].alias(name)
     named = lambda t: F.when(t["role"] == "user", "human").when(t["role"] == "assistant", "gpt").otherwise(t["role"])
-    record = (
-        F.when(roles == F.array(F.lit("user"), F.lit("assistant")), F.to_json(F.struct(at(0).alias("prompt"), at(1).alias("response"))))
-        .when(roles == F.array(F.lit("system"), F.lit("user"), F.lit("assistant")), F.to_json(F.struct(at(0).alias("system"), at(1).alias("instruction"), at(2).alias("output"))))
-        .when(
-            (roles[0] == "system") & F.forall(roles, lambda r: r.isin("system", "user", "assistant")),
-            F.to_json(F.struct(F.transform("t", lambda t: F.struct(named(t).alias("from"), t["text"].alias("value"))).alias("conversations"))),
-        ).otherwise(F.to_json(F.struct(F.transform("t", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("content"))).alias("messages"))))
+    extra = F.when(F.pmod(F.xxhash64(F.lit("extra"), "conv_id"), F.lit(2)) == 0, "conversations").alias("source")
+    name = lambda t: F.when((t["turn"] % 2 == 0) & extra.isNotNull(), "name").alias("name")
+    record = lambda *fields: F.to_json(F.struct(*fields, extra))  # noqa: E731  null fields are left out
+    listed = lambda role, body: F.transform("t", lambda t: F.struct((named(t) if role == "from" else t["role"]).alias(role), t["text"].alias(body), name(t)))
+    # an instruction and its input are read back with an empty line between them
+    said = F.col("t")[0]["text"]
+    start = F.substring_index(said, "\n\n", 1)
+    rest = F.substring(said, F.length(start) + 3, F.length(said))
+    parted = (start != "") & (rest != "")
+    messages = [record(listed("role", "content").alias("messages")), record(F.struct(listed("role", "content").alias("messages")).alias("data"))]
+    known = [*messages, record(listed("from", "value").alias("conversations"))]
+    pair = [
+        *known, record(at(0, "prompt"), at(1, "response")), record(at(0, "prompt"), at(1, "completion")), record(at(0, "question"), at(1, "answer")),
+        record(at(0, "instruction"), at(1, "output")),
+        record(F.when(parted, start).otherwise(said).alias("instruction"), F.when(parted, rest).otherwise("").alias("input"), at(1, "output")),
+    ]
+    system = [*known, record(at(0, "system"), at(1, "instruction"), at(2, "output"))]
+
+    def dealt(kinds: list):
+        place, out = F.pmod(F.xxhash64(F.lit("layout"), "conv_id"), F.lit(len(kinds))), kinds[-1]
+        for k, kind in enumerate(kinds[:-1]):
+            out = F.when(place == k, kind).otherwise(out)
+        return out
+
+    of = lambda *names: roles == F.array(*map(F.lit, names))
+    chosen = (
+        F.when(of("user", "assistant"), dealt(pair)).when(of("system", "user", "assistant"), dealt(system))
+        .when(F.forall(roles, lambda r: r.isin("system", "user", "assistant")), dealt(known)).otherwise(dealt(messages))
     )
-    return rows.select("conv_id", record.alias("record"))
+    return rows.select("conv_id", chosen.alias("record"))

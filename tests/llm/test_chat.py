@@ -3,7 +3,7 @@ import json
 
 import pytest
 
-from reviewloom.llm.chat import LAYOUTS, MAPPINGS, canonical, escaped, format_chats, formatted, paths, read_chats, read_turns, records_of, unescaped
+from reviewloom.llm.chat import LAYOUTS, MAPPINGS, canonical, escaped, format_chats, formatted, paths, read_chats, read_turns, records_of, unescaped, unmapped
 from reviewloom.llm.queries import ORACLES, QUERIES
 from tests.compare import differences, duck
 
@@ -37,6 +37,32 @@ def test_every_layout_is_found_by_its_fingerprint():
     assert paths({"a": [{"b": 1}, {"c": {"d": None}}], "e": []}) == {"a[].b", "a[].c.d", "e[]"}
 
 
+@pytest.mark.parametrize("record, layout", [
+    ({"id": 1, "prompt": "a", "response": "b", "meta": {"x": [1]}}, "prompt_response"), ({"instruction": "a", "input": "", "output": "b", "id": 2}, "instruction_input"),
+    ({"messages": [{"role": "user", "content": "a", "name": "n"}, {"role": "assistant", "content": "b"}]}, "messages"),
+    ({"data": {"id": 3, "messages": [{"role": "user", "content": "a"}, {"role": "assistant", "content": "b"}]}, "source": "s"}, "nested_messages"),
+])
+def test_further_fields_are_optional(record, layout):
+    assert canonical(json.dumps(record))[1:] == (layout, [("user", "a"), ("assistant", "b")])
+
+
+def test_unknown_records_stay(spark):
+    odd = [{"prompt": "a", "response": "b", "system": "s"}, {"system": "s", "instruction": "a", "input": "i", "output": "b"}, {"data.messages[].role": 1, "data.messages[].content": 2},
+           {"messages": [{"role": "user", "content": "a"}, "b"]}, {"text": "x"}]  # a text would be lost
+    df = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate([*odd, {"prompt": "a", "response": "b"}])], "conv_id long, record string")
+    got = {r.conv_id: json.loads(r.record) for r in unmapped(format_chats(df)).collect()}
+    assert got == dict(enumerate(odd))
+
+
+def test_records_take_all_layouts(spark):
+    turns = [(i, k, r, f"{r}\n\n{i}\n\n") for i in range(300) for k, r in enumerate([("user", "assistant"), ("system", "user", "assistant"), ("tool", "user")][i % 3])]
+    chats = format_chats(records_of(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")))
+    assert {r.layout for r in chats.select("layout").distinct().collect()} == LAYOUTS.keys()
+    assert chats.select("fingerprint").distinct().count() > len(LAYOUTS)
+    back = [(r.conv_id, k, t.role, t.text) for r in read_chats(chats).collect() for k, t in enumerate(r.turns)]
+    assert sorted(back) == sorted(turns)
+
+
 def test_query_equals_sql(spark):
     sf = "/root/testdata/sf0.001"
     problem, n = differences(spark, duck(sf), QUERIES["op9_schema_fingerprints"], ORACLES["op9_schema_fingerprints"], sf)
