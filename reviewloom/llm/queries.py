@@ -166,3 +166,118 @@ SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT out
     CASE WHEN count(*) = 1 AND max(line) = '' THEN 0 ELSE count(*) END AS n_lines, count(*) FILTER (out) AS n_removed
 FROM k GROUP BY doc_id
 """
+
+
+@query
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The strongest phrases of two and three words in each language."""
+    from .phrases import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op11_phrase_collocations"] = r"""
+WITH p AS (SELECT doc_id, coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+    s AS (SELECT lang, row_number() OVER () AS piece, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+    w AS (SELECT lang, piece, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM s),
+    w3 AS MATERIALIZED (SELECT lang, word AS w1, lead(word) OVER at AS w2, lead(word, 2) OVER at AS w3 FROM w WINDOW at AS (PARTITION BY piece ORDER BY i)),
+    f AS MATERIALIZED (
+        SELECT lang, phrase, size, CAST(count(*) AS BIGINT) AS f FROM (
+            SELECT lang, w1 AS phrase, 1 AS size FROM w3
+            UNION ALL SELECT lang, w1 || ' ' || w2, 2 FROM w3 WHERE w2 IS NOT NULL
+            UNION ALL SELECT lang, w1 || ' ' || w2 || ' ' || w3, 3 FROM w3 WHERE w3 IS NOT NULL)
+        GROUP BY ALL),
+    n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE size = 1 GROUP BY lang),
+    c AS (SELECT lang, phrase, size, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE size > 1 AND f >= 10),
+    k AS (SELECT *, unnest(range(1, size)) AS k FROM c),
+    cut AS (SELECT k.lang, k.phrase, k.a, k.k, x.f AS l, y.f AS r,
+            CAST((1000000 * CAST(k.a AS HUGEINT) * k.a) // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+        FROM k JOIN f x ON x.lang = k.lang AND x.phrase = array_to_string(k.ws[1:k.k], ' ')
+            JOIN f y ON y.lang = k.lang AND y.phrase = array_to_string(k.ws[k.k + 1:], ' ')),
+    low AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+    inner_of AS (SELECT lang, unnest([ws[1] || ' ' || ws[2], ws[2] || ' ' || ws[3]]) AS phrase, a AS longer FROM c WHERE size = 3),
+    longest AS (SELECT lang, phrase, max(longer) AS longer FROM inner_of GROUP BY ALL),
+    kept AS (SELECT low.* FROM low LEFT JOIN longest USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 50 * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM kept JOIN n USING (lang) QUALIFY rank <= 2000
+"""
+
+
+@query
+def op12_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in whole texts."""
+    from .secret_scan import BASE, RULES, find_secrets, listed
+
+    spans = F.col("spans")
+    base, every = [r.kind for r in BASE], [r.kind for r in RULES]
+
+    def count(kind: str):
+        return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return find_secrets(table(spark, sf_dir, "documents")).select(
+        "doc_id", *[count(kind) for kind in base],
+        F.sha2(listed(spans, base).cast("binary"), 256).alias("base_sha256"), listed(spans, every).alias("spans"))
+
+
+def _secret_sql() -> str:
+    """Places of matches are the lengths of what lies between and of the matches before; ``(?i)`` is spelt out, as it folds other letters there."""
+    from .secret_scan import BASE, RULES
+
+    parts = []
+    for place, rule in enumerate(RULES):
+        pattern = rule.pattern.replace("'", "''")
+        if pattern.startswith("(?i)"):
+            words, rest = pattern[4:].split(")", 1)
+            pattern = "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in words) + ")" + rest
+        parts.append(f"""
+    SELECT doc_id, text, {place} AS place, '{rule.kind}' AS kind, {rule.least} AS least, regexp_extract_all(text, '{pattern}') AS m,
+        regexp_extract_all(text, '{pattern}', {rule.group}) AS g, string_split_regex(text, '{pattern}') AS gap FROM d""")
+    counts = ", ".join(f"count(*) FILTER (kind = '{r.kind}') AS n_{r.kind}" for r in BASE)
+    base = ", ".join(f"'{r.kind}'" for r in BASE)
+    order = 'string_agg(concat_ws(chr(58), kind, start, "end"), chr(44) ORDER BY start, place)'
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), f AS ({" UNION ALL ".join(parts)}),
+    i AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM f WHERE len(m) > 0),
+    s AS (SELECT doc_id, place, kind, m[i] AS m, g[i] AS g, least,
+        CAST(list_sum(list_transform(gap[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS start FROM i),
+    k AS (SELECT *, start + length(m) AS "end" FROM s WHERE length(g) >= least),
+    a AS (SELECT doc_id, {counts}, coalesce({order} FILTER (kind IN ({base})), '') AS base, {order} AS spans FROM k GROUP BY doc_id)
+SELECT doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents LEFT JOIN a USING (doc_id)
+"""
+
+
+ORACLES["op12_trigram_secrets"] = _secret_sql()
+
+
+@query
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frequent words with the more frequent words that they are a letter away from; one run in 199 is given a slip."""
+    from .spelling import variant_groups
+
+    return variant_groups(table(spark, sf_dir, "documents"), slips_one_in=199)
+
+
+ORACLES["op13_spelling_variants"] = r"""
+WITH RECURSIVE t AS (SELECT list(v ORDER BY i) AS tab FROM (SELECT i, list_reduce([CAST(i AS BIGINT)] || [0, 0, 0, 0, 0, 0, 0, 0],
+        lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(i))),
+    runs AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all(translate(text,
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run FROM documents),
+    keyed AS (SELECT run, id || ':' || run AS key, count(*) AS n FROM runs WHERE length(run) >= 6 GROUP BY ALL),
+    hashed AS (SELECT run, n, xor(list_reduce([CAST(4294967295 AS BIGINT)] || list_transform(range(0, octet_length(encode(key))),
+            lambda i: CAST('0x' || substr(hex(encode(key)), CAST(2 * i + 1 AS INT), 2) AS BIGINT)),
+            lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) AS h FROM keyed, t),
+    words AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word,
+            CAST(sum(n) AS BIGINT) AS n FROM hashed GROUP BY 1 HAVING length(word) >= 6 AND sum(n) >= 5),
+    cuts AS (SELECT DISTINCT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS cut FROM (SELECT *, unnest(range(0, length(word))) AS i FROM words)),
+    pairs AS (
+        SELECT a.word, a.n, b.word AS other, b.n AS other_n FROM cuts a JOIN cuts b ON a.cut = b.cut AND a.i = b.i AND a.word <> b.word
+        UNION SELECT a.word, a.n, b.word, b.n FROM cuts a JOIN words b ON a.cut = b.word
+        UNION SELECT b.word, b.n, a.word, a.n FROM cuts a JOIN words b ON a.cut = b.word),
+    near AS (SELECT word, any_value(n) AS n, count(*) AS n_near, arg_min(other, (-other_n, other)) AS best, max(other_n) AS best_n FROM pairs GROUP BY word),
+    forms AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 5 * w.n THEN best END AS form, CASE WHEN best_n >= 5 * w.n THEN best_n END AS form_n
+        FROM words w LEFT JOIN near ON near.word = w.word),
+    walk AS (SELECT word, word AS root FROM forms UNION ALL SELECT walk.word, forms.form FROM walk JOIN forms ON walk.root = forms.word AND forms.form IS NOT NULL)
+SELECT f.word, f.form, w.root, f.n, f.n_near, f.form_n FROM forms f JOIN walk w ON w.word = f.word JOIN forms e ON e.word = w.root AND e.form IS NULL
+"""
