@@ -181,7 +181,7 @@ WITH p AS (SELECT doc_id, coalesce(lang, 'und') AS lang, unnest(string_split_reg
         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
     s AS (SELECT lang, row_number() OVER () AS piece, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
     w AS (SELECT lang, piece, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM s),
-    w3 AS MATERIALIZED (SELECT lang, word AS w1, lead(word) OVER at AS w2, lead(word, 2) OVER at AS w3 FROM w WINDOW at AS (PARTITION BY piece ORDER BY i)),
+    w3 AS MATERIALIZED (SELECT lang, word AS w1, lead(word) OVER o AS w2, lead(word, 2) OVER o AS w3 FROM w WINDOW o AS (PARTITION BY piece ORDER BY i)),
     f AS MATERIALIZED (
         SELECT lang, phrase, size, CAST(count(*) AS BIGINT) AS f FROM (
             SELECT lang, w1 AS phrase, 1 AS size FROM w3
