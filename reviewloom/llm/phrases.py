@@ -182,9 +182,9 @@ def _counter(h: np.ndarray) -> np.ndarray:
 
 
 def level(texts: DataFrame, sieves, size: int, last: bool) -> DataFrame:
-    """One pass: candidates of ``size`` words (as ``words``) and, unless ``last``, counters of one word more (``counter``, ``n``).
+    """One pass: candidates of ``size`` words (``words`` and their ``counter``) and, unless ``last``, counters of one word more with ``n``.
 
-    ``sieves`` is a broadcast list for the levels up to ``size``.
+    ``sieves`` is a broadcast list for the levels up to ``size``.  Rows are dealt once, by counter.
     """
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,7 +227,8 @@ def level(texts: DataFrame, sieves, size: int, last: bool) -> DataFrame:
         if keys:
             yield counters()
 
-    return texts.mapInArrow(run, "words array<long>, counter long, n long")
+    rows = texts.mapInArrow(run, "words array<long>, counter long, n long")
+    return rows.repartition("counter").groupBy("counter", "words").agg(F.sum("n").alias("n"))
 
 
 def joined_rows(rows: np.ndarray) -> np.ndarray:
@@ -380,13 +381,13 @@ def phrase_counts(texts: DataFrame, words: DataFrame, longest: int, least: int)
     context = texts.sparkSession.sparkContext
     sieves, found, full = [sieve(words, "h")], None, None
     for size in range(1, longest + 1):
-        step = written(level(texts, context.broadcast(sieves), size, size == longest), "level")
+        step = level(texts, context.broadcast(sieves), size, size == longest)
+        step = written(step.where(F.col("words").isNotNull() | (F.col("n") >= least)), "level")
         if size > 1:  # a bitmap may let too much through; the counters themselves decide
-            rows = step.where("words IS NOT NULL").join(full, "counter", "left_semi").select("words").distinct()
+            rows = step.where("words IS NOT NULL").join(full, "counter", "left_semi").select("words")
             found = rows if found is None else found.unionByName(rows)
         if size < longest:
-            full = step.where("words IS NULL").groupBy("counter").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-            full = written(full.select("counter"), "counters")
+            full = step.where("words IS NULL").select("counter")
             sieves = [*sieves, sieve(full, "counter")]
     if found is None:
         return words.select(F.array("h").alias("words"), "n").limit(0)

@@ -190,11 +190,12 @@ WITH p AS (SELECT doc_id, coalesce(lang, 'und') AS lang, unnest(string_split_reg
         GROUP BY ALL),
     n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE size = 1 GROUP BY lang),
     c AS (SELECT lang, phrase, size, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE size > 1 AND f >= 10),
-    k AS (SELECT *, unnest(range(1, size)) AS k FROM c),
+    k AS MATERIALIZED (SELECT lang, phrase, a, k, lang || chr(1) || array_to_string(ws[1:k], ' ') AS part, lang || chr(1) || array_to_string(ws[k + 1:], ' ') AS rest
+        FROM (SELECT *, unnest(range(1, size)) AS k FROM c)),
+    g AS MATERIALIZED (SELECT lang || chr(1) || phrase AS key, f FROM f WHERE f >= 10),
     cut AS (SELECT k.lang, k.phrase, k.a, k.k, x.f AS l, y.f AS r,
             CAST((1000000 * CAST(k.a AS HUGEINT) * k.a) // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
-        FROM k JOIN f x ON x.lang = k.lang AND x.phrase = array_to_string(k.ws[1:k.k], ' ')
-            JOIN f y ON y.lang = k.lang AND y.phrase = array_to_string(k.ws[k.k + 1:], ' ')),
+        FROM k JOIN g x ON x.key = k.part JOIN g y ON y.key = k.rest),
     low AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
     inner_of AS (SELECT lang, unnest([ws[1] || ' ' || ws[2], ws[2] || ' ' || ws[3]]) AS phrase, a AS longer FROM c WHERE size = 3),
     longest AS (SELECT lang, phrase, max(longer) AS longer FROM inner_of GROUP BY ALL),
