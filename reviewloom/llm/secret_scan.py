@@ -191,16 +191,25 @@ def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 # --- verification
 
+def _once(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, also where it is used inside other functions' loops."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _places(lengths: Column) -> Column:
     """Where items of these lengths start, one behind the other: within blocks, then block by block."""
-    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.size(lengths) - 1, F.lit(0)), F.lit(BLOCK)), lambda at: F.slice(lengths, at + 1, BLOCK))
-
     def running(values: Column, first: Column) -> Column:
         start = F.struct(first.alias("at"), F.array().cast("array<bigint>").alias("out"))
         return F.aggregate(values, start, lambda acc, v: F.struct((acc["at"] + v).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
 
-    sums = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0).cast("long"), lambda a, v: a + v))
-    return F.flatten(F.zip_with(blocks, running(sums, F.lit(0).cast("long")), running))
+    def summed(blocks: Column) -> Column:
+        sums = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0).cast("long"), lambda a, v: a + v))
+        return F.flatten(F.zip_with(blocks, running(sums, F.lit(0).cast("long")), running))
+
+    def cut(values: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.greatest(F.size(values) - 1, F.lit(0)), F.lit(BLOCK)), lambda at: F.slice(values, at + 1, BLOCK))
+
+    return _once(_once(lengths, cut), summed)
 
 
 def rule_spans(text: Column, rule: Rule) -> Column:
@@ -208,11 +217,15 @@ def rule_spans(text: Column, rule: Rule) -> Column:
     pattern = F.lit(rule.pattern)
     size = F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), lambda m: F.length(m).cast("long"))
     kept = F.transform(F.regexp_extract_all(text, pattern, F.lit(rule.group)), lambda m: F.length(m) >= rule.least)
-    gaps = F.transform(F.split(text, rule.pattern, -1), lambda g: F.length(g).cast("long"))
-    both = F.flatten(F.zip_with(F.slice(gaps, F.lit(1), F.size(size)), size, lambda g, m: F.array(g, m)))  # gap, match, gap, match ...
-    at = _places(both)
-    spans = F.transform(F.arrays_zip(size.alias("size"), kept.alias("kept")), lambda m, i: F.struct(
-        F.element_at(at, i * 2 + 2).alias("start"), (F.element_at(at, i * 2 + 2) + m["size"]).alias("end"), F.lit(rule.kind).alias("kind"), m["kept"].alias("kept")))
+    gaps = F.transform(F.split(text, rule.pattern, -1), lambda g: F.length(g).cast("long"))  # one more than matches
+
+    def placed(found: Column) -> Column:
+        at = _places(F.transform(found, lambda m: m["gap"] + m["size"]))
+        return F.zip_with(found, at, lambda m, a: F.struct(
+            (a + m["gap"]).alias("start"), (a + m["gap"] + m["size"]).alias("end"), F.lit(rule.kind).alias("kind"), m["kept"].alias("kept")))
+
+    found = F.zip_with(F.arrays_zip(size.alias("size"), kept.alias("kept")), gaps, lambda m, g: F.struct(g.alias("gap"), m["size"].alias("size"), m["kept"].alias("kept")))
+    spans = _once(F.filter(found, lambda m: m["size"].isNotNull()), placed)
     spans = F.transform(F.filter(spans, lambda s: s["kept"]), lambda s: F.struct(s["start"], s["end"], s["kind"]))
     return F.when(text.rlike(rule.pattern), spans).otherwise(F.array().cast(SPANS))
 
