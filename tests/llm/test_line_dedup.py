@@ -12,21 +12,18 @@ BLANKS = " \t\r\x0b\x0c"
 
 def brute(rows, least):
     """(id, text, n_lines, n_removed) with sets of sites."""
-    copies = {}
+    sites, texts, keeper = {}, {}, {}
     for i, t, s in rows:
-        t = t or ""
-        if t not in copies or (i is not None and (copies[t][0] is None or (i, s or "\0") < copies[t])):
-            copies[t] = (i, s or "\0")
-    sites, keeper = {}, {}
-    for t, (i, s) in copies.items():
-        for line in {x.strip(BLANKS) for x in t.split("\n")} - {""}:
-            sites.setdefault(line, set()).add(s)
+        for line in {x.strip(BLANKS) for x in (t or "").split("\n")} - {""}:
+            sites.setdefault(line, set()).add(s or "\0")
+            texts.setdefault(line, set()).add(t)
             if i is not None:
                 keeper[line] = min(i, keeper.get(line, i))
+    found = {x for x in sites if len(sites[x]) >= least and len(texts[x]) > 1}
     out = []
     for i, t, _ in rows:
         lines = (t or "").split("\n")
-        stay = [x for x in lines if len(sites.get(x.strip(BLANKS), ())) < least or keeper.get(x.strip(BLANKS)) == i]
+        stay = [x for x in lines if x.strip(BLANKS) not in found or keeper.get(x.strip(BLANKS)) == i]
         out.append((i, "\n".join(stay), len(lines) if t else 0, len(lines) - len(stay)))
     return sorted(out, key=str)
 
@@ -57,3 +54,19 @@ def test_empty_table_and_columns(spark):
     df = spark.createDataFrame([(1, "a", "s", "kept")], "doc_id long, text string, source string, extra string")
     assert remove_boilerplate(df.limit(0)).collect() == []
     assert remove_boilerplate(df).columns == ["doc_id", "text", "source", "extra", "n_lines", "n_removed"]
+
+
+def test_columns_of_any_name_stay(spark):
+    names = ["_gone", "_some", "_gone_id", "_kept", "row", "lines", "some", "id", "kept", "a.b", "line", "site"]
+    rows = [(i, f"own {i}\nshared", f"s{i}", *[f"{n}{i}" for n in names]) for i in range(4)]
+    df = spark.createDataFrame(rows, ["doc_id", "text", "source", *names])
+    out = remove_boilerplate(df, min_sites=2)
+    assert out.columns == [*df.columns, "n_lines", "n_removed"]
+    assert sorted(map(tuple, out.collect())) == [(i, f"own {i}" if i else text, *rest, 2, int(i > 0)) for i, text, *rest in rows]
+
+
+def test_sites_of_copies_count(spark):
+    """A line that stands on three sites through copies, and in two texts, goes; a text that is only copied stays."""
+    rows = [(1, "a\nline", "x"), (2, "a\nline", "y"), (3, "a\nline", "z"), (4, "b\nline", "x"), *[(10 + i, "copied only", f"s{i}") for i in range(9)]]
+    out = {r.doc_id: r.text for r in remove_boilerplate(spark.createDataFrame(rows, "doc_id int, text string, source string"), min_sites=3).collect()}
+    assert out[1] == "a\nline" and out[4] == "b" and out[2] == "a" and all(out[10 + i] == "copied only" for i in range(9))
