@@ -15,6 +15,7 @@ vocabulary are refused; bytes that are no UTF-8 read as U+FFFD; other columns st
 
 from __future__ import annotations
 
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,7 +38,6 @@ class Vocabulary:
     texts: list[bytes]  # bytes that each id stands for
     unknown: float
     alone: str  # characters that no piece holds and that are cut off from words
-    lengths: dict[str, tuple[int, ...]]  # by last character: lengths of the pieces that end with it, longest first
 
 
 def load(path: str = MODEL) -> Vocabulary:
@@ -60,23 +60,36 @@ def load(path: str = MODEL) -> Vocabulary:
     for k in range(256):
         texts[first + k] = bytes([k])
     used = {c for i in normal for c in pieces[i]}
-    by_end: dict[str, set[int]] = {}
-    for i in normal:
-        by_end.setdefault(pieces[i][-1], set()).add(len(pieces[i]))
     return Vocabulary(
         {pieces[i]: model.get_score(i) for i in normal}, {pieces[i]: i for i in normal}, first, texts,
         min(model.get_score(i) for i in normal) - 10, "".join(c for c in "\n\t\r" if c not in used),
-        {c: tuple(sorted(s, reverse=True)) for c, s in by_end.items()},
     )
 
 
-def encode_words(words: list[str], vocabulary: Vocabulary) -> tuple[list[list[int]], list[float]]:
-    """Piece ids and score of each marked word, in the order given; sorted words share the work of their prefixes."""
-    score_of, ids, lengths, unknown = vocabulary.score, vocabulary.ids, vocabulary.lengths, vocabulary.unknown
+def piece_trie(vocabulary: Vocabulary) -> dict:
+    """The pieces as nested dictionaries by character, with the score of a piece under None."""
+    root: dict = {}
+    for piece, score in vocabulary.score.items():
+        node = root
+        for c in piece:
+            node = node.setdefault(c, {})
+        node[None] = score
+    return root
+
+
+def encode_words(words: list[str], vocabulary: Vocabulary, trie: dict | None = None) -> tuple[list[list[int]], list[float]]:
+    """Piece ids and score of each marked word, in the order given.
+
+    Sorted words are a depth-first walk of their trie: by number of characters it keeps the forward score, the start of
+    the last piece, and the pieces that have begun (start, node of ``trie``), and goes on behind the prefix it shares with
+    the word before.
+    """
+    ids, unknown = vocabulary.ids, vocabulary.unknown
+    root = piece_trie(vocabulary) if trie is None else trie
     order = sorted(range(len(words)), key=words.__getitem__)
     out: list = [None] * len(words)
     scores = [0.0] * len(words)
-    best, start = [0.0], [0]  # forward scores and last piece's start, by number of characters
+    best, start, begun = [0.0], [0], [[(0, root)]]
     before = ""
     for index in order:
         word = words[index]
@@ -85,21 +98,25 @@ def encode_words(words: list[str], vocabulary: Vocabulary) -> tuple[list[list[in
             if a != b:
                 break
             shared += 1
-        del best[shared + 1:], start[shared + 1:]
+        del best[shared + 1:], start[shared + 1:], begun[shared + 1:]
         for end in range(shared + 1, len(word) + 1):
-            top, since = None, end - 1
-            for size in lengths.get(word[end - 1], ()):
-                if size <= end:
-                    score = score_of.get(word[end - size:end])
+            c = word[end - 1]
+            top, since, going = None, end - 1, []
+            for begin, node in begun[-1]:  # the longest piece first, which takes ties
+                node = node.get(c)
+                if node is not None:
+                    going.append((begin, node))
+                    score = node.get(None)
                     if score is not None:
-                        score += best[end - size]
+                        score += best[begin]
                         if top is None or score > top:
-                            top, since = score, end - size
-            single = word[end - 1] in ids
-            if not single and (top is None or best[end - 1] + unknown > top):
+                            top, since = score, begin
+            if c not in ids and (top is None or best[end - 1] + unknown > top):
                 top, since = best[end - 1] + unknown, end - 1
+            going.append((end, root))
             best.append(top)
             start.append(since)
+            begun.append(going)
         before = word
         path, end = [], len(word)
         while end:
@@ -120,14 +137,14 @@ class Encoder:
     """Encodes Arrow text batches; remembers words between batches."""
 
     def __init__(self, vocabulary: Vocabulary):
-        self.vocabulary = vocabulary
+        self.vocabulary, self.trie = vocabulary, piece_trie(vocabulary)
         self.alone = np.zeros(256, bool)
         self.alone[[ord(c) for c in vocabulary.alone]] = True
         self._clear()
 
     def _clear(self):
         self.known: dict[str, int] = {}
-        self.flat, self.first, self.score = [], [0], []
+        self.flat, self.first, self.score = array("i"), array("q", [0]), array("d")
 
     def _numbers(self, words: list[str]) -> np.ndarray:
         new = [w for w in words if w not in self.known]
@@ -135,10 +152,10 @@ class Encoder:
             self._clear()
             new = words
         if new:
-            paths, scores = encode_words([w.replace(" ", MARK) for w in new], self.vocabulary)
+            paths, scores = encode_words([w.replace(" ", MARK) for w in new], self.vocabulary, self.trie)
             for w, path, score in zip(new, paths, scores):
                 self.known[w] = len(self.score)
-                self.flat += path
+                self.flat.extend(path)
                 self.first.append(len(self.flat))
                 self.score.append(score)
         return np.array([self.known[w] for w in words], dtype=np.int64)
@@ -158,14 +175,14 @@ class Encoder:
         words = pa.LargeStringArray.from_buffers(len(begin), pa.py_buffer(np.append(begin, len(data)).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data)))
         coded = words.dictionary_encode()
         number = self._numbers(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
-        first = np.array(self.first, dtype=np.int64)
-        flat = np.array(self.flat, dtype=np.int32)
+        # copies of the buffers, so that the arrays may grow again
+        first, flat, score = np.frombuffer(self.first, np.int64).copy(), np.frombuffer(self.flat, np.int32).copy(), np.frombuffer(self.score).copy()
         size = (first[1:] - first[:-1])[number]
         ends = np.cumsum(size)
         ids = flat[np.arange(ends[-1]) - np.repeat(ends - size - first[number], size)]
         word_at = np.searchsorted(begin, off)
         heads = np.concatenate(([0], ends))[word_at]
-        totals = np.concatenate(([0.0], np.cumsum(np.array(self.score)[number])))
+        totals = np.concatenate(([0.0], np.cumsum(score[number])))
         return pa.ListArray.from_arrays(pa.array(heads.astype(np.int32)), pa.array(ids)), totals[word_at[1:]] - totals[word_at[:-1]]
 
 
