@@ -251,8 +251,7 @@ def _search(percent: int):
         query, n, members, label = (own[c][0].as_py() for c in ("query", "n", "members", "label"))
         lists, size = [], {}
         for row in range(len(own)):
-            e = own["entries"][row].values.flatten()
-            c, m, k, l = (x.to_numpy() for x in e)
+            c, m, k, l = (own[x][row].values.to_numpy().astype(np.int64) for x in ("classes", "sizes", "ranks", "labels"))
             fit = ((k > members) | ((k == members) & (l > label))) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
             if fit.any():
                 size.update(zip(c[fit].tolist(), m[fit].tolist()))
@@ -342,7 +341,10 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     asks = asks.join(enough.select("query", "band"), ["query", "band"], "left_semi")
     chunk = F.pmod(F.xxhash64("class"), F.lit(-(-longest // CHUNK) or 1))
     lists = held.groupBy("token", "band", chunk.alias("chunk")).agg(F.collect_list(F.struct("class", "n", "rank.members", "rank.label")).alias("entries"))
-    asked = asks.join(lists, ["token", "band"]).repartition("query", "band", "chunk").sortWithinPartitions("query", "band", "chunk")
+    # an array a field: half the bytes of an array of rows, and these are sent to each query
+    fields = {"classes": ("class", "bigint"), "sizes": ("n", "int"), "ranks": ("members", "int"), "labels": ("label", "bigint")}
+    lists = lists.select("token", "band", "chunk", *[F.col("entries")[f].cast(f"array<{kind}>").alias(name) for name, (f, kind) in fields.items()])
+    asked = asks.join(lists, ["token", "band"]).drop("token").repartition("query", "band", "chunk").sortWithinPartitions("query", "band", "chunk")
     rest = written(asked.mapInArrow(_search(percent), "a long, b long"), "pairs")
     more = linked(rest, whole_sets(texts, rest, classes, width), percent)
 
@@ -365,8 +367,9 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = similar_components(docs, id_col, text_col, width, percent).select(F.col(id_col).alias("_id"), F.col("whole").alias("_whole"), "component")
     best = found.where("component IS NOT NULL").groupBy("component").agg(F.min(F.struct(F.col("_id").isNull().alias("last"), "_id", "_whole")).alias("b"))
     chosen = best.select("b._id", "b._whole")
-    keyed = docs.withColumn("_own", F.xxhash64(F.coalesce(text_col, F.lit(""))))
-    wordless = F.col(text_col).isNull() | F.col(text_col).rlike(r"^[\x20\x09-\x0D]*$")
-    with_words = keyed.where(~wordless)
-    stay = with_words.join(chosen, with_words[id_col].eqNullSafe(chosen["_id"]) & (F.col("_own") == F.col("_whole")), "left_semi").dropDuplicates([id_col, "_own"])
-    return stay.unionByName(keyed.where(wordless)).drop("_own")
+    # the row rides along as one column, so that its columns can be called anything
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    keyed = keyed.withColumn("own", F.xxhash64(F.coalesce("text", F.lit(""))))
+    wordless = F.col("text").isNull() | F.col("text").rlike(r"^[\x20\x09-\x0D]*$")
+    stay = keyed.where(~wordless).join(chosen, F.col("id").eqNullSafe(F.col("_id")) & (F.col("own") == F.col("_whole")), "left_semi").dropDuplicates(["id", "own"])
+    return stay.unionByName(keyed.where(wordless)).select("row.*")
