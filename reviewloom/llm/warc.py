@@ -221,7 +221,9 @@ def read_archives(packages: DataFrame, path_col: str = "path") -> DataFrame:
                             held, size = [], 0
                     yield _rows(held)
 
-    return packages.select(path_col).repartition(path_col).mapInArrow(
+    paths = packages.select(path_col)
+    # a stated number of partitions is not coalesced: a package, some 32 MB, is a task
+    return paths.repartitionByRange(max(1, paths.count()), path_col).mapInArrow(
         run, "page_id string, url string, payload_bytes long, payload_digest string, record_type string, refers_to string, payload binary")
 
 
