@@ -35,11 +35,12 @@ def without_test_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def as_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of every text, and whether they read back as the text."""
-    vocabulary = pieces.load()
-    out = pieces.decode(pieces.encode(docs, vocabulary), vocabulary, text_col="_decoded")
+    """Piece ids of every text, and whether they read back as the text; columns of these names are replaced."""
+    vocabulary, added = pieces.load(), ("pieces", "n_pieces", "piece_score", "same", "_decoded")
+    names = [c for c in docs.columns if c not in added]
+    out = pieces.decode(pieces.encode(docs.select(*names), vocabulary), vocabulary, text_col="_decoded")
     same = F.col("_decoded") == F.coalesce(F.col("text"), F.lit(""))
-    return out.select(*docs.columns, "pieces", F.size("pieces").alias("n_pieces"), "piece_score", same.alias("same"))
+    return out.select(*names, "pieces", F.size("pieces").alias("n_pieces"), "piece_score", same.alias("same"))
 
 
 STAGES = [
