@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .dates import iso_date_or, lenient_date
 from .fixed_values import DEFAULT_RATING, FORM_DEFAULTS, FORM_MATRIX_LABELS, FORM_TEXT_LABELS
 
 ITEM = "struct<id:string,text:string>"
@@ -50,7 +51,7 @@ def parse_forms(
 ) -> DataFrame:
     """One row per event with the review attributes; unreadable JSON yields the defaults.
 
-    ``now`` stands in for a missing creation time.  Each level is its own
+    ``now``, a time in ISO form, stands in for a missing creation time, and its day for a creation time that is no date.  Each level is its own
     projection, so the payload and the answer map are parsed once per event.
     """
     if now is None:
@@ -58,12 +59,12 @@ def parse_forms(
     parsed = df.select(*keep, F.from_json(json_column, FORM_SCHEMA).alias("_form"), now.alias("_now"))
     data = F.col("_form.body.data")
     parsed = parsed.select(
-        *keep, F.coalesce(data["createdAt"], F.col("_now")).alias("submitted_at"),
+        *keep, F.coalesce(data["createdAt"], F.col("_now")).alias("submitted_at"), "_now",
         data["fields"].alias("_fields"),
     )
     f = F.col("_fields")
     found = parsed.select(
-        *keep, "submitted_at",
+        *keep, "submitted_at", "_now",
         *[_field(f, frag)["value"].alias(n) for n, frag in FORM_TEXT_LABELS.items()],
         *[_field(f, n).alias(f"_{n}") for n in FORM_DEFAULTS],
         _first(f, lambda x: x["type"] == "MATRIX").alias("_matrix"),
@@ -74,6 +75,6 @@ def parse_forms(
         *[F.coalesce(n, F.lit("")).alias(n) for n in FORM_TEXT_LABELS],
         *[dropdown_answer(F.col(f"_{n}"), d).alias(n) for n, d in FORM_DEFAULTS.items()],
         *[matrix_answer(F.col("_matrix"), F.col("_answers"), frag).alias(n) for n, frag in FORM_MATRIX_LABELS.items()],
-        F.substring_index("submitted_at", "T", 1).alias("submission_date"),
+        F.date_format(iso_date_or(F.substring_index("submitted_at", "T", 1), lenient_date(F.substring("_now", 1, 10))), "yyyy-MM-dd").alias("submission_date"),
         "submitted_at",
     )

@@ -6,12 +6,17 @@ review, field and feature combine in the scan's task, so a single row per review
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.fixed_values import EMOTIONS, TOPIC_CATEGORIES
 from ..functions.strings import letter_words, word_count, words
 from .align import quoted
-from .bounds import settle
+from .bounds import SETTLED_ROWS, rows_if_small, settle
 
 
 def merged_dictionary(tags: DataFrame, emotions: DataFrame, topics: DataFrame, valences: DataFrame, vocabulary: DataFrame) -> DataFrame:
@@ -43,7 +48,7 @@ def review_features(df: DataFrame, key: str, dictionary: DataFrame, tags: list[s
     Emotions are shares of all emotion hits, topics and tags shares of the letter tokens, vocabulary a share of the
     white-space tokens; a tag that does not occur is null.
     """
-    fields, long = {"summary": summary, "pros": pros, "cons": cons}, ("pros", "cons")
+    fields = {"summary": summary, "pros": pros, "cons": cons}
     tokens = F.concat(*[
         F.transform(split(quoted(column)), _token(name, kind))
         for name, column in fields.items() for kind, split in (("letters", letter_words), ("words", lambda c: words(F.lower(c))))
@@ -64,25 +69,94 @@ def review_features(df: DataFrame, key: str, dictionary: DataFrame, tags: list[s
     def total(label: str) -> Column:
         return F.coalesce(F.col("_sums")[label], F.lit(0.0))
 
+    features = _features(total, tags)
+    return summed.select(F.col("_key").alias(key), *[F.col(f"_lengths.{n}").alias(n) for n in length_names], *[c.alias(n) for n, c in features.items()])
+
+
+FIELDS, LONG = ("summary", "pros", "cons"), ("pros", "cons")
+
+
+def _features(total: Callable[[str], Column], tags: list[str]) -> dict[str, Column]:
+    """The features in signature order, from sums by ``<field>_<label>``."""
     features = {}
-    for name in fields:
+    for name in FIELDS:
         letters = F.greatest(total(f"{name}_letters"), F.lit(1.0))
         for t in tags:
             features[f"{name}_ld_{t}"] = F.nullif(total(f"{name}_tag_{t}"), F.lit(0.0)) / letters
-    for name in long:
+    for name in LONG:
         hits = F.aggregate(F.array(*[total(f"{name}_emotion_{label}") for label in EMOTIONS.values()]), F.lit(0.0), lambda a, x: a + x)
         for short, label in EMOTIONS.items():
             features[f"{name}_emolex_{short}"] = F.coalesce(total(f"{name}_emotion_{label}") / F.nullif(hits, F.lit(0.0)), F.lit(0.0))
-    for name in long:
+    for name in LONG:
         v = total(f"{name}_valence")
         features[f"{name}_nltk_sia"] = v / F.sqrt(v * v + 15.0)
-    for name in long:
+    for name in LONG:
         features[f"ODI_related_vocab_{name}"] = total(f"{name}_known") / F.greatest(total(f"{name}_words"), F.lit(1.0))
-    for name in long:
+    for name in LONG:
         letters = F.greatest(total(f"{name}_letters"), F.lit(1.0))
         for topic in TOPIC_CATEGORIES:
             features[f"{name}_empath_{topic}"] = total(f"{name}_topic_{topic}") / letters
-    return summed.select(F.col("_key").alias(key), *[F.col(f"_lengths.{n}").alias(n) for n in length_names], *[c.alias(n) for n, c in features.items()])
+    return features
+
+
+def row_features(df: DataFrame, dictionary: DataFrame, tags: list[str], summary: str = "summary", pros: str = "pros", cons: str = "cons") -> DataFrame:
+    """The rows with the features of :func:`review_features` behind their columns, each from its own row alone.
+
+    Works on a stream in append mode as on a table: no join, no aggregate.  Tasks hold the dictionary, whose size is
+    checked; a larger one is an error here and a join in ``review_features``.  Texts are cut into tokens by the same
+    expressions; only the lookup of tokens is done on Arrow arrays.
+    """
+    entries = rows_if_small(dictionary, SETTLED_ROWS)
+    if entries is None:
+        raise ValueError(f"a dictionary of more than {SETTLED_ROWS} tokens is too large to be held by every task")
+    kinds = ("letters", "words")
+    labels = sorted({x["label"] for e in entries for x in e["_labels"]})
+    tables = {}
+    for kind in kinds:  # tokens, where their labels begin, labels, weights
+        own = [e for e in entries if e["_kind"] == kind]
+        tables[kind] = (
+            pa.array([e["_t"] for e in own], pa.string()), np.cumsum([0, *[len(e["_labels"]) for e in own]]),
+            np.array([labels.index(x["label"]) for e in own for x in e["_labels"]], np.int64),
+            np.array([x["weight"] for e in own for x in e["_labels"]], float))
+    names = [*kinds, *labels]
+    place = {f"{f}_{n}": i for i, (f, n) in enumerate((f, n) for f in FIELDS for n in names)}
+    shared = df.sparkSession.sparkContext.broadcast(tables)
+
+    @F.arrow_udf("array<double>")
+    def sums(tokens: pa.Array) -> pa.Array:
+        columns = [tokens.field(i) for i in range(len(FIELDS) * len(kinds))]
+        n, width = len(tokens), len(place)
+        out = np.zeros(n * width)
+        for i, column in enumerate(columns):
+            field, kind = divmod(i, len(kinds))
+            known, first, label, weight = shared.value[kinds[kind]]
+            size = pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            base = np.arange(n) * width + field * len(names)
+            out[base + kind] = size
+            code = pc.index_in(column.flatten(), value_set=known).fill_null(-1).to_numpy(zero_copy_only=False)
+            hit = np.flatnonzero(code >= 0)
+            code, row = code[hit], np.repeat(base, size)[hit]
+            many = first[code + 1] - first[code]
+            at = np.arange(many.sum()) + np.repeat(first[code] - (np.cumsum(many) - many), many)
+            out += np.bincount(np.repeat(row, many) + len(kinds) + label[at], weight[at], len(out))
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, n * width + 1, width, dtype=np.int32)), pa.array(out))
+
+    texts = {"summary": quoted(summary), "pros": quoted(pros), "cons": quoted(cons)}
+    tokens = F.struct(*[split(c).alias(f"t{i}_{k}") for i, c in enumerate(texts.values()) for k, split in (("l", letter_words), ("w", lambda c: words(F.lower(c))))])
+    lengths = {n: c for name, c in texts.items() for n, c in ((f"{name}_charlen", F.length(F.coalesce(c, F.lit("")))), (f"{name}_wordlen", word_count(c)))}
+    rows = df.select(F.struct(*[quoted(c) for c in df.columns]).alias("_row"), F.struct(*[c.alias(n) for n, c in lengths.items()]).alias("_lengths"), sums(tokens).alias("_sums"))
+
+    def total(label: str) -> Column:
+        return F.col("_sums")[place[label]] if label in place else F.lit(0.0)
+
+    kept = [F.col("_row").getField(c).alias(c) for c in df.columns]
+    return rows.select(*kept, *[F.col("_lengths").getField(n).alias(n) for n in lengths], *[c.alias(n) for n, c in _features(total, tags).items()])
+
+
+def feature_names(tags: list[str]) -> list[str]:
+    """Names of the text features in signature order."""
+    lengths = [f"{name}_{kind}" for name in FIELDS for kind in ("charlen", "wordlen")]
+    return [*lengths, *_features(lambda label: F.lit(0.0), tags)]
 
 
 def _token(field: str, kind: str):

@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from . import query, table
 from ..functions.forms import parse_forms
-from ..sources.pages import NON_CONTENT, extract_records, page_coverage as coverage
+from ..functions.fixed_values import STAR_CAPTIONS, STAR_CLASSES
+from ..sources.pages import NON_CONTENT, extract_records, page_coverage as coverage, review_records as records_of
 
 _TEXT = r"""trim(replace(replace(replace(replace(replace(replace(regexp_replace({c}, '(?s)<[^>]*>', '', 'g'),
  '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'))"""
@@ -78,12 +79,48 @@ def form_payload(e):
   'Senior' AS seniority, 'Prefer not to say' AS gender,
   CASE WHEN event_id % 97 <> 0 AND user_id % 8 BETWEEN 1 AND 5 THEN (user_id % 8)::DOUBLE ELSE 3.0 END AS wl_balance,
   3.0::DOUBLE AS culture_values, 3.0::DOUBLE AS diversity_inclusion, 3.0::DOUBLE AS career_opportunities, 3.0::DOUBLE AS compensation_benefits,
-  3.0::DOUBLE AS senior_management, CASE WHEN event_id % 97 = 0 THEN '2024-01-01' ELSE strftime(ts, '%Y-%m-%d') END AS submission_date
+  3.0::DOUBLE AS senior_management, CASE WHEN event_id % 97 = 0 OR event_id % 89 = 0 THEN '2024-01-01' ELSE strftime(ts, '%Y-%m-%d') END AS submission_date
 FROM events""")
 def form_fields(spark, sf):
-    """Payloads are built from the events; every 97th is cut short and must fall back to the defaults."""
+    """Payloads are built from the events; every 97th is cut short and must fall back to the defaults, every 89th has a
+    creation time that is no date."""
     e = table(spark, sf, "events")
     payload = form_payload(e)
+    payload = F.when(F.col("event_id") % 89 == 0, F.regexp_replace(payload, '"createdAt":"[^"]*"', '"createdAt":"soon"')).otherwise(payload)
     broken = F.when(F.col("event_id") % 97 == 0, F.substring(payload, 1, 9)).otherwise(payload)
     forms = parse_forms(e.select("event_id", broken.alias("payload")), "payload", ("event_id",), F.lit("2024-01-01T00:00:00Z"))
     return forms.drop("submitted_at")
+
+
+_STARS = list(STAR_CLASSES)
+_SUB = {name: f"(doc_id + {i}) % 7" for i, name in enumerate(STAR_CAPTIONS)}
+
+
+def _review_pages(docs):
+    """A page per document with a review in each layout; texts are escaped, class 0 and 6 are no star class."""
+    escaped = F.replace(F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    n = F.col("doc_id").cast("string")
+    tip = '<aside class="gd-ui-tooltip-info toolTip tooltip css-15sm7sw e1mbtzkk0"></aside>'
+    stars = F.array(F.lit("css-none"), *[F.lit(c) for c in _STARS], F.lit("css-other"))
+    ratings = [F.concat(F.lit(f"<div>{caption.replace('&', '&amp;')}</div><div class=\""), F.get(stars, F.expr(f"CAST({_SUB[name]} AS INT)")), F.lit(' e1"></div>'))
+               for name, caption in STAR_CAPTIONS.items()]
+    old = F.concat(
+        F.lit('<li class="noBorder empReview cf pb-0 mb-0" id="old'), n, F.lit('"><a class="reviewLink" href="#">"No&nbsp;'), n, F.lit('"</a><span class="ratingNumber mr-xsm">'),
+        (F.col("doc_id") % 5 + 1).cast("string"), F.lit(f".0</span>{tip}<div>"), *ratings, F.lit('</div><span class="authorInfo"><span>May '), (F.col("doc_id") % 28 + 1).cast("string"),
+        F.lit(", 2021 - Job &amp; "), "lang", F.lit('</span></span><span class="authorLocation">Austin, TX</span><span data-test="pros">'), escaped,
+        F.lit('</span><span data-test="cons">Long <b>hours</b></span></li>'))
+    new = F.concat(
+        F.lit('<li id="new'), n, F.lit('" class="noBorder empReview cf pb-0 mb-0"><span class="common__EiReviewDetailsStyle__newUiJobLine"><span>Jun 2, 2022 - Analyst&nbsp;in Town '),
+        n, F.lit('</span></span><span data-test="pros">ok</span></li>'))
+    decoy = F.lit("""<html><script>var x='<li class="noBorder empReview cf pb-0 mb-0" id="fake">';</script><ol>""")
+    return docs.select("doc_id", F.concat(decoy, old, new, F.lit("</ol></html>")).alias("html"))
+
+
+@query(f"""SELECT doc_id, 'old' || doc_id AS review_id, '"No' || chr(160) || doc_id || '"' AS summary, (doc_id % 5 + 1) || '.0' AS overall_rating, md5(trim(coalesce(text, ''))) AS pros,
+'Long hours' AS cons, 'May ' || (doc_id % 28 + 1) || ', 2021' AS date, 'Job & ' || lang AS job_title, 'Austin, TX' AS author_location,
+{', '.join(f"CASE WHEN {e} BETWEEN 1 AND 5 THEN CAST({e} AS VARCHAR) ELSE '-' END AS {name}" for name, e in _SUB.items())} FROM documents
+UNION ALL SELECT doc_id, 'new' || doc_id, '-', '-', md5('ok'), '-', 'Jun 2, 2022', 'Analyst', 'Town ' || doc_id, {', '.join("'-'" for _ in _SUB)} FROM documents""")
+def review_records(spark, sf):
+    """All fourteen fields of reviews in both page layouts; the texts are those of the documents."""
+    out = records_of(_review_pages(table(spark, sf, "documents")), "doc_id", "html")
+    return out.withColumn("pros", F.md5("pros"))

@@ -6,6 +6,9 @@ from . import query, table
 from ..operators.evaluate import decide
 from ..functions.fixed_values import SUB_RATINGS
 from ..session import shared_dir
+from ..streaming.scoring import append_gold
+from ..sources.csv_ranges import read_csv_by_name
+from ..sources.landing import read_landed
 from ..sources.tables import (
     append_gold_rows, company_from_file, convert_csv, replace_table, write_csv,
 )
@@ -61,7 +64,7 @@ def gold_append(spark, sf):
     path = shared_dir(spark, "gold")
     append_gold_rows(scored.where("event_id % 2 = 0"), path)
     append_gold_rows(scored.where("event_id % 2 = 1"), path)
-    gold = spark.read.parquet(path)
+    gold = read_landed(spark, path)
     return gold.groupBy("satisfaction").agg(
         F.count("*").alias("n_rows"), F.round(F.sum("predicted_rating"), 4).alias("total"),
         F.round(F.sum("confidence"), 3).alias("confidence_total"), F.lit(len(gold.columns)).alias("n_columns"),
@@ -76,3 +79,46 @@ def table_replace(spark, sf):
     replace_table(customers.where("c_acctbal < 0"), path)
     replace_table(customers, path, read_from=(f"{sf}/customer.parquet",))
     return spark.read.parquet(path)
+
+
+@query("""SELECT 't' || (c_custkey % 4) AS company, c_custkey, CASE WHEN c_custkey % 4 <> 2 THEN c_name END AS name, c_acctbal,
+CASE WHEN c_custkey % 4 <> 3 THEN c_mktsegment || chr(10) || '"' || c_name || '", ' || c_custkey END AS comment FROM customer""")
+def unlike_headers(spark, sf):
+    """A folder of files whose headers differ in order, in names the schema lacks, and in names they lack themselves."""
+    c = table(spark, sf, "customer")
+    rows = c.select("c_custkey", F.col("c_name").alias("name"), "c_acctbal", F.concat(
+        "c_mktsegment", F.lit('\n"'), "c_name", F.lit('", '), F.col("c_custkey").cast("string")).alias("comment"))
+    orders = [["c_custkey", "name", "c_acctbal", "comment"], ["comment", "c_acctbal", "name", "c_custkey"],
+              ["c_acctbal", "comment", "c_custkey"], ["name", "more", "c_custkey", "c_acctbal"]]
+    base = shared_dir(spark, "csv-folder")
+    for k, columns in enumerate(orders):
+        part = rows.where(F.col("c_custkey") % 4 == k).withColumn("more", F.lit("x"))
+        write_csv(part.select(*columns).withColumnRenamed("c_custkey", " c_custkey ") if k == 1 else part.select(*columns), f"{base}/t{k}_reviews")
+    found = read_csv_by_name(spark, [f"{base}/t{k}_reviews" for k in range(4)], "c_custkey bigint, name string, c_acctbal double, comment string", required=("c_custkey",))
+    return found.select(F.concat(F.lit("t"), (F.col("c_custkey") % 4).cast("string")).alias("company"), "c_custkey", "name", "c_acctbal", "comment")
+
+
+@query("SELECT doc_id, lang, source, md5(text) AS digest FROM documents WHERE lang = 'en' AND n_chars > 1000")
+def csv_ranges(spark, sf):
+    """One large file of texts with line breaks and quotes, read in several ranges and filtered where it is read."""
+    path = shared_dir(spark, "csv-one")
+    write_csv(table(spark, sf, "documents").repartition(1), path)
+    docs = read_csv_by_name(spark, path, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    return docs.where("lang = 'en' AND n_chars > 1000").select("doc_id", "lang", "source", F.md5("text").alias("digest"))
+
+
+@query("""SELECT CASE WHEN event_id % 2 = 0 THEN 'stream' ELSE 'batch' END AS writer, count(*) AS n_rows, round(sum(1 + value / 125), 4) AS total FROM events GROUP BY 1""")
+def gold_shared(spark, sf):
+    """A gold table that a stream and a batch job append to; the batch job runs twice under one name."""
+    events = table(spark, sf, "events").select(
+        "event_id", F.col("ts").cast("timestamp").alias("ts"), (1 + F.col("value") / 125).alias("model_rating"),
+        F.when(F.col("event_id") % 2 == 0, "stream").otherwise("batch").alias("summary"), *[F.lit(3.0).alias(c) for c in SUB_RATINGS])
+    scored = decide(events, "model_rating", SUB_RATINGS)
+    path, source = shared_dir(spark, "gold"), shared_dir(spark, "gold-source")
+    batch = scored.where("event_id % 2 = 1")
+    append_gold_rows(batch, path, load="nightly")
+    scored.where("event_id % 2 = 0").write.parquet(source)
+    append_gold(spark.readStream.schema(scored.schema).parquet(source), path, shared_dir(spark, "checkpoint")).awaitTermination()
+    append_gold_rows(batch, path, load="nightly")
+    return read_landed(spark, path).groupBy(F.col("summary").alias("writer")).agg(
+        F.count("*").alias("n_rows"), F.round(F.sum("predicted_rating"), 4).alias("total"))

@@ -1,16 +1,18 @@
 """Streaming queries over the events as JSON files; each drains and returns what landed."""
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from . import query, table
 from .extraction import form_payload
+from .text import TAGS, review_dictionary, review_texts, sql_review_features
 from ..operators import models as M
+from ..operators.featurise import feature_names, row_features
+from ..operators.saved import SignatureAssembler, load_pipeline
 from ..session import shared_dir
+from ..sources.landing import keep_parts, read_landed
 from ..streaming import scoring as S
 
-FEATURES = ["summary_charlen", "pros_charlen", "wl_balance"]
-
-
 def _event_files(spark, sf, name, repeat=False):
     """The events as JSON lines with a form payload; optionally every event sent twice."""
     e = table(spark, sf, "events")
@@ -23,39 +25,44 @@ def _event_files(spark, sf, name, repeat=False):
     return folder
 
 
-def _lengths(df):
-    return df.withColumns({"summary_charlen": F.length("summary"), "pros_charlen": F.length("pros")})
+def _submissions(spark, sf):
+    """Documents as form submissions: the start as summary, the whole text as pros, the rest as cons."""
+    fields = [F.struct(F.lit(label).alias("label"), F.lit("TEXTAREA").alias("type"), F.col(name).alias("value")) for name, label in (
+        ("summary", "Please summarize"), ("pros", "What do you like most"), ("cons", "What would you improve"))]
+    form = F.struct(F.struct(F.struct(F.lit("2024-05-01T00:00:00Z").alias("createdAt"), F.array(*fields).alias("fields")).alias("data")).alias("body"))
+    return review_texts(spark, sf).select(
+        F.col("doc_id").cast("string").alias("submission_id"), F.timestamp_seconds(F.lit(1.7e9) + F.col("doc_id")).alias("ts"), F.to_json(form).alias("payload"))
 
 
 def _scorer(spark, sf):
-    """A pipeline fitted on the events, saved and loaded, used alike for batch and stream."""
-    e = table(spark, sf, "events")
-    train = e.select(
-        F.length("event_type").alias("summary_charlen"), F.length("props").alias("pros_charlen"),
-        F.when((F.col("user_id") % 8).between(1, 5), (F.col("user_id") % 8).cast("double")).otherwise(3.0).alias("wl_balance"),
-        (1 + F.col("value") / 125).alias("rating"),
-    )
-    path = shared_dir(spark, "stream-model")
-    M.save_bundle(M.fit_model(train, FEATURES, "rating", "elastic_net", {"l1_ratio": 0.5, "alpha": 0.001}), path, spark, features=FEATURES)
-    model, facts = M.load_bundle(path, spark)
-
-    def score(df):
-        keep = tuple(c for c in df.columns)
-        wide = _lengths(df)
-        vectors = M.assemble(wide.withColumns({f"_keep_{c}": F.col(c) for c in keep}), facts["features"],
-                             tuple(f"_keep_{c}" for c in keep))
-        return model.transform(vectors).select(
-            *[F.col(f"_keep_{c}").alias(c) for c in keep], F.col("prediction").alias("model_rating"))
+    """Features and a pipeline that is fitted on the labelled documents, saved and loaded; used alike for batch and stream."""
+    dictionary, labels = review_dictionary(spark, sf), table(spark, sf, "labels").select("doc_id", (1.0 + 4 * F.col("quality")).alias("rating"))
+    names, path = feature_names(TAGS), shared_dir(spark, "stream-model")
+    train = row_features(review_texts(spark, sf).join(labels, "doc_id"), dictionary, TAGS).select("rating", *names)
+    stages = [SignatureAssembler(names)]
+    model = M.fit_assembled(stages[0].transform(train).select("features", "rating"), "rating", "elastic_net", {"l1_ratio": 0.5, "alpha": 0.01})
+    PipelineModel([*stages, model]).write().overwrite().save(path)
+    loaded = load_pipeline(spark, path)
+
+    def score(parsed):
+        return loaded.transform(row_features(parsed, dictionary, TAGS)).withColumnRenamed("prediction", "model_rating").drop("features")
 
     return score
 
 
-@query()
+@query(f"WITH {sql_review_features()}".replace("SELECT y.doc_id,", "SELECT CAST(y.doc_id AS VARCHAR) AS submission_id, 1 AS same_as_batch,"))
 def stream_score(spark, sf):
-    """Forms parsed, scored with the loaded pipeline and labelled; each submission lands once."""
-    scored = S.score_events(S.read_events(spark, _event_files(spark, sf, "events", repeat=True)), _scorer(spark, sf))
-    kept = S.append_once(scored, shared_dir(spark, "scored"), shared_dir(spark, "checkpoint"))
-    return kept.select("submission_id", "summary", "wl_balance", "predicted_rating", "satisfaction", "confidence")
+    """Forms that arrive twice, parsed, turned into all text features, scored with the loaded pipeline and labelled; each
+    lands once, with the score that the batch path gives it."""
+    score, events = _scorer(spark, sf), _submissions(spark, sf)
+    folder = shared_dir(spark, "submissions")
+    events.withColumn("ts", F.explode(F.array("ts", F.col("ts") + F.expr("INTERVAL 5 SECONDS")))).write.json(folder)
+    landed = S.append_once(S.read_events(spark, folder), shared_dir(spark, "scored"), shared_dir(spark, "checkpoint"), then=lambda df: S.score_events(df, score))
+    batch = S.score_events(events, score).select("submission_id", F.struct("predicted_rating", "satisfaction", "confidence").alias("batch"))
+    both = landed.join(batch, "submission_id")
+    same = F.struct("predicted_rating", "satisfaction", "confidence") == F.col("batch")
+    names = feature_names(TAGS)
+    return both.select("submission_id", same.cast("int").alias("same_as_batch"), *[F.round(c, 8).alias(c) if c.endswith("_sia") else F.col(c) for c in names])
 
 
 @query("""SELECT CAST(event_id AS VARCHAR) AS submission_id, event_type, count(*) OVER () AS n_kept,
@@ -100,7 +107,7 @@ def _gold(spark, sf, name):
 @query(f"""WITH {_P} SELECT summary, satisfaction, count(*) AS n_rows, round(sum(p), 4) AS total, 17 AS n_columns
 FROM (SELECT *, event_type AS summary FROM s) GROUP BY 1, 2""")
 def stream_gold(spark, sf):
-    gold = spark.read.parquet(_gold(spark, sf, "gold-events"))
+    gold = read_landed(spark, _gold(spark, sf, "gold-events"))
     return gold.groupBy("summary", "satisfaction").agg(
         F.count("*").alias("n_rows"), F.round(F.sum("predicted_rating"), 4).alias("total"),
         F.lit(len(gold.columns)).alias("n_columns"))
@@ -108,11 +115,11 @@ def stream_gold(spark, sf):
 
 @query(f"""WITH {_P} SELECT strftime(ts, '%Y-%m-%d') AS day, satisfaction, count(*) AS n_events FROM s GROUP BY 1, 2""")
 def stream_daily(spark, sf):
-    """Per-day class counts kept by a second stream over the gold files."""
+    """Per-day class counts kept by a second stream over the gold files; a batch changes the days that it has events of."""
     path = _gold(spark, sf, "daily-events")
-    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    stream = spark.readStream.schema(read_landed(spark, path).schema).parquet(path)
     counts = S.class_counts(stream.withColumn("ts", F.to_timestamp("timestamp")), "ts", "satisfaction")
     target, checkpoint = shared_dir(spark, "daily"), shared_dir(spark, "checkpoint")
-    S.keep_current(counts, target, checkpoint)
-    daily = S.keep_current(counts, target, checkpoint)  # a second run without new files changes nothing
+    keep_parts(counts, target, checkpoint, ["day", "satisfaction"])
+    daily = keep_parts(counts, target, checkpoint, ["day", "satisfaction"])  # a second run without new files changes nothing
     return daily.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "satisfaction", "n_events")

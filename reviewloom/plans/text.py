@@ -7,7 +7,7 @@ from ..functions.fixed_values import CLINICAL_VOCABULARY, DOMAIN_STOPWORDS, EMOT
 from ..functions.maths import clip
 from ..functions.strings import WS, letter_words, words
 from ..operators import text as T
-from ..operators.featurise import merged_dictionary, review_features as features_of
+from ..operators.featurise import merged_dictionary, review_features as features_of, row_features as features_of_rows
 from ..operators.bounds import settle
 from ..operators.profile import rows_with_any_nonzero
 
@@ -186,10 +186,10 @@ def review_dictionary(spark, sf):
 def review_texts(spark, sf):
     """Documents as reviews: the start as summary, the whole text as pros, what follows the start as cons."""
     t = F.coalesce("text", F.lit(""))
-    return table(spark, sf, "documents").select("doc_id", F.substring(t, 1, 60).alias("summary"), t.alias("pros"), F.substring(t, 61, 300).alias("cons"))
+    return table(spark, sf, "documents").select("doc_id", F.substring(t, 1, 60).alias("summary"), t.alias("pros"), F.substring(t, F.lit(61), F.length(t)).alias("cons"))
 
 
-def _sql_review_features():
+def sql_review_features():
     fields, long = ("summary", "pros", "cons"), ("pros", "cons")
     wordlen = lambda n: f"CASE WHEN {n} = '' THEN 0 ELSE len(regexp_split_to_array({n}, '{WS}+')) END"
     out = []
@@ -214,15 +214,22 @@ def _sql_review_features():
 dict AS (SELECT token, 'letters' AS kind, ('0x' || substr(md5(token), 1, 6))::BIGINT % 10 AS bucket FROM w GROUP BY token ORDER BY count(*) DESC, token LIMIT 60),
 v AS (SELECT DISTINCT unnest({_ws_words("lower(text)")}) AS token FROM benchmark UNION SELECT unnest([{', '.join("'" + w + "'" for w in CLINICAL_VOCABULARY)}])),
 vk AS (SELECT token, 'words' AS kind, 1 AS known FROM v),
-x AS (SELECT doc_id, substr(coalesce(text, ''), 1, 60) AS summary, coalesce(text, '') AS pros, substr(coalesce(text, ''), 61, 300) AS cons FROM documents),
+x AS (SELECT doc_id, substr(coalesce(text, ''), 1, 60) AS summary, coalesce(text, '') AS pros, substr(coalesce(text, ''), 61) AS cons FROM documents),
 t AS ({tokens}),
 y AS (SELECT doc_id, {', '.join(f'length({f}) AS {f}_c, {wordlen(sql_norm(f))} AS {f}_w' for f in fields)} FROM x)
 SELECT y.doc_id, {', '.join(out)}
 FROM y LEFT JOIN t ON t.doc_id = y.doc_id LEFT JOIN dict USING (token, kind) LEFT JOIN vk USING (token, kind) GROUP BY y.doc_id"""
 
 
-@query(f"WITH {_sql_review_features()}")
+@query(f"WITH {sql_review_features()}")
 def review_features(spark, sf):
     """Every text feature of a review in one pass, in signature order."""
     out = features_of(review_texts(spark, sf), "doc_id", review_dictionary(spark, sf), TAGS)
     return out.withColumns({c: F.round(c, 8) for c in ("pros_nltk_sia", "cons_nltk_sia")})
+
+
+@query(f"WITH {sql_review_features()}")
+def row_features(spark, sf):
+    """The same features from each row alone, as a stream needs them."""
+    out = features_of_rows(review_texts(spark, sf), review_dictionary(spark, sf), TAGS).drop("summary", "pros", "cons")
+    return out.withColumns({c: F.round(c, 8) for c in ("pros_nltk_sia", "cons_nltk_sia")})

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.fixed_values import GOLD_COLUMNS
+from .csv_ranges import read_csv_by_name
+from .landing import land, path_exists
 
 # Canonical name -> name in each review dialect (None where the dialect lacks it), in the
 # order of the dialect's columns; ratings stay text until the lenient cast.
@@ -35,17 +37,17 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str | list[str], schema: str, corrupt: str | None = None) -> DataFrame:
-    """CSV with a header and an explicit schema, from any URI Spark can read.
+    """CSV with a header and an explicit schema in the header's order, from any URI Spark can read.
 
-    Review texts hold line breaks, so records may span lines; such files cannot
-    be split, hence convert once with :func:`convert_csv` and work on Parquet.
+    A header that names other columns, or the same in another order, is an error. Records may span lines, so a file
+    is one task here: :func:`read_csv_by_name` reads large files in parallel, and files whose headers differ.
     With ``corrupt`` unreadable records are kept whole in that column.
     """
     reader = (
         spark.read.option("header", True).option("multiLine", True)
         .option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE")
         # A null marker no file holds keeps an empty field (null) apart from a quoted empty string.
-        .option("nullValue", "\u0000").option("emptyValue", "")
+        .option("nullValue", "\u0000").option("emptyValue", "").option("enforceSchema", False)
     )
     if corrupt:
         reader = reader.option("columnNameOfCorruptRecord", corrupt)
@@ -62,14 +64,15 @@ def write_csv(df: DataFrame, path: str) -> None:
     )
 
 
-def convert_csv(spark: SparkSession, path: str, schema: str, target: str, corrupt: str | None = None) -> DataFrame:
-    read_csv(spark, path, schema, corrupt).write.mode("overwrite").parquet(target)
+def convert_csv(spark: SparkSession, path: str | list[str], schema: str, target: str, corrupt: str | None = None) -> DataFrame:
+    """CSV files to Parquet, columns by name, in parallel also within a file."""
+    read_csv_by_name(spark, path, schema, corrupt).drop("file_name").write.mode("overwrite").parquet(target)
     return spark.read.parquet(target)
 
 
 def read_folder(spark: SparkSession, folder: str | list[str], schema: str) -> DataFrame:
-    """All files of a folder, or of a list of paths, with their file name."""
-    return read_csv(spark, folder, schema).select("*", F.col("_metadata.file_name").alias("file_name"))
+    """All files of a folder, or of a list of paths, with their file name; columns by the header of each file."""
+    return read_csv_by_name(spark, folder, schema)
 
 
 def company_from_file(file_name: Column) -> Column:
@@ -88,10 +91,13 @@ def first_rows(df: DataFrame, key: str, n: int) -> DataFrame:
     return df.orderBy(key).limit(n)
 
 
-def append_gold_rows(df: DataFrame, path: str, now: Column | None = None) -> DataFrame:
-    """Append scored rows in the fixed gold order, stamped with the ingestion time."""
+def append_gold_rows(df: DataFrame, path: str, now: Column | None = None, load: str | None = None) -> DataFrame:
+    """Append scored rows in the fixed gold order, stamped with the ingestion time; streams may fill the same table.
+
+    A job that names its ``load`` can be run again without adding its rows twice.
+    """
     rows = gold_rows(df, now)
-    rows.write.mode("append").parquet(path)
+    land(rows, path, load)
     return rows
 
 
@@ -121,14 +127,8 @@ def pending(planned: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
 def append_new(df: DataFrame, path: str, keys: list[str]) -> None:
     """Append only rows whose keys the target lacks: running it twice adds nothing."""
     spark = df.sparkSession
-    try:
-        done = spark.read.parquet(path).select(*keys)
-    except Exception as e:  # the first run has no target yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        df.write.mode("append").parquet(path)
-        return
-    pending(df, done, keys).write.mode("append").parquet(path)
+    new = pending(df, spark.read.parquet(path), keys) if path_exists(spark, path) else df  # the first run has no target yet
+    new.write.mode("append").parquet(path)
 
 
 def missing_periods(df: DataFrame, entity: str, period: Column, first: Column, last: Column) -> DataFrame:

@@ -5,7 +5,8 @@ The per-event functions are the batch ones; only source, watermark and sink diff
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -13,7 +14,8 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.forms import parse_forms
 from ..functions.fixed_values import SUB_RATINGS
 from ..operators.evaluate import decide
-from ..sources.tables import append_new, gold_rows, quarantine
+from ..sources.landing import land_stream, read_landed
+from ..sources.tables import gold_rows, quarantine
 
 EVENT_SCHEMA = "submission_id string, ts timestamp, payload string"
 
@@ -26,29 +28,41 @@ def read_events(spark: SparkSession, folder: str, files_per_batch: int = 100) ->
     )
 
 
-def append_once(stream: DataFrame, path: str, checkpoint: str, key: str = "submission_id", rejects: str | None = None) -> DataFrame:
+@contextmanager
+def keyed_state(spark: SparkSession) -> Iterator[None]:
+    """State kept by RocksDB on the executors' disks, of which a batch writes its changes only."""
+    settings = {
+        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def append_once(
+    stream: DataFrame, path: str, checkpoint: str, key: str = "submission_id", rejects: str | None = None,
+    then: Callable[[DataFrame], DataFrame] = lambda df: df,
+) -> DataFrame:
     """Drain a stream into a table that holds each key once, however late a repeat or a first copy comes.
 
-    Every batch keeps the earliest row of a key (by ``ts``) and appends the keys
-    that the table lacks, so a batch that is retried adds nothing.  Rows without
-    key or time go to the ``rejects`` table with the reason.
+    The keys seen are state of the query: a batch looks up its own keys and never reads the table, so its work does not
+    grow with the table.  The first copy to arrive stays (of several in a batch any one).  ``then`` works on the rows
+    that are new, without aggregates, before they are written.  A batch that is retried replaces its own rows.  Rows
+    without key or time go to the ``rejects`` table with the reason, by a query of their own.
     """
-    columns = stream.columns
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        good, bad = quarantine(batch, {"no key": F.col(key).isNotNull(), "no time": F.col("ts").isNotNull()})
-        if rejects:
-            bad.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{rejects}/batch={batch_id}")
-        row = F.struct(*columns)
-        first = good.groupBy(F.col(key).alias("_key")).agg(F.min_by(row, F.struct("ts", row)).alias("_first"))
-        append_new(first.select("_first.*"), path, [key])
-
-    q = (
-        stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start()
-    )
-    q.awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(path)
+    good, bad = quarantine(stream, {"no key": F.col(key).isNotNull(), "no time": F.col("ts").isNotNull()})
+    new = then(good.dropDuplicates([key]))
+    with keyed_state(stream.sparkSession):
+        land_stream(new, path, checkpoint).awaitTermination()
+    if rejects:
+        land_stream(bad, rejects, f"{checkpoint.rstrip('/')}-rejects").awaitTermination()
+    return read_landed(stream.sparkSession, path, new.schema)
 
 
 def score_events(events: DataFrame, model_score: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -62,48 +76,16 @@ def score_events(events: DataFrame, model_score: Callable[[DataFrame], DataFrame
 
 
 def append_gold(scored: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Append to the gold table with its fixed columns; the checkpoint makes each event land once."""
-    gold = gold_rows(scored, F.col("ts"))
-    return (
-        gold.writeStream.outputMode("append").format("parquet")
-        .option("path", path).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start()
-    )
-
-
-def class_counts(gold: DataFrame, ts: str, label: str, delay: str = "1 day", width: str = "1 day") -> DataFrame:
-    """Events per day and class; works on a stream and on a table."""
-    marked = gold.withWatermark(ts, delay) if gold.isStreaming else gold
-    return (
-        marked.groupBy(F.window(ts, width).alias("w"), label).agg(F.count("*").alias("n_events"))
-        .select(F.col("w.start").alias("day"), label, "n_events")
-    )
-
-
-def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Drain what is available now into a Parquet table and read it back."""
-    q = (
-        stream.writeStream.outputMode(mode).format("parquet")
-        .option("path", path).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start()
-    )
-    q.awaitTermination()
-    spark = stream.sparkSession
-    return spark.read.schema(stream.schema).parquet(path)
+    """Append to the gold table with its fixed columns, each event once; batch jobs may append to the same table."""
+    return land_stream(gold_rows(scored, F.col("ts")), path, checkpoint)
 
 
-def keep_current(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
-    """Drain an aggregating stream; every batch replaces the table by the full result.
+def class_counts(gold: DataFrame, ts: str, label: str, width: str = "1 day") -> DataFrame:
+    """Events per day and class, on a stream and on a table alike.
 
-    A retried batch writes the same rows again; a run without new input leaves
-    the table as it is.
+    The state is one row per day and class, so it is kept and events count however late they come.
     """
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
-
-    q = (
-        stream.writeStream.outputMode("complete").foreachBatch(write)
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return (
+        gold.groupBy(F.window(ts, width).alias("w"), label).agg(F.count("*").alias("n_events"))
+        .select(F.col("w.start").alias("day"), label, "n_events")
     )
-    q.awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(path)

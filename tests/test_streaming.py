@@ -4,6 +4,10 @@ import json
 
 from pyspark.sql import functions as F
 
+import pytest
+
+from reviewloom.sources import landing
+from reviewloom.sources.landing import keep_parts, read_landed
 from reviewloom.streaming import scoring as S
 
 
@@ -25,7 +29,7 @@ def test_stream_equals_batch_without_repeats(spark, tmp_path):
     target, checkpoint, rejects = (str(tmp_path / n) for n in ("out", "cp", "bad"))
     S.append_once(stream, target, checkpoint, rejects=rejects)
     out = S.append_once(stream, target, checkpoint, rejects=rejects)  # nothing new
-    assert spark.read.parquet(rejects).count() == 1
+    assert [r["reason"] for r in read_landed(spark, rejects).collect()] == ["no key"]
     got = sorted((r["submission_id"], r["predicted_rating"], r["satisfaction"]) for r in out.collect())
     assert got == [("1", 4.0, "Alto"), ("2", 2.0, "Bajo"), ("3", 5.0, "Alto")]
     batch = S.score_events(spark.read.schema(S.EVENT_SCHEMA).json(str(folder)).dropDuplicates(["submission_id"]).where("submission_id is not null"), _score)
@@ -50,7 +54,7 @@ def test_gold_appends_only_new_files(spark, tmp_path):
     for name, i in (("a", "1"), ("b", "2")):
         (folder / f"{name}.json").write_text(_line(i, "2024-01-01T10:00:00Z", "abcd"))
         S.append_gold(S.score_events(S.read_events(spark, str(folder)), _score), gold, checkpoint).awaitTermination()
-    table = spark.read.parquet(gold)
+    table = read_landed(spark, gold)
     assert table.count() == 2 and len(table.columns) == 17
 
 
@@ -58,5 +62,52 @@ def test_class_counts_versions(spark, tmp_path):
     spark.sql("SELECT timestamp'2024-01-01 10:00:00' AS ts, 'Alto' AS c UNION ALL SELECT timestamp'2024-01-02 01:00:00', 'Bajo'").write.parquet(str(tmp_path / "gold"))
     stream = spark.readStream.schema("ts timestamp, c string").parquet(str(tmp_path / "gold"))
     for _ in range(2):  # the second run has no new files
-        out = S.keep_current(S.class_counts(stream, "ts", "c"), str(tmp_path / "daily"), str(tmp_path / "cp"))
+        out = keep_parts(S.class_counts(stream, "ts", "c"), str(tmp_path / "daily"), str(tmp_path / "cp"), ["day", "c"])
     assert sorted((str(r["day"]), r["c"], r["n_events"]) for r in out.collect()) == [("2024-01-01 00:00:00", "Alto", 1), ("2024-01-02 00:00:00", "Bajo", 1)]
+
+
+def test_counts_follow_late_events_day_by_day(spark, tmp_path):
+    source, target, checkpoint = (str(tmp_path / n) for n in ("gold", "daily", "cp"))
+    for ts in ("2024-03-01 10:00:00", "2024-01-01 10:00:00", "2024-03-01 11:00:00", "2020-01-01 00:00:00"):
+        spark.sql(f"SELECT timestamp'{ts}' AS ts, 'Alto' AS c").write.mode("append").parquet(source)
+        stream = spark.readStream.schema("ts timestamp, c string").parquet(source)
+        out = keep_parts(S.class_counts(stream, "ts", "c"), target, checkpoint, ["day", "c"])
+    batch = S.class_counts(spark.read.parquet(source), "ts", "c")
+    assert sorted(map(str, out.collect())) == sorted(map(str, batch.collect())) and out.count() == 3
+
+
+def test_a_retried_batch_adds_nothing(spark, tmp_path, monkeypatch):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "a.json").write_text("\n".join(_line(i, "2024-01-01T10:00:00Z", "abcd") for i in "1213"))
+    target, checkpoint = str(tmp_path / "out"), str(tmp_path / "cp")
+    real = landing.land
+
+    def once_broken(*args):
+        real(*args)
+        monkeypatch.setattr(landing, "land", real)
+        raise RuntimeError("lost after the write")
+
+    monkeypatch.setattr(landing, "land", once_broken)
+    with pytest.raises(Exception, match="lost after the write"):
+        S.append_once(S.read_events(spark, str(folder)), target, checkpoint)
+    assert read_landed(spark, target).count() == 3
+    out = S.append_once(S.read_events(spark, str(folder)), target, checkpoint)
+    assert sorted(r["submission_id"] for r in out.collect()) == ["1", "2", "3"]
+
+
+def test_a_batch_reads_its_own_rows_only(spark, tmp_path):
+    """The keys seen are state; the table that grows is not read by later batches."""
+    folder = tmp_path / "in"
+    folder.mkdir()
+    target, checkpoint = str(tmp_path / "out"), str(tmp_path / "cp")
+    (folder / "0.json").write_text("\n".join(_line(str(i), "2024-01-01T10:00:00Z", "abcd") for i in range(500)))
+    S.append_once(S.read_events(spark, str(folder)), target, checkpoint)
+    (folder / "1.json").write_text("\n".join(_line(i, "2024-01-02T10:00:00Z", "abcd") for i in ("3", "new")))
+    good, _ = S.quarantine(S.read_events(spark, str(folder)), {"key": F.col("submission_id").isNotNull(), "ts": F.col("ts").isNotNull()})
+    with S.keyed_state(spark):
+        query = landing.land_stream(good.dropDuplicates(["submission_id"]), target, checkpoint)
+        query.awaitTermination()
+    progress = query.lastProgress
+    assert progress["numInputRows"] <= 2 * 2 and progress["stateOperators"][0]["numRowsTotal"] == 501
+    assert read_landed(spark, target).count() == 501
