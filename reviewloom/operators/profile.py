@@ -18,7 +18,8 @@ from ..functions.fixed_values import (
 )
 from ..functions.maths import relative_spread
 from .align import melt, quoted
-from .bounds import settle
+from .bounds import distinct_values, settle
+from .quantiles import wide_quantiles
 from .ranks import exact_quantiles
 
 
@@ -109,11 +110,14 @@ def by_split_and_all(df: DataFrame, split: str) -> DataFrame:
     return df.withColumn(split, F.explode(F.array(F.lit("all"), F.col(split))))
 
 
-def iqr_report(df: DataFrame, split: str, columns: list[str]) -> DataFrame:
-    """Quartiles and interquartile range per split and column."""
-    long = melt(df, [split], columns)
-    q = exact_quantiles(long, [split, "variable"], "value", {"q25": 0.25, "q75": 0.75})
-    return q.withColumn("iqr", F.col("q75") - F.col("q25"))
+def iqr_report(df: DataFrame, split: str, columns: list[str], whole: bool = False) -> DataFrame:
+    """Quartiles and interquartile range per split and column, with ``whole`` also of all rows, as split 'all'."""
+    parts = {str(v): F.col(split) == F.lit(v) for v in distinct_values(df, split)}
+    if whole:
+        parts["all"] = F.lit(True)
+    found = wide_quantiles(df, columns, parts, {"q25": 0.25, "q75": 0.75})
+    rows = [(part, c, q["q25"], q["q75"], q["q75"] - q["q25"]) for (part, c), q in found.items()]
+    return df.sparkSession.createDataFrame(rows, f"`{split}` string, variable string, q25 double, q75 double, iqr double")
 
 
 def split_consistency(
@@ -135,7 +139,7 @@ def split_consistency(
         ]).first()
         checked = [c for i, c in enumerate(numeric) if not (zeros[i] is not None and zeros[i] > 0.5)]
         if checked:
-            iqr = iqr_report(by_split_and_all(df, split), split, checked)
+            iqr = iqr_report(df, split, checked, whole=True)
             reports.append(iqr.groupBy("variable").agg(
                 F.min("iqr").alias("low"), F.max("iqr").alias("high")
             ).select(
@@ -182,42 +186,38 @@ def split_consistency(
 
 def outlier_limits(
     train: DataFrame, columns: list[str], multiplier: float = OUTLIER_MULTIPLIER
-) -> DataFrame:
-    """Limits per column: q75 of distinct values minus q25 of non-zero values, times the multiplier.
+) -> dict[str, tuple[float, float]]:
+    """(lower, upper) per column: q75 of distinct values minus q25 of non-zero values, times the multiplier.
 
-    Distinct values, non-zero values and all values are labelled parts of one
-    long table, so the quantiles of all of them come from one selection.
+    A column without values has no limits.  Only distinct values are shuffled, once.
     """
-    long = melt(train, [], columns)
-    parts = F.when(F.col("value") != 0, F.array(F.lit("rows"), F.lit("nonzero"))).otherwise(F.array(F.lit("rows")))
-    labelled = long.select(F.explode(parts).alias("part"), "variable", "value").unionByName(
-        long.distinct().select(F.lit("distinct").alias("part"), "variable", "value")
-    )
-    q = exact_quantiles(labelled, ["part", "variable"], "value", {"q25": 0.25, "q75": 0.75})
-    pick = lambda part, name: F.max(F.when(F.col("part") == part, F.col(name)))
-    iqr = pick("distinct", "q75") - pick("nonzero", "q25")
-    return q.groupBy("variable").agg(
-        (pick("rows", "q75") + iqr * multiplier).alias("upper"),
-        (pick("rows", "q25") - iqr * multiplier).alias("lower"),
-    )
+    probs, limits = {"q25": 0.25, "q75": 0.75}, {}
+    nulled = train.select(*[quoted(c) for c in columns], *[F.nullif(quoted(c).cast("double"), F.lit(0.0)).alias(f"_nonzero{i}") for i, c in enumerate(columns)])
+    every = wide_quantiles(nulled, nulled.columns, {"rows": F.lit(True)}, probs)
+    nonzero = {c: every["rows", f"_nonzero{i}"] for i, c in enumerate(columns) if ("rows", f"_nonzero{i}") in every}
+    distinct = exact_quantiles(melt(train, [], columns).distinct(), ["variable"], "value", {"q75": 0.75})
+    distinct = {r["variable"]: r["q75"] for r in distinct.collect()}
+    for c in columns:
+        if c in nonzero and c in distinct:
+            reach = (distinct[c] - nonzero[c]["q25"]) * multiplier
+            limits[c] = (every["rows", c]["q25"] - reach, every["rows", c]["q75"] + reach)
+    return limits
 
 
 def outlier_report(df: DataFrame, split: str, columns: list[str], train: str = "train",
                    multiplier: float = OUTLIER_MULTIPLIER) -> DataFrame:
-    """Outlier count and share per split against limits taken from the training split only."""
-    limits = settle(
-        outlier_limits(df.where(F.col(split) == train), columns, multiplier), "outlier-limits"
-    )
-    long = melt(df, [split], columns).withColumn("value", F.nvl("value", F.lit(float("nan"))))
-    hit = ~F.isnan("value") & ((F.col("value") > F.col("upper")) | (F.col("value") < F.col("lower")))
-    return (
-        long.join(limits, "variable", "left").groupBy(split, "variable")
-        .agg(
-            F.max("lower").alias("lower"), F.max("upper").alias("upper"),
-            F.count_if(hit).alias("n_outliers"),
-            F.avg(F.coalesce(hit, F.lit(False)).cast("double")).alias("outlier_share"),
-        )
-    )
+    """Outlier count and share per split against limits taken from the training split only, from one aggregation."""
+    limits = outlier_limits(df.where(F.col(split) == train), columns, multiplier)
+    none = F.lit(None).cast("double")
+
+    def counted(c: str) -> Column:
+        lower, upper = (F.lit(x) for x in limits[c]) if c in limits else (none, none)
+        v = F.nanvl(quoted(c).cast("double"), none)
+        hit = F.coalesce((v > upper) | (v < lower), F.lit(False))
+        return F.struct(F.lit(c).alias("variable"), lower.alias("lower"), upper.alias("upper"),
+                        F.count_if(hit).alias("n_outliers"), F.avg(hit.cast("double")).alias("outlier_share"))
+
+    return df.groupBy(split).agg(F.array(*[counted(c) for c in columns]).alias("_c")).select(split, F.inline("_c"))
 
 
 def correlation_matrix(df: DataFrame, columns: list[str], min_rows: int = 10) -> DataFrame:

@@ -98,7 +98,7 @@ def class_spread(spark, sf):
 SELECT split, variable, round(quantile_cont(value, 0.25), 6) AS q25, round(quantile_cont(value, 0.75), 6) AS q75,
        round(quantile_cont(value, 0.75) - quantile_cont(value, 0.25), 6) AS iqr FROM long GROUP BY 1, 2""")
 def iqr_report(spark, sf):
-    report = P.iqr_report(P.by_split_and_all(_lines_once(spark, sf), "split"), "split", NUMERIC)
+    report = P.iqr_report(_lines_once(spark, sf), "split", NUMERIC, whole=True)
     return report.select("split", "variable", *[F.round(c, 6).alias(c) for c in ("q25", "q75", "iqr")])
 
 
