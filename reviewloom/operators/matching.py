@@ -1,16 +1,22 @@
 """Slug and substring matching against a list, as equi-joins.
 
 "Equals, starts with ``f-`` or ends with ``-f``" and "contains f" look like
-theta joins.  Instead each distinct value is expanded to the few strings it
-could match, and those meet the list in a hash join: no nested loop, and the
-list may be of any size.
+theta joins.  For the first, each distinct value is expanded to the few strings
+it could match, and those meet the list in a hash join; for the second, each
+distinct value is walked through an automaton of the list.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Iterator
 
-from .bounds import rows_if_small
+import ahocorasick
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Row, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
+
+from ..session import written
+from .bounds import SETTLED_ROWS, rows_if_small
 
 
 def dashed_affixes(slug: Column) -> Column:
@@ -23,16 +29,6 @@ def dashed_affixes(slug: Column) -> Column:
     return F.array_distinct(F.concat(F.array(slug), prefixes, suffixes))
 
 
-def substrings_of_lengths(value: Column, lengths: Column) -> Column:
-    """All distinct substrings whose length is in ``lengths``."""
-    def of_length(size: Column) -> Column:
-        last = F.length(value) - size + 1
-        starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda at: F.substring(value, at, size))
-
-    return F.array_distinct(F.flatten(F.transform(lengths, of_length)))
-
-
 def _match(values: DataFrame, candidates: Column, entries: DataFrame) -> DataFrame:
     exploded = values.select("_value", F.explode(candidates).alias("_entry"))
     return exploded.join(entries, "_entry").distinct()
@@ -51,17 +47,50 @@ def slug_matches(df: DataFrame, column: str, entries: DataFrame, entry: str) ->
 def substring_matches(df: DataFrame, column: str, entries: DataFrame, entry: str) -> DataFrame:
     """(value, entry) pairs where the lower-cased value contains the entry, per distinct value.
 
-    The looser rule: it also hits ``sse`` in ``credit-suisse``.  Only substrings
-    of lengths that occur in the list are generated.
+    The looser rule: it also hits ``sse`` in ``credit-suisse``.  Tasks walk each value once through an automaton of all
+    entries (Aho-Corasick), so the work is the characters of the values and the hits.  An automaton holds up to
+    ``SETTLED_ROWS`` entries; a longer list is dealt by hash to several, each of which walks the values.
     """
-    entries = entries.select(F.col(entry).alias("_entry")).where("_entry <> ''").distinct()
-    sizes = rows_if_small(entries.select(F.length("_entry").alias("n")).distinct())
-    if sizes is None:
-        raise ValueError("entries have too many different lengths for substring matching")
-    lengths = F.array(*[F.lit(r["n"]) for r in sorted(sizes)]) if sizes else F.array().cast("array<int>")
-    values = df.select(F.col(column).alias("_value")).where("_value is not null").distinct()
-    pairs = _match(values, substrings_of_lengths(F.lower("_value"), lengths), entries)
-    return pairs.select(F.col("_value").alias(column), F.col("_entry").alias(entry))
+    entries = entries.select(F.col(entry).cast("string").alias("_entry")).where("_entry <> ''").distinct()
+    values = df.select(F.col(column).alias("_value")).where("_value is not null").distinct().select("_value", F.lower("_value").alias("_low"))
+    found, whole = None, rows_if_small(entries, SETTLED_ROWS)
+    shards = [whole] if whole is not None else _shards(entries)
+    for rows in shards:
+        part = values.mapInArrow(_walker([r["_entry"] for r in rows]), StructType([values.schema["_value"], StructField("_entry", StringType())]))
+        found = part if found is None else found.unionByName(part)
+    return found.select(F.col("_value").alias(column), F.col("_entry").alias(entry))
+
+
+def _shards(entries: DataFrame) -> Iterator[list[Row]]:
+    """The entries in parts of at most ``SETTLED_ROWS``; a part that is larger by chance is dealt again."""
+    n = 2 * entries.count() // SETTLED_ROWS + 1
+    while n:
+        number = F.pmod(F.xxhash64("_entry"), F.lit(n))
+        if entries.groupBy(number.alias("s")).count().where(F.col("count") > SETTLED_ROWS).isEmpty():
+            break
+        n *= 2
+    entries = written(entries.withColumn("_shard", number), "entries")
+    for k in range(n):
+        yield entries.where(F.col("_shard") == k).select("_entry").collect()
+
+
+def _walker(entries: list[str]):
+    """A function over (value, lower-cased value) batches that gives each value with the entries in it."""
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = ahocorasick.Automaton()
+        for e in entries:
+            automaton.add_word(e, e)
+        if entries:
+            automaton.make_automaton()
+        for b in batches:
+            at, hits = [], []
+            for i, low in enumerate(b.column(1).to_pylist() if entries else ()):
+                inside = {e for _, e in automaton.iter(low)}
+                at += [i] * len(inside)
+                hits += inside
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(hits, pa.string())], names=["_value", "_entry"])
+
+    return walk
 
 
 def keep_matching(df: DataFrame, column: str, pairs: DataFrame) -> DataFrame:

@@ -53,3 +53,18 @@ def knn_regress(spark, sf):
     e = table(spark, sf, "embeddings")
     out = V.knn_regress(e, e, "vec_id", "embedding", "label", 7, weights="distance", exclude_self=True)
     return out.withColumn("prediction", F.round("prediction", 6))
+
+
+@query("SELECT count(*) AS n_queries, 1 AS recall_reached, 0::BIGINT AS n_wrong FROM embeddings WHERE vec_id % 50 = 0")
+def knn_inverted_file(spark, sf):
+    """Neighbours from the nearest cells of an index, held against the exact search: at least nine of ten are found, and
+    whatever is found has its exact distance."""
+    e = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    asked = e.where("vec_id % 50 = 0")
+    index = V.inverted_file(e, "vec_id", "embedding", 5)
+    found = V.nearest_neighbours(asked, e, "vec_id", "embedding", 5, exclude_self=True, centres=index.centres, probes=index.probes)
+    exact = V.nearest_neighbours(asked, e, "vec_id", "embedding", 5, exclude_self=True)
+    pairs = exact.select("query", "neighbour", F.col("distance").alias("right")).join(found.select("query", "neighbour", "distance"), ["query", "neighbour"], "left")
+    return pairs.agg(
+        F.countDistinct("query").alias("n_queries"), (F.count("distance") >= 0.9 * F.count("*")).cast("int").alias("recall_reached"),
+        F.count_if(F.col("distance") != F.col("right")).alias("n_wrong"))
