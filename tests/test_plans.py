@@ -58,7 +58,7 @@ import sys; sys.path.insert(0, {repo!r})
 import __spark_entry__ as e
 from tests.compare import session
 s = session(2)
-for n in ("knn_regress", "dimension_similarity"):
+for n in ("knn_regress", "dimension_similarity", "csv_ranges", "pca_groups", "row_features", "entity_presence"):
     assert e.queries()[n](s, {SF!r}).count() > 0
 """
     done = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, capture_output=True, text=True, timeout=300)
