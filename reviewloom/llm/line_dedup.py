@@ -1,7 +1,7 @@
 """Line dedup by distinct-site spread, in DataFrame functions only.
 
-A line is boilerplate where it stands on at least ``min_sites`` sites and in at least two different whole texts; the
-second condition keeps the lines of a text that is only ever copied as a whole, which is the work of near-copy
+A line is boilerplate where it stands on at least ``min_sites`` sites and in at least ``min_texts`` different whole
+texts; the second condition keeps the lines of a text that is much copied as a whole, which is the work of near-copy
 detection.  The sites of all rows count.  Rows are first combined per line and site, so a line of a third of all rows is
 no hot group.  Per line hash a HyperLogLog sketch of its sites is aggregated; lines whose estimate is near the threshold
 get an exact distinct count.  Boilerplate goes from every document but the one of smallest id that holds it.
@@ -35,18 +35,18 @@ def _blank(line: Column) -> Column:
     return F.btrim(line, F.lit(" \t\r\x0b\x0c")) == ""
 
 
-def boilerplate(docs: DataFrame, id_col: str, text_col: str, site_col: str, min_sites: int) -> DataFrame:
+def boilerplate(docs: DataFrame, id_col: str, text_col: str, site_col: str, min_sites: int, min_texts: int) -> DataFrame:
     """(id, line) pairs of lines to remove, by line hash."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(site_col).cast("string"), F.lit("\0"))).alias("site"), text.alias("text"))
     marks = F.array_distinct(F.transform(F.filter(_lines(F.col("text")), lambda x: ~_blank(x)), _mark))
     rows = rows.select("id", "site", F.xxhash64("text").alias("whole"), F.explode(marks).alias("line"))
     rows = written(rows, "lines")
-    # one row per line and site; texts are told apart by the least and the largest of their hashes
+    # one row per line and site
     spots = written(rows.groupBy("line", "site").agg(F.min("id").alias("id"), F.min("whole").alias("least"), F.max("whole").alias("most")), "spots")
     several = spots.groupBy("line").agg(
         F.min("site").alias("low"), F.max("site").alias("high"), F.min("id").alias("keeper"), F.min("least").alias("least"), F.max("most").alias("most"))
-    several = several.where("least < most").where("low < high" if min_sites > 1 else "true").select("line", "keeper")
+    several = several.where("least < most" if min_texts > 1 else "true").where("low < high" if min_sites > 1 else "true").select("line", "keeper")
     spots = spots.select("line", "site").join(several, "line")
     sketched = spots.groupBy("line").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", LG_K)).alias("sites"), F.first("keeper", ignorenulls=True).alias("keeper"))
     sketched = written(sketched.where(F.col("sites") >= min_sites * (1 - SPREAD) - 1), "sketched")
@@ -54,13 +54,15 @@ def boilerplate(docs: DataFrame, id_col: str, text_col: str, site_col: str, min_
     near = sketched.where(F.col("sites") <= min_sites * (1 + SPREAD) + 1)
     exact = spots.select("line", "site").join(near.select("line"), "line", "left_semi").groupBy("line").agg(F.count("*").alias("n"))
     found = sure.unionByName(near.join(exact.where(F.col("n") >= min_sites), "line").select("line", "keeper"))
+    texts = rows.select("line", "whole").join(found.select("line"), "line", "left_semi").distinct().groupBy("line").agg(F.count("*").alias("n"))
+    found = written(found.join(texts.where(F.col("n") >= min_texts), "line").select("line", "keeper"), "boilerplate")
     pairs = rows.select("id", "line").join(found, "line")
     return pairs.where(~F.col("id").eqNullSafe(F.col("keeper"))).select("id", "line")
 
 
-def remove_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = 10) -> DataFrame:
+def remove_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = 10, min_texts: int = 10) -> DataFrame:
     """The documents with boilerplate lines taken out of their texts."""
-    pairs = boilerplate(docs, id_col, text_col, site_col, min_sites)
+    pairs = boilerplate(docs, id_col, text_col, site_col, min_sites, min_texts)
     gone = pairs.groupBy("id").agg(F.collect_set("line").alias("lines"), F.lit(True).alias("some"))
     # the row rides along as one column, so that its columns can be called anything
     both = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).alias("d").join(

@@ -149,7 +149,7 @@ def op5_shared_prefix_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op7_distinct_site_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents without the lines that stand on ten sites or more."""
+    """Documents without the lines that stand on ten sites or more and in ten different texts or more."""
     from .line_dedup import remove_boilerplate
 
     return remove_boilerplate(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
@@ -159,7 +159,7 @@ ORACLES["op7_distinct_site_spread"] = """
 WITH d AS (SELECT doc_id, coalesce(source, chr(1)) AS site, coalesce(text, '') AS text FROM documents),
     l AS (SELECT doc_id, site, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS place FROM d),
     m AS (SELECT doc_id, site, text, place, line, trim(line, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS mark FROM l),
-    gone AS (SELECT mark, min(doc_id) AS keeper FROM m WHERE mark <> '' GROUP BY mark HAVING count(DISTINCT site) >= 10 AND count(DISTINCT text) >= 2),
+    gone AS (SELECT mark, min(doc_id) AS keeper FROM m WHERE mark <> '' GROUP BY mark HAVING count(DISTINCT site) >= 10 AND count(DISTINCT text) >= 10),
     k AS (SELECT m.doc_id, place, line, mark, keeper IS NOT NULL AND keeper <> m.doc_id AS out FROM m LEFT JOIN gone USING (mark))
 SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT out), '') AS text,
     CASE WHEN count(*) = 1 AND max(line) = '' THEN 0 ELSE count(*) END AS n_lines, count(*) FILTER (out) AS n_removed
