@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..session import written
 from .components import components
-from .words import U, Words, mix, rows_of, slices, strings
+from .words import U, Words, mix, rows_of, slices, small_batches, strings
 
 CHARS_PER_SLOT = 400  # one counter of the sketch for so many characters, from 2^16 to 2^24 counters
 PIECES = 16
@@ -42,7 +42,8 @@ def _counters(width: int, slots: int):
         for b in batches:
             t = strings(b.column("text"))
             for at, end in slices(t):
-                total += np.bincount((Words(t.slice(at, end - at)).shingles(width)[0] % U(slots)).astype(np.int64), minlength=slots)
+                place, n = np.unique(Words(t.slice(at, end - at)).shingles(width)[0] % U(slots), return_counts=True)
+                total[place.astype(np.int64)] += n
         yield pa.RecordBatch.from_pydict({"piece": pa.array(range(PIECES), pa.int32()), "counts": [packed(x) for x in np.split(total, PIECES)]})
 
     return run
@@ -203,7 +204,8 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     left = pairs.join(sets.where("left").select(F.col("class").alias("a"), F.col("members").alias("x")), "a")
     both = left.join(sets.where("right").select(F.col("class").alias("b"), F.col("members").alias("y")), "b").select("a", "b", "x", "y")
-    return written(both.mapInArrow(run, "a long, b long").distinct(), "linked")
+    with small_batches(pairs.sparkSession):
+        return written(both.mapInArrow(run, "a long, b long").distinct(), "linked")
 
 
 def divide_skip(lists: list[np.ndarray], least: int) -> dict[int, int]:
@@ -345,7 +347,8 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     fields = {"classes": ("class", "bigint"), "sizes": ("n", "int"), "ranks": ("members", "int"), "labels": ("label", "bigint")}
     lists = lists.select("token", "band", "chunk", *[F.col("entries")[f].cast(f"array<{kind}>").alias(name) for name, (f, kind) in fields.items()])
     asked = asks.join(lists, ["token", "band"]).drop("token").repartition("query", "band", "chunk").sortWithinPartitions("query", "band", "chunk")
-    rest = written(asked.mapInArrow(_search(percent), "a long, b long"), "pairs")
+    with small_batches(docs.sparkSession):
+        rest = written(asked.mapInArrow(_search(percent), "a long, b long"), "pairs")
     more = linked(rest, whole_sets(texts, rest, classes, width), percent)
 
     labels = components(links.unionByName(more))

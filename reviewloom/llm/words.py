@@ -7,12 +7,26 @@ White space is ASCII, so cutting the UTF-8 bytes never cuts a character.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 U = np.uint64
 SLICE_BYTES = 1 << 20
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@contextmanager
+def small_batches(spark: SparkSession, size: str = "8m"):
+    """What is written within this gets its Python tasks' rows in batches of about ``size``: for wide rows."""
+    before = spark.conf.get(BATCH_BYTES)
+    spark.conf.set(BATCH_BYTES, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_BYTES, before)
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
