@@ -8,10 +8,12 @@ others WAND retrieves all items above it, and a match stands if word triples of
 answer (its last sentence) recur in the passage.
 
 The index is carried to the tasks, so it is built for at most ``INDEX_CHARS`` characters of items at a time; a larger
-benchmark is searched in several such parts, each with its own BM25 statistics.
+benchmark is searched in several such parts.  All parts share the statistics of the whole benchmark (document
+frequencies, number of items, mean length, longest item), so results do not depend on their number.
 
 Odd input: null texts are empty and match nothing; items without words are left out; repeated documents and items
-match like any other (one row per document row's id and item); null ids are kept; an empty side gives no rows.
+match like any other (one row per document row's id and item); null ids are kept; an empty side gives no rows; texts of
+any length are read whole, passage by passage; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,12 +21,15 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import written
 from .words import U, Words, joined, rows_of, slices, strings
 
 K1, B = 1.2, 0.75
@@ -57,10 +62,22 @@ def word_hashes(text: str) -> np.ndarray:
     return Words(pa.array([text]), letters_only=True).hash
 
 
+@dataclass
+class Statistics:
+    """What BM25 and the passages need to know of the whole benchmark; ``df`` by word hash."""
+    items: int
+    words: int
+    longest: int
+    df: dict[int, int]
+
+
 class Index:
-    """Inverted index of items with block maxima; impacts are shares of an item's own score."""
+    """Inverted index of items with block maxima; impacts are shares of an item's own score.
 
-    def __init__(self, items: list[tuple[object, str]]):
+    ``stats`` are those of the whole benchmark where ``items`` are a part of it.
+    """
+
+    def __init__(self, items: list[tuple[object, str]], stats: Statistics | None = None):
         words = [word_hashes(t or "") for _, t in items]
         keep = [i for i, w in enumerate(words) if len(w)]
         self.items = [items[i][0] for i in keep]
@@ -70,11 +87,10 @@ class Index:
         # a part of fewer than three words takes its neighbours in
         self.question = [grams(w[:max(n, len(word_hashes(q)))], n) for w, n, (q, _) in zip(words, self.width, parts)]
         self.answer = [grams(w[-max(n, len(word_hashes(a))):], n) for w, n, (_, a) in zip(words, self.width, parts)]
-        self.longest = max(map(len, words), default=1)
-        n = len(words)
         counts = [Counter(w.tolist()) for w in words]
-        df = Counter(h for c in counts for h in c)
-        mean = sum(map(len, words)) / max(n, 1)
+        stats = stats or Statistics(len(words), sum(map(len, words)), max(map(len, words), default=1), Counter(h for c in counts for h in c))
+        n, df, self.longest = stats.items, stats.df, stats.longest
+        mean = stats.words / max(n, 1)
         postings = defaultdict(list)
         for i, c in enumerate(counts):
             impact = {h: math.log(1 + (n - df[h] + 0.5) / (df[h] + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(words[i]) / mean)) for h, tf in c.items()}
@@ -87,8 +103,8 @@ class Index:
         self.top = np.array([max(x) for _, x in self.lists])
         self.blocks = [[(ids[min(k + BLOCK, len(ids)) - 1], max(x[k:k + BLOCK])) for k in range(0, len(ids), BLOCK)] for ids, x in self.lists]
         # first bound: what rare words bring to an item, and all that its common words could
-        self.common = np.array([len(ids) > max(1, COMMON * n) for ids, _ in self.lists], dtype=bool)
-        self.common_mass = np.zeros(n)
+        self.common = np.array([df[h] > max(1, COMMON * n) for h in self.vocabulary.tolist()], dtype=bool)
+        self.common_mass = np.zeros(len(words))
         for t in np.flatnonzero(self.common):
             self.common_mass[self.lists[t][0]] += self.lists[t][1]
         rare = [([], []) if c else p for c, p in zip(self.common, self.lists)]
@@ -142,13 +158,14 @@ class Index:
                 for t in live[:pivot + 1]:
                     at[t] = self._reach(t, at[t], to)
                 continue
-            total = 0.0
+            parts = []
             for t in live[:pivot + 1]:
                 at[t] = self._reach(t, at[t], item)
                 ids, x = self.lists[t]
                 if at[t] < len(ids) and ids[at[t]] == item:
-                    total += x[at[t]]
+                    parts.append(x[at[t]])
                     at[t] += 1
+            total = math.fsum(parts)  # whatever the order
             if total >= least:
                 found.append((item, total))
 
@@ -212,6 +229,33 @@ class Index:
             yield (r, item, *values)
 
 
+def _words_of(batches):
+    """Part, number of words and distinct word hashes of each item."""
+    for b in batches:
+        t = strings(b.column("text"))
+        for at, end in slices(t):
+            w = Words(t.slice(at, end - at), letters_only=True)
+            sets = [np.unique(w.hash[i:j]).view(np.int64) for i, j in zip(w.first[:-1], w.first[1:])]
+            yield pa.RecordBatch.from_arrays(
+                [b.column("part").slice(at, end - at), pa.array(np.diff(w.first).astype(np.int64)), pa.array(sets, pa.list_(pa.int64()))], names=["part", "n", "words"])
+
+
+def _parts(items: DataFrame, n: int) -> Iterator[tuple[DataFrame, Statistics | None]]:
+    """The items in ``n`` parts by hash, each with the benchmark's statistics; frequencies are those of the part's words."""
+    if n == 1:
+        yield items, None
+        return
+    items = items.withColumn("part", F.pmod(F.xxhash64("text", F.col("item").cast("string")), F.lit(n)))
+    words = written(items.mapInArrow(_words_of, "part long, n long, words array<bigint>"), "item-words")
+    facts = words.where("n > 0").agg(F.count("*"), F.sum("n"), F.max("n")).first()
+    spots = words.select("part", F.explode("words").alias("word"))
+    df = spots.groupBy("word").agg(F.count("*").alias("df"))
+    known = written(spots.distinct().join(df, "word"), "item-frequencies")
+    for k in range(n):
+        own = {r["word"] % (1 << 64): r["df"] for r in known.where(F.col("part") == k).toLocalIterator()}
+        yield items.where(F.col("part") == k).drop("part"), Statistics(facts[0], facts[1] or 0, facts[2] or 1, own)
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
                item_text: str = "text", threshold: float = THRESHOLD, overlap: float = OVERLAP, index_chars: int = INDEX_CHARS) -> DataFrame:
     """One row per document and test item that it holds: ids, score, question_overlap, answer_overlap, passages."""
@@ -221,9 +265,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     id_type, item_type = (d.schema[c].dataType.simpleString() for d, c in ((docs, id_col), (items, "item")))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     out = None
-    for k in range(shards):
-        part = items if shards == 1 else items.where(F.pmod(F.xxhash64("text", "item"), F.lit(shards)) == k)
-        index = Index(sorted(((r["item"], r["text"]) for r in part.collect()), key=lambda x: (x[1] or "", str(x[0]))))
+    for part, stats in _parts(items, shards):
+        index = Index(sorted(((r["item"], r["text"]) for r in part.collect()), key=lambda x: (x[1] or "", str(x[0]))), stats)
 
         def run(batches, index=index):
             for b in batches:

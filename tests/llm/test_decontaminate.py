@@ -51,6 +51,22 @@ def test_whole_table(spark):
     assert len(got) <= 1.2 * len(want)
 
 
+def test_parts_share_statistics(spark):
+    rng = random.Random(5)
+    vocabulary = [f"w{int(rng.paretovariate(0.8)) % 200}" for _ in range(2000)]
+    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(4, 40))) + ". " + " ".join(rng.choice(vocabulary) for _ in range(3)) + ".") for i in range(60)]
+    noise = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    docs = []
+    for i in range(120):  # items with some words gone, so that scores lie on both sides of the threshold
+        words = rng.choice(items)[1].split()
+        kept = [w for w in words if rng.random() > rng.choice((0, 0.1, 0.3, 0.5))]
+        docs.append((i, f"{noise(rng.randrange(80))} {' '.join(kept)} {noise(rng.randrange(80))}"))
+    df, tests = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    chars = sum(len(t) for _, t in items)
+    one, five = (sorted(map(tuple, find_leaks(df, tests, index_chars=-(-chars // n)).collect())) for n in (1, 5))
+    assert len(one) > 40 and one == five
+
+
 def test_odd_rows_and_shards(spark):
     item = "Which river runs through the old town of Brenlow? The river Tassel runs through it."
     other = "A short one. Yes."
