@@ -21,6 +21,7 @@ import hashlib
 import json
 import struct
 import zlib
+from collections.abc import Iterator
 from urllib.parse import quote
 
 import pyarrow as pa
@@ -30,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import shared_dir, written
+from .words import small_batches
 
 PACKAGE_BYTES = 32 << 20
 RANGE_BYTES = 4 << 20
@@ -65,25 +67,34 @@ def read_record(member: bytes) -> tuple[dict[str, str], bytes]:
     return fields, rest[:int(fields["Content-Length"])]
 
 
-def zip_package(members: list[tuple[str, bytes]], zip64: bool = False) -> bytes:
-    """A ZIP file of stored members; ``zip64`` writes the large form whatever the sizes."""
-    out, directory = bytearray(), bytearray()
+def zip_parts(members: list[tuple[str, bytes]], zip64: bool = False) -> Iterator[bytes]:
+    """The bytes of a ZIP file of stored members, one after the other and without copies of the members' bytes; ``zip64``
+    writes the large form whatever the sizes."""
+    place, directory = 0, bytearray()
     for name, data in members:
-        place, crc, raw = len(out), zlib.crc32(data), name.encode()
+        crc, raw = zlib.crc32(data), name.encode()
         large = zip64 or len(data) >= _FULL32 or place >= _FULL32
         size = _FULL32 if large else len(data)
         extra = struct.pack("<HHQQ", 1, 16, len(data), len(data)) if large else b""
-        out += struct.pack("<4sHHHHHIIIHH", b"PK\3\4", 45 if large else 20, 0x800, 0, 0, 33, crc, size, size, len(raw), len(extra)) + raw + extra + data
+        head = struct.pack("<4sHHHHHIIIHH", b"PK\3\4", 45 if large else 20, 0x800, 0, 0, 33, crc, size, size, len(raw), len(extra)) + raw + extra
+        yield head
+        yield data
         extra = struct.pack("<HHQQQ", 1, 24, len(data), len(data), place) if large else b""
         directory += struct.pack("<4sHHHHHHIIIHHHHHII", b"PK\1\2", 45, 45 if large else 20, 0x800, 0, 0, 33, crc, size, size, len(raw), len(extra), 0, 0, 0, 0, _FULL32 if large else place) + raw + extra
-    start, n = len(out), len(members)
-    out += directory
+        place += len(head) + len(data)
+    start, n = place, len(members)
+    yield bytes(directory)
     if zip64 or start >= _FULL32 or n >= _FULL16:
-        end = len(out)
-        out += struct.pack("<4sQHHIIQQQQ", b"PK\6\6", 44, 45, 45, 0, 0, n, n, len(directory), start)
-        out += struct.pack("<4sIQI", b"PK\6\7", 0, end, 1)
-        return bytes(out + struct.pack("<4sHHHHIIH", b"PK\5\6", 0, 0, _FULL16, _FULL16, _FULL32, _FULL32, 0))
-    return bytes(out + struct.pack("<4sHHHHIIH", b"PK\5\6", 0, 0, n, n, len(directory), start, 0))
+        yield struct.pack("<4sQHHIIQQQQ", b"PK\6\6", 44, 45, 45, 0, 0, n, n, len(directory), start)
+        yield struct.pack("<4sIQI", b"PK\6\7", 0, start + len(directory), 1)
+        yield struct.pack("<4sHHHHIIH", b"PK\5\6", 0, 0, _FULL16, _FULL16, _FULL32, _FULL32, 0)
+    else:
+        yield struct.pack("<4sHHHHIIH", b"PK\5\6", 0, 0, n, n, len(directory), start, 0)
+
+
+def zip_package(members: list[tuple[str, bytes]], zip64: bool = False) -> bytes:
+    """The same in one piece."""
+    return b"".join(zip_parts(members, zip64))
 
 
 class Package:
@@ -162,16 +173,18 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
         def close():
             nonlocal data, lines, done
             name = f"pages-{task.partitionId():06d}-{done:06d}.wacz"
-            package = zip_package([
-                ("archive/data.warc.gz", bytes(data)), ("indexes/index.cdxj", "".join(sorted(lines)).encode()),
+            members = [
+                ("archive/data.warc.gz", data), ("indexes/index.cdxj", "".join(sorted(lines)).encode()),
                 ("datapackage.json", json.dumps({"profile": "data-package", "wacz_version": "1.1.1", "resources": [{"path": "archive/data.warc.gz", "bytes": len(data)}]}).encode()),
-            ], zip64)
+            ]
             system.create_dir(base, recursive=True)
             own = f"{base}/.{name}-{task.taskAttemptId()}"
             with system.open_output_stream(own) as out:
-                out.write(package)
+                for part in zip_parts(members, zip64):
+                    out.write(part)
+                size = out.tell()
             system.move(own, f"{base}/{name}")
-            row = pa.RecordBatch.from_pydict({"path": [f"{folder}/{name}"], "records": [len(lines)], "bytes": [len(package)]})
+            row = pa.RecordBatch.from_pydict({"path": [f"{folder}/{name}"], "records": [len(lines)], "bytes": [size]})
             data, lines, done = bytearray(), [], done + 1
             return row
 
@@ -236,5 +249,6 @@ def _rows(held: list[tuple]) -> pa.RecordBatch:
 def archived(pages: DataFrame, id_col: str = "page_id", **options) -> DataFrame:
     """Write ``pages`` to packages in the shared folder and read every record back; ids have their type again."""
     kind = pages.schema[id_col].dataType
-    packages = written(write_archives(pages, shared_dir(pages.sparkSession, "packages"), id_col=id_col, **options), "packages-list")
+    with small_batches(pages.sparkSession, "4m"):
+        packages = written(write_archives(pages, shared_dir(pages.sparkSession, "packages"), id_col=id_col, **options), "packages-list")
     return read_archives(packages).withColumns({"page_id": F.col("page_id").cast(kind), "refers_to": F.col("refers_to").cast(kind)}).withColumnRenamed("page_id", id_col)

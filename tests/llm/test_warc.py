@@ -3,6 +3,7 @@ import zipfile
 
 import pytest
 
+from reviewloom.llm import warc
 from reviewloom.llm.queries import ORACLES, QUERIES
 from reviewloom.llm.warc import Package, archived, read_archives, read_record, record_bytes, write_archives, zip_package
 from tests.compare import differences, duck
@@ -66,3 +67,23 @@ def test_payloads_and_empty_table(spark, tmp_path):
     assert packages.count() > 1 and sum(r.records for r in packages.collect()) == 30
     assert {r.page_id: bytes(r.payload).decode() for r in read_archives(packages).collect()} == {str(i): f"page {i} é" for i in range(30)}
     assert archived(df.limit(0)).collect() == []
+
+
+def test_a_package_is_written_without_copies_of_its_data():
+    import tracemalloc
+
+    data = bytearray(b"x" * (8 << 20))
+    members = [("archive/data.warc.gz", data), ("indexes/index.cdxj", b"y")]
+    tracemalloc.start()
+    size = sum(len(part) for part in warc.zip_parts(members))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert size == len(warc.zip_package(members)) and peak < 1 << 20
+
+
+def test_pages_reach_the_tasks_in_small_batches(spark, monkeypatch):
+    seen = []
+    kept = warc.written
+    monkeypatch.setattr(warc, "written", lambda df, name: (seen.append(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")), kept(df, name))[1])
+    pages = spark.createDataFrame([(1, "u", "h"), (2, "v", "h")], "page_id long, url string, html string")
+    assert warc.archived(pages).count() == 2 and seen == ["4m"]
