@@ -352,3 +352,30 @@ def test_folder_scan_test_mode_and_company(spark, tmp_path):
 def test_replace_refuses_its_own_input(spark, tmp_path):
     with pytest.raises(ValueError):
         tables.replace_table(spark.range(1), str(tmp_path), (str(tmp_path) + "/",))
+
+
+def test_placing_by_many_centres_is_bounded_in_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    a, centres = rng.normal(size=(5_000, 8)), rng.normal(size=(4_096, 8))
+    for metric in ("euclidean", "manhattan"):
+        rows_ = a if metric == "euclidean" else a[:300]
+        tracemalloc.start()
+        cell, away = vectors._placing_function(metric)(rows_, centres)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 40 << 20  # all distances at once take 164 MB
+        d = np.abs(centres - rows_[7]).sum(1) if metric == "manhattan" else np.sqrt(((centres - rows_[7]) ** 2).sum(1))
+        assert cell[7] == d.argmin() and math.isclose(away[7], d.min())
+
+
+def test_neighbours_of_separate_places_meet_their_own_blocks_only(spark, monkeypatch):
+    """Rows far apart in eight places of 40: after the first block no other is visited, so that each query hands on k rows."""
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=(40, 3)) + 1000 * g for g in range(8)])
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "i long, v array<double>")
+    sizes, kept = [], vectors.written
+    monkeypatch.setattr(vectors, "written", lambda d, name: (lambda out: (sizes.append(out.count()), out)[1])(kept(d, name)))
+    got = vectors.nearest_neighbours(df, df, "i", "v", 3, exclude_self=True, pivots=24, block_rows=64)
+    assert got.count() == 960 and got.where("abs(query - neighbour) >= 40").count() == 0 and sizes == [320 * 4]
