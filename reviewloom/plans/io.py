@@ -13,6 +13,8 @@ from ..sources.tables import (
     append_gold_rows, company_from_file, convert_csv, replace_table, write_csv,
 )
 
+CSV_FILE_BYTES = 128 << 20  # of text in a file
+
 
 @query("SELECT doc_id, lang, source, n_chars, md5(text) AS digest FROM documents")
 def csv_roundtrip(spark, sf):
@@ -100,9 +102,10 @@ def unlike_headers(spark, sf):
 
 @query("SELECT doc_id, lang, source, md5(text) AS digest FROM documents WHERE lang = 'en' AND n_chars > 1000")
 def csv_ranges(spark, sf):
-    """One large file of texts with line breaks and quotes, read in several ranges and filtered where it is read."""
-    path = shared_dir(spark, "csv-one")
-    write_csv(table(spark, sf, "documents").repartition(1), path)
+    """Large files of texts with line breaks and quotes, read in several ranges and filtered where they are read."""
+    path, docs = shared_dir(spark, "csv-large"), table(spark, sf, "documents")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    write_csv(docs.repartition(max(1, -(-size // CSV_FILE_BYTES))), path)  # a file is written by one task
     docs = read_csv_by_name(spark, path, "doc_id bigint, text string, lang string, source string, n_chars bigint")
     return docs.where("lang = 'en' AND n_chars > 1000").select("doc_id", "lang", "source", F.md5("text").alias("digest"))
 

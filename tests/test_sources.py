@@ -116,3 +116,15 @@ def test_only_changed_parts_are_replaced(spark, tmp_path):
     L.replace_parts(rows.limit(0), path, ["k", "j"])
     got = L.read_landed(spark, path, rows.schema).select("k", "j", "n").collect()
     assert sorted(map(tuple, got), key=str) == [("a", 1, 10), ("a", 2, 21), ("b", 1, 40), (None, 1, 30)]
+
+
+def test_large_texts_are_written_to_several_files(spark, monkeypatch):
+    from reviewloom.plans import io
+
+    paths, kept = [], io.write_csv
+    monkeypatch.setattr(io, "write_csv", lambda df, path: (paths.append(path), kept(df, path)))
+    monkeypatch.setattr(io, "CSV_FILE_BYTES", 100_000)
+    sf = "/root/testdata/sf0.001"
+    want = spark.read.parquet(f"{sf}/documents.parquet").where("lang = 'en' AND n_chars > 1000").count()
+    assert io.csv_ranges(spark, sf).count() == want
+    assert spark.read.text(paths[0]).select("_metadata.file_path").distinct().count() > 1
