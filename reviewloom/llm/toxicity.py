@@ -3,11 +3,13 @@
 A word's vector is the sum of the hashed vectors of the word, of its beginnings and of its endings, so that unseen
 words of a known stem are recognised.
 
-Trained in numpy on the driver from a bounded sample of labelled texts (at most ``max_docs`` documents and
-``max_chars`` characters, whole texts, half of both for each class where there are enough; class weights restore the
-shares in the labels).  Every text is scored whole, in tasks.  Thresholds per language come from a calibration part of the
-sample: the lowest score from ``FLOOR`` on at which four in five flagged texts are labelled toxic; where there is
-none, that of all languages or ``FLOOR``.
+Trained in numpy from every labelled text, whole.  The texts are dealt by id to tasks, which cut them into blocks
+of about ``BLOCK_CHARS``; each block is learnt from in a task that starts from the shared weights, and what the blocks have learnt is
+averaged (a word's vector over the blocks that have moved it), ``ROUNDS`` times.  A single block is learnt from once, in
+more passes.  A fifth of the labelled texts, by id, is not learnt from but scored, and all of it calibrates the
+thresholds per language: the lowest score from ``FLOOR`` on, on a grid of 1 / ``GRID``, at which four in five flagged
+texts are labelled toxic; where there is none, that of all languages or ``FLOOR``.  Every text is scored whole, in tasks.
+Only who names bounds to ``fit`` learns from a bounded sample.
 
 Odd input: null and empty texts get the score of a text without words; a null language has the threshold of all
 languages; labels without a document, without a value or repeated (the largest counts) are handled; without both
@@ -33,6 +35,9 @@ BUCKETS, DIM, FILTERS, WIDTHS = 1 << 16, 12, 8, (1, 2, 3)
 STEMS, ENDINGS = (3, 4, 5), (3, 4)  # in bytes
 PAD = BUCKETS
 FLOOR, PRECISION = 0.3, 0.8
+BLOCK_CHARS, ROUNDS, ROUND_EPOCHS = 8_000_000, 3, 3
+SLICES = 32  # of the weights, which are averaged slice by slice
+GRID = 8192  # steps of the score between which thresholds are told apart
 
 
 def tokens_of(texts: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
@@ -135,20 +140,27 @@ def segment_max(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nd
     return np.maximum.reduceat(values, np.stack([start, end], 1).ravel(), axis=0)[::2]
 
 
+def untrained(share: float, rng: np.random.Generator, init: float = 0.02) -> Classifier:
+    """Random weights to start from, for this share of toxic texts."""
+    f32 = np.float32
+    embed = np.concatenate([rng.normal(0, init, (BUCKETS, DIM)), np.zeros((1, DIM))]).astype(f32)
+    filters = {w: rng.normal(0, 0.5 / np.sqrt(w), (w, DIM, FILTERS)).astype(f32) for w in WIDTHS}
+    n = FILTERS * len(WIDTHS)
+    prior = float(np.clip(share, 1e-3, 1 - 1e-3))
+    return Classifier(embed, filters, np.zeros(n, f32), np.abs(rng.normal(0, 0.5, n)).astype(f32), float(np.log(prior / (1 - prior))), prior)
+
+
 def train(docs: list[np.ndarray], features: np.ndarray, labels: np.ndarray, weights: np.ndarray, epochs: int = 10, batch: int = 64,
-          rate: float = 0.05, init: float = 0.02, dropout: float = 0.3, seed: int = 7) -> Classifier:
+          rate: float = 0.05, init: float = 0.02, dropout: float = 0.3, seed: int = 7, start: Classifier | None = None) -> Classifier:
     """Fit by Adagrad on the weighted log loss; the pass with the best loss on a tenth of the texts is kept.
 
     Words are left out at random while training, and of half of the words only beginnings and endings are seen, so
-    that no single rare word can stand for a text.
+    that no single rare word can stand for a text.  The weights of ``start``, if given, are changed in place.
     """
     rng = np.random.default_rng(seed)
     f32 = np.float32
-    embed = np.concatenate([rng.normal(0, init, (BUCKETS, DIM)), np.zeros((1, DIM))]).astype(f32)
-    filters = {w: rng.normal(0, 0.5 / np.sqrt(w), (w, DIM, FILTERS)).astype(f32) for w in WIDTHS}
-    n = FILTERS * len(WIDTHS)
-    prior = float(np.clip((labels * weights).sum() / weights.sum(), 1e-3, 1 - 1e-3))
-    model = Classifier(embed, filters, np.zeros(n, f32), np.abs(rng.normal(0, 0.5, n)).astype(f32), float(np.log(prior / (1 - prior))), prior)
+    model = start or untrained((labels * weights).sum() / weights.sum(), rng, init)
+    embed, filters, prior = model.embed, model.filters, model.share
     slow = {k: np.full(v.shape, 1e-3, f32) for k, v in (("embed", embed[:, :1]), ("bias", model.bias), ("out", model.out), *((w, f) for w, f in filters.items()))}
     slow_bias = 1e-3
     order = rng.permutation(len(docs))
@@ -242,16 +254,18 @@ def of_words(model: Classifier, docs: list[np.ndarray], features: np.ndarray) ->
     return model.score(np.split(ids[:-1], np.cumsum([len(d) for d in docs])[:-1]), features[used])
 
 
-def language_thresholds(score: np.ndarray, label: np.ndarray, weight: np.ndarray, langs: list, least: int = 20) -> dict:
+def language_thresholds(score: np.ndarray, label: np.ndarray, weight: np.ndarray, langs: list, least: int = 20, count: np.ndarray | None = None) -> dict:
     """By language and, under None, over all: the lowest score from FLOOR on that flags with the wanted precision.
 
     A language with fewer than ``least`` flagged calibration texts, or where no cut is that precise, takes the value
     of all languages; where no cut over all is, FLOOR holds.  Nothing is flagged (1.0) only where no calibration text
-    from FLOOR on is toxic.
+    from FLOOR on is toxic.  Where a row stands for several texts, ``count`` says for how many.
     """
+    count = np.ones(len(score)) if count is None else count
+
     def lowest(pick: np.ndarray, otherwise: float) -> float:
         s, y, w = score[pick], label[pick], weight[pick]
-        if (s >= FLOOR).sum() < least:
+        if count[pick][s >= FLOOR].sum() < least:
             return otherwise
         order = np.argsort(-s, kind="stable")
         s, right, all_ = s[order], np.cumsum((y * w)[order]), np.cumsum(w[order])
@@ -263,7 +277,7 @@ def language_thresholds(score: np.ndarray, label: np.ndarray, weight: np.ndarray
 
     langs = np.array([x or "" for x in langs])
     high = score >= FLOOR
-    every = 1.0 if high.sum() >= least and not label[high].any() else lowest(np.ones(len(score), bool), FLOOR)
+    every = 1.0 if count[high].sum() >= least and not label[high].any() else lowest(np.ones(len(score), bool), FLOOR)
     return {None: every} | {str(x): lowest(langs == x, every) for x in np.unique(langs) if x}
 
 
@@ -287,23 +301,31 @@ def sampled(own: DataFrame, classes: list[int], max_docs: int, max_chars: int) -
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-        label_col: str = "toxic", parts: int = 4, held_part: int = 2, max_docs: int = 4000, max_chars: int = 12_000_000) -> Classifier:
-    """Fit on labelled texts whose crc32(id) mod ``parts`` is not ``held_part``.
+        label_col: str = "toxic", parts: int = 4, held_part: int = 2, max_docs: int | None = None, max_chars: int | None = None) -> Classifier:
+    """Fit on all labelled texts whose crc32(id) mod ``parts`` is not ``held_part``.
 
-    The sample is what ``sampled`` takes; a fifth of it only calibrates the thresholds.
+    With ``max_docs`` or ``max_chars`` it is fitted on the sample that ``sampled`` takes, in one task.
     """
     own = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y"))
     own = own.where(F.crc32(F.col("id").cast("string").cast("binary")) % parts != held_part)
     sizes = docs.select(F.col(id_col).alias("id"), F.length(F.coalesce(F.col(text_col), F.lit(""))).alias("chars"))
     own = written(own.join(sizes.groupBy("id").agg(F.sum("chars").alias("chars")), "id"), "labelled")
-    counts = {r["y"]: r["n"] for r in own.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    toxic, clean = counts.get(1, 0), counts.get(0, 0)
+    found = {r["y"]: r for r in own.groupBy("y").agg(F.count("*").alias("n"), F.sum("chars").alias("chars")).collect()}
+    toxic, clean = (found[y]["n"] if y in found else 0 for y in (1, 0))
     if not toxic or not clean:
         return Classifier(*[None] * 5, share=float(toxic > 0), constant=True, thresholds={None: FLOOR})
-    sample = docs.sparkSession.createDataFrame(sampled(own, sorted((0, 1), key=counts.get), max_docs, max_chars), own.select("id", "y").schema)
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(lang_col).alias("lang"))
-    texts = texts.join(F.broadcast(sample), "id")  # at most max_docs ids
+    bounded = max_docs is not None or max_chars is not None
+    if bounded:
+        most = (4000 if max_docs is None else max_docs, 12_000_000 if max_chars is None else max_chars)
+        sample = docs.sparkSession.createDataFrame(sampled(own, sorted((0, 1), key=lambda y: found[y]["n"]), *most), own.select("id", "y").schema)
+        texts = texts.join(F.broadcast(sample), "id")  # at most max_docs ids
+    else:
+        # those held out stay where they are; the plan is the same at any size
+        texts = texts.where(F.crc32(F.col("id").cast("string").cast("binary")) % parts != held_part).join(own.select("id", "y").hint("merge"), "id")
     texts = texts.select(F.col("id").cast("string").alias("id"), "text", F.col("lang").cast("string").alias("lang"), F.col("y").cast("int").alias("y"))
+    if not bounded:
+        return fit_blocks(texts, toxic / (toxic + clean), sum(r["chars"] for r in found.values()) <= BLOCK_CHARS)
 
     def learn(batches):
         rows = sorted((r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))), key=lambda r: r[:2])
@@ -314,6 +336,98 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return Classifier.unpacked(texts.repartition(1).mapInArrow(learn, "model binary").first()[0])
 
 
+def fit_blocks(texts: DataFrame, share: float, single: bool) -> Classifier:
+    """A model of all (id, text, lang, y) rows, learnt block by block and averaged; a fifth of the ids calibrates.
+
+    The rows are written once; each round reads the files and cuts what a task reads into blocks.
+    """
+    texts = written(texts.withColumn("part", F.pmod(F.xxhash64(F.lit("part"), "id"), F.lit(5))), "toxicity-texts")
+    model = untrained(share, np.random.default_rng(7))
+    use = texts.where("part > 0").select("id", "text", "y")
+    use = use.coalesce(1) if single else use
+    for k in range(1 if single else ROUNDS):
+        moved = use.mapInArrow(_block_learner(model, k, 10 if single else ROUND_EPOCHS), "slice int, moved binary")
+        means = moved.repartition(SLICES // 4, "slice").mapInArrow(_averaged, "slice int, moved binary").collect()
+        model = added(model, {r["slice"]: r["moved"] for r in means})
+    model.thresholds = calibrated(score(texts.where("part = 0").select("text", "lang", "y"), model))
+    return model
+
+
+def _block_learner(model: Classifier, number: int, epochs: int):
+    """A function that learns from the rows of a block and gives how far that moves each slice of the weights."""
+    start, sizes = model.packed(), [x.nbytes for x in _sliced(model)]
+
+    def run(batches):
+        for table in _blocks(batches):
+            data, ends = apart(lambda: work(table)), np.cumsum(sizes)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(range(len(sizes)), pa.int32()), pa.array([data[e - n:e] for e, n in zip(ends, sizes)], pa.binary())], names=["slice", "moved"])
+
+    def work(table: pa.Table) -> bytes:
+        table = table.sort_by([("id", "ascending"), ("text", "ascending")])
+        own, before = Classifier.unpacked(start), Classifier.unpacked(start)
+        docs, features = tokens_in_slices(strings(table.column("text")))
+        y = table.column("y").to_numpy().astype(np.float32)
+        after = train(docs, features, y, np.ones(len(y), np.float32), epochs=epochs, rate=0.05 / (number + 1), seed=number + 7, start=own)
+        return b"".join((a - b).astype(np.float32).tobytes() for a, b in zip(_sliced(after), _sliced(before)))
+
+    return run
+
+
+def _blocks(batches):
+    """The rows in tables of about ``BLOCK_CHARS`` bytes of text, every row in one."""
+    held, size = [], 0
+    for b in batches:
+        for a, e in slices(strings(b.column(1)), max(1, BLOCK_CHARS // 8)):
+            held.append(b.slice(a, e - a))
+            size += held[-1].column(1).nbytes
+            if size >= BLOCK_CHARS:
+                yield pa.Table.from_batches(held)
+                held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _sliced(model: Classifier) -> list[np.ndarray]:
+    """All weights as slices: rows of word vectors, and at the end everything else."""
+    dense = [*(f.ravel() for f in model.filters.values()), model.bias, model.out, [model.out_bias]]
+    return [*np.array_split(model.embed, SLICES), np.concatenate(dense).astype(np.float32)]
+
+
+def _averaged(batches):
+    """Means over the blocks per slice: of a word vector over the blocks that have moved it, of the rest over all."""
+    total, n = {}, {}
+    for b in batches:
+        for k, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            moved = np.frombuffer(data, np.float32).reshape(-1, DIM if k < SLICES else 1)
+            total[k] = total.get(k, 0) + moved.astype(float)
+            n[k] = n.get(k, 0) + ((moved != 0).any(1, keepdims=True) if k < SLICES else 1)
+    out = [(total[k] / np.maximum(n[k], 1)).astype(np.float32).tobytes() for k in total]
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(out, pa.binary())], names=["slice", "moved"])
+
+
+def added(model: Classifier, moved: dict[int, bytes]) -> Classifier:
+    """The model with each slice of its weights moved so far."""
+    now = [x + np.frombuffer(moved[k], np.float32).reshape(x.shape) if k in moved else x for k, x in enumerate(_sliced(model))]
+    dense, filters, at = now[-1], {}, 0
+    for w, f in model.filters.items():
+        filters[w] = dense[at:at + f.size].reshape(f.shape)
+        at += f.size
+    n = len(model.bias)
+    return Classifier(np.concatenate(now[:-1]), filters, dense[at:at + n], dense[at + n:at + 2 * n], float(dense[-1]), model.share)
+
+
+def calibrated(scores: DataFrame) -> dict:
+    """Thresholds from all (lang, y, score) rows, counted in tasks per language, label and step of the score."""
+    steps = scores.where(F.col("score") >= FLOOR).groupBy("lang", "y", F.floor(F.col("score") * GRID).alias("step")).agg(F.min("score").alias("low"), F.count("*").alias("n"))
+    rows = steps.collect()
+    low = {}
+    for r in rows:  # a step is flagged as a whole, whatever its languages
+        low[r["step"]] = min(r["low"], low.get(r["step"], 1.0))
+    n = np.array([r["n"] for r in rows], float)
+    return language_thresholds(np.array([low[r["step"]] for r in rows], float), np.array([r["y"] for r in rows], int), n, [r["lang"] for r in rows], count=n)
+
+
 def apart(work) -> bytes:
     """The bytes that ``work`` gives, from a process of its own: the memory it takes does not stay with Spark's worker."""
     context = multiprocessing.get_context("fork")

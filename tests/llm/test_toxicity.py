@@ -138,3 +138,52 @@ def test_a_column_named_like_the_score_is_replaced(spark):
     model = toxicity.fit(docs, docs.selectExpr("doc_id", "cast(doc_id % 3 = 0 as int) as toxic"))
     out = toxicity.score(docs, model)
     assert out.columns == ["doc_id", "text", "lang", "score"] and all(isinstance(r.score, float) for r in out.collect())
+
+
+def test_every_labelled_text_is_learnt_or_calibrates(spark, monkeypatch):
+    """Blocks hold all labelled texts but the calibration part, once each, whatever their number; no sample is drawn."""
+    docs = spark.createDataFrame([(i, f"{'vile scum' if i % 4 == 0 else 'nice day'} word{i} " * (1 + i % 5), "en") for i in range(4000)], "doc_id long, text string, lang string")
+    labels = docs.selectExpr("cast(doc_id as int) as doc_id", "cast(doc_id % 4 = 0 as int) as toxic")  # ids of another type
+    monkeypatch.setattr(toxicity, "sampled", lambda *_: 1 / 0)
+    monkeypatch.setattr(toxicity, "BLOCK_CHARS", 40_000)
+    made, calibrating = [], []
+    learner, calibrated = toxicity._block_learner, toxicity.calibrated
+
+    def counting(model, number, epochs):
+        inner = learner(model, number, epochs)
+        made.append(number)
+        return inner
+
+    monkeypatch.setattr(toxicity, "_block_learner", counting)
+    monkeypatch.setattr(toxicity, "calibrated", lambda scores: calibrating.append(scores.count()) or calibrated(scores))
+    written = []
+    plain = toxicity.written
+    monkeypatch.setattr(toxicity, "written", lambda df, name: written.append((name, plain(df, name))) or written[-1][1])
+    model = toxicity.fit(docs, labels)
+    texts = dict(written)["toxicity-texts"]
+    own = [i for i in range(4000) if zlib.crc32(str(i).encode()) % 4 != 2]
+    assert sorted(int(r.id) for r in texts.collect()) == own and len(own) > 2800
+    learnt = texts.where("part > 0")
+    assert made == list(range(toxicity.ROUNDS))
+    ids = [f"{i}" for i in range(500)]
+    batches = [pa.RecordBatch.from_pydict({"id": ids[a:a + 70], "text": ["x" * 1000] * len(ids[a:a + 70])}) for a in range(0, 500, 70)]
+    blocks = [t.column("id").to_pylist() for t in toxicity._blocks(batches)]
+    assert sum(blocks, []) == ids and all(30 < len(b) < 60 for b in blocks[:-1]) and len(blocks) > 8
+    assert learnt.count() + calibrating[0] == len(own) and 0.1 < calibrating[0] / len(own) < 0.3
+    out = toxicity.score(docs, model).where("crc32(cast(cast(doc_id as string) as binary)) % 4 = 2").collect()
+    assert all((r.score >= 0.5) == (r.doc_id % 4 == 0) for r in out)
+
+
+def test_averages_of_blocks():
+    """A word vector is averaged over the blocks that moved it, everything else over all."""
+    model = toxicity.untrained(0.2, np.random.default_rng(1))
+    sizes = [x.shape for x in toxicity._sliced(model)]
+    first, second = ([np.zeros(s, np.float32) for s in sizes] for _ in range(2))
+    first[0][0], first[0][1], second[0][1], first[-1][:], second[-1][:] = 1, 2, 4, 1, 3
+    batch = lambda moved: pa.RecordBatch.from_arrays([pa.array(range(len(moved)), pa.int32()), pa.array([m.tobytes() for m in moved], pa.binary())], names=["slice", "moved"])
+    means = next(toxicity._averaged([batch(first), batch(second)]))
+    after = toxicity.added(model, dict(zip(means.column(0).to_pylist(), means.column(1).to_pylist())))
+    moved = after.embed - model.embed
+    assert np.allclose(moved[0], 1, atol=1e-5) and np.allclose(moved[1], 3, atol=1e-5) and not moved[2:].any()
+    assert np.allclose(after.bias - model.bias, 2, atol=1e-5) and abs(after.out_bias - model.out_bias - 2) < 1e-5
+    assert all(np.allclose(after.filters[w] - f, 2, atol=1e-5) for w, f in model.filters.items())
