@@ -4,8 +4,9 @@ Texts with equal sets are one class.  Shingles are ordered rare ones first (by a
 a class is indexed under the first few of its shingles: two classes that link must share ``T`` of these.  First every
 inverted list is compared with its most central class, which joins large groups of copies by a link per member.  What
 then still lies in different components is searched by T-occurrence: a query's inverted lists are divided into long
-and short ones, the short ones merged by a heap, the long ones probed by binary search (DivideSkip), and the classes
-that reach the required overlap are compared on their whole sets.  The order only moves work, never results.
+and short ones, the short ones merged by a heap, the long ones probed by binary search (DivideSkip).  Classes that reach
+the required overlap are compared on parity bitmaps, which bound the overlap of the whole sets from above, and those
+that stay on their whole sets.  The order only moves work, never results.
 
 Odd input: null and empty texts, and texts without words, are empty sets, linked with nothing; a text with fewer words
 than a shingle is one shingle; equal rows are in one component; the smallest id of a component is taken over non-null
@@ -36,7 +37,11 @@ CHUNK = 1024  # expected entries of a list that one search holds
 
 
 def _counters(width: int, slots: int):
-    """Partial sketches: how many shingles of a task's texts fall on each counter, in packed pieces."""
+    """Partial sketches: how many shingles of a task's texts fall on each counter, in packed pieces.
+
+    Counts of at most twice the task's mean are sent as zero, with the sum of all: frequent shingles stand above that in
+    most tasks, and what a task sends does not grow with the number of counters.
+    """
     def run(batches):
         total = np.zeros(slots, np.int64)
         for b in batches:
@@ -44,37 +49,41 @@ def _counters(width: int, slots: int):
             for at, end in slices(t):
                 place, n = np.unique(Words(t.slice(at, end - at)).shingles(width)[0] % U(slots), return_counts=True)
                 total[place.astype(np.int64)] += n
-        yield pa.RecordBatch.from_pydict({"piece": pa.array(range(PIECES), pa.int32()), "counts": [packed(x) for x in np.split(total, PIECES)]})
+        sums = [int(x.sum()) for x in np.split(total, PIECES)]
+        total[total <= 2 * total.mean()] = 0
+        yield pa.RecordBatch.from_pydict({"piece": pa.array(range(PIECES), pa.int32()), "counts": [packed(x) for x in np.split(total, PIECES)], "every": sums})
 
     return run
 
 
 def packed(counts: np.ndarray) -> bytes:
-    """Counts by their four low bytes and four high bytes, compressed: most are small."""
-    return zlib.compress((counts & 0xFFFFFFFF).astype("<u4").tobytes() + (counts >> 32).astype("<u4").tobytes(), 1)
+    """Counts with their lowest bytes first, then the next ones, compressed: most are small."""
+    return zlib.compress(counts.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    low, high = np.frombuffer(zlib.decompress(data), "<u4").astype(np.int64).reshape(2, -1)
-    return low + (high << 32)
+    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view("<i8").ravel().astype(np.int64)
 
 
 def _summed(group: pa.Table) -> pa.Table:
     total = np.zeros(1, np.int64)
     for x in group["counts"]:
         total = total + unpacked(x.as_py())
-    return pa.table({"piece": group["piece"].slice(0, 1), "counts": [packed(total)]})
+    return pa.table({"piece": group["piece"].slice(0, 1), "counts": [packed(total)], "every": [sum(group["every"].to_pylist())]})
 
 
 def count_sketch(texts: DataFrame, width: int) -> np.ndarray:
     """Rank of each counter: 0 for usual ones, growing with the logarithm of the count above twice the mean."""
     chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
     slots = 1 << int(np.clip(np.ceil(np.log2(max(chars, 1) / CHARS_PER_SLOT)), 16, 24))
-    parts = texts.mapInArrow(_counters(width, slots), "piece int, counts binary").groupBy("piece").applyInArrow(_summed, "piece int, counts binary").collect()
+    kind = "piece int, counts binary, every long"
+    parts = texts.mapInArrow(_counters(width, slots), kind).groupBy("piece").applyInArrow(_summed, kind).collect()
     if not parts:
         return np.zeros(slots, np.uint8)
     total = np.concatenate([unpacked(r["counts"]) for r in sorted(parts, key=lambda r: r["piece"])])
-    return np.clip(np.floor(np.log2(np.maximum(total, 1) / (2 * total.mean() + 16))) + 1, 0, 63).astype(np.uint8)
+    mean = sum(r["every"] for r in parts) / slots
+    return np.clip(np.floor(np.log2(np.maximum(total, 1) / (2 * mean + 16))) + 1, 0, 63).astype(np.uint8)
 
 
 def distinct_shingles(texts: pa.Array, width: int, ranks: np.ndarray):
@@ -106,8 +115,26 @@ def overlap_of(n, m, percent: int):
     return -(-percent * (n + m) // (100 + percent))
 
 
+def parity_bits(shingles: np.ndarray, first: np.ndarray) -> pa.Array:
+    """Of each set a bitmap of as many bits as members, rounded up to a power of two from 64 on: whether an odd number of
+    members falls on a bit.  Folding a bitmap by exclusive or gives that of half as many bits."""
+    n = np.diff(first)
+    width = np.where(n > 0, 1 << np.maximum(np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64), 6), 0)
+    head = np.concatenate(([0], np.cumsum(width)))
+    row = rows_of(first)
+    place = head[row] + (mix(shingles ^ U(0x3C3C3C3C3C3C3C3C)) & (width[row] - 1).astype(U)).astype(np.int64)
+    odd = (np.bincount(place, minlength=head[-1]) & 1).astype(np.uint8)
+    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((head // 8).astype(np.int32)), pa.py_buffer(np.packbits(odd))])
+
+
+def apart(x: np.ndarray, y: np.ndarray) -> int:
+    """A lower bound of the members that only one of two sets has, from their bitmaps."""
+    short, long = sorted((x, y), key=len)
+    return int(np.bitwise_count(np.bitwise_xor.reduce(long.reshape(-1, len(short)), axis=0) ^ short).sum())
+
+
 def _signatures(width: int, percent: int, ranks: np.ndarray):
-    """Size, class and indexed tokens of each text."""
+    """Size, class, bitmap and indexed tokens of each text."""
     def run(batches):
         for b in batches:
             t = strings(b.column("text"))
@@ -119,8 +146,8 @@ def _signatures(width: int, percent: int, ranks: np.ndarray):
                 pick = np.arange(head[-1]) - np.repeat(head[:-1] - first[:-1], own)
                 yield pa.RecordBatch.from_arrays([
                     *(b.column(c).slice(at, end - at) for c in ("id", "whole")), pa.array(n.astype(np.int64)), pa.array(class_ids(shingles, first)),
-                    pa.ListArray.from_arrays(pa.array(head.astype(np.int32)), pa.array(token[pick].view(np.int64))),
-                ], names=["id", "whole", "n", "class", "tokens"])
+                    parity_bits(shingles, first), pa.ListArray.from_arrays(pa.array(head.astype(np.int32)), pa.array(token[pick].view(np.int64))),
+                ], names=["id", "whole", "n", "class", "bits", "tokens"])
 
     return run
 
@@ -191,6 +218,23 @@ def whole_sets(texts: DataFrame, pairs: DataFrame, classes: DataFrame, width: in
     return written(texts.mapInArrow(run, "class long, members binary, left boolean, right boolean"), "sets")
 
 
+def possible(pairs: DataFrame, every: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) of classes that the bitmaps of their sets do not rule out; no link is lost."""
+    def run(batches):
+        for b in batches:
+            keep = []
+            for both, x, y in zip(b.column("both").to_pylist(), b.column("x"), b.column("y")):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                keep.append((both - apart(x, y)) * (100 + percent) >= 2 * percent * both)
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    own = every.where("n > 0").select("class", "n", "bits").dropDuplicates(["class"])
+    left = pairs.join(own.select(F.col("class").alias("a"), F.col("n").alias("_n"), F.col("bits").alias("x")), "a")
+    both = left.join(own.select(F.col("class").alias("b"), F.col("n").alias("_m"), F.col("bits").alias("y")), "b")
+    with small_batches(pairs.sparkSession):
+        return written(both.select("a", "b", (F.col("_n") + F.col("_m")).alias("both"), "x", "y").mapInArrow(run, "a long, b long"), "pairs")
+
+
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) of classes whose whole sets are alike enough."""
     def run(batches):
@@ -303,25 +347,24 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     id_type = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("whole"))
     ranks = count_sketch(texts, width)
-    every = written(texts.mapInArrow(_signatures(width, percent, ranks), f"id {id_type}, whole long, n long, class long, tokens array<bigint>"), "signatures")
+    every = written(texts.mapInArrow(_signatures(width, percent, ranks), f"id {id_type}, whole long, n long, class long, bits binary, tokens array<bigint>"), "signatures")
     classes = every.where("n > 0").groupBy("class").agg(F.min("id").alias("id"), F.count("*").alias("size"))
-    own = every.where("n > 0").dropDuplicates(["class"])
-    postings = own.select("class", "n", F.size("tokens").alias("indexed"), F.explode("tokens").alias("token"))
-    # the conditions on n and indexed always hold: with them both uses of the classes share one shuffle
-    several = postings.groupBy("token").agg(F.count("*").alias("length"), F.max("n").alias("n"), F.max("indexed").alias("i"))
-    several = several.where("length > 1 AND n > 0 AND i > 0").select("token")
+    # the second condition on n always holds: with it both uses of the classes share one shuffle
+    own = every.where("n > 0").select("class", "n", "tokens").dropDuplicates(["class"]).where("n > 0")
+    postings = own.select("class", "n", F.explode("tokens").alias("token"))
+    several = postings.groupBy("token").agg(F.count("*").alias("length")).where("length > 1").select("token")
     shared = written(postings.join(several, "token"), "postings")
 
     # every list against its most central class: the one with the largest share of its index in lists
-    share = shared.groupBy("class").agg((F.count("*") / F.first("indexed")).alias("share"))
+    size = F.first("n")
+    share = shared.groupBy("class").agg((F.count("*") / (size - F.ceil(percent * size / 100) + 1)).alias("share"))
     central = F.struct(F.col("share"), F.col("class"), F.col("n"))
-    held = shared.join(share, "class")
-    pivots = held.groupBy("token").agg(F.max(central).alias("pivot"))
+    pivots = shared.join(share, "class").groupBy("token").agg(F.max(central).alias("pivot"))
     n, m = F.col("n"), F.col("pivot.n")
     need = F.ceil(percent * (n + m) / (100 + percent)) - F.ceil(percent * F.greatest(n, m) / 100) + 1
-    stars = held.join(pivots, "token").where((F.col("class") != F.col("pivot.class")) & (100 * F.least(n, m) >= percent * F.greatest(n, m)))
+    stars = shared.join(pivots, "token").where((F.col("class") != F.col("pivot.class")) & (100 * F.least(n, m) >= percent * F.greatest(n, m)))
     stars = stars.groupBy(F.col("class").alias("a"), F.col("pivot.class").alias("b")).agg(F.count("*").alias("shared"), F.first(need).alias("need"))
-    stars = written(stars.where("shared >= need").select("a", "b"), "pairs")
+    stars = possible(stars.where("shared >= need").select("a", "b"), every, percent)
 
     links = linked(stars, whole_sets(texts, stars, classes, width), percent)
     labels = components(links)
@@ -342,13 +385,15 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     enough = asks.groupBy("query", "band", "n").agg(F.count("*").alias("lists")).where(F.col("lists") >= _need_in_band(F.col("n"), F.col("band"), percent))
     asks = asks.join(enough.select("query", "band"), ["query", "band"], "left_semi")
     chunk = F.pmod(F.xxhash64("class"), F.lit(-(-longest // CHUNK) or 1))
-    lists = held.groupBy("token", "band", chunk.alias("chunk")).agg(F.collect_list(F.struct("class", "n", "rank.members", "rank.label")).alias("entries"))
+    # rows are dealt once, as the join with the queries wants the lists; they are put together behind that shuffle
+    dealt = held.select("token", "band", "class", F.col("n").cast("int").alias("n"), F.col("rank.members").cast("int").alias("members"), "rank.label").repartition("token", "band")
+    lists = dealt.groupBy("token", "band", chunk.alias("chunk")).agg(F.collect_list(F.struct("class", "n", "members", "label")).alias("entries"))
     # an array a field: half the bytes of an array of rows, and these are sent to each query
     fields = {"classes": ("class", "bigint"), "sizes": ("n", "int"), "ranks": ("members", "int"), "labels": ("label", "bigint")}
     lists = lists.select("token", "band", "chunk", *[F.col("entries")[f].cast(f"array<{kind}>").alias(name) for name, (f, kind) in fields.items()])
     asked = asks.join(lists, ["token", "band"]).drop("token").repartition("query", "band", "chunk").sortWithinPartitions("query", "band", "chunk")
     with small_batches(docs.sparkSession):
-        rest = written(asked.mapInArrow(_search(percent), "a long, b long"), "pairs")
+        rest = possible(asked.mapInArrow(_search(percent), "a long, b long"), every, percent)
     more = linked(rest, whole_sets(texts, rest, classes, width), percent)
 
     labels = components(links.unionByName(more))

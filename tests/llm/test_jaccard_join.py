@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -86,3 +87,43 @@ def test_components_of_a_path_and_a_star(spark):
     out = {r.node: r.label for r in components(df).collect()}
     assert out == {**{i: 0 for i in range(41)}, **{100 + i: 100 for i in range(30)}}
     assert components(df.where(F.lit(False))).collect() == []
+
+
+def test_bitmaps_bound_the_difference_from_below():
+    rng = np.random.default_rng(2)
+    sizes = [0, 1, 2, 63, 64, 65, 300, 700]
+    sets = [rng.choice(2**40, n, replace=False).astype(np.uint64) for n in sizes]
+    sets += [np.concatenate((sets[6][k:], sets[7][:k])) for k in (1, 10, 200)]
+    bits = jaccard_join.parity_bits(np.concatenate(sets), np.concatenate(([0], np.cumsum([len(s) for s in sets]))))
+    maps = [np.frombuffer(b.as_buffer(), np.uint64) for b in bits]
+    for x, a in zip(sets, maps):
+        for y, b in zip(sets, maps):
+            if len(a) and len(b):
+                assert jaccard_join.apart(a, b) <= len(set(x.tolist()) ^ set(y.tolist()))
+    assert jaccard_join.apart(maps[6], maps[8]) == 2 and jaccard_join.apart(maps[6], maps[10]) > 100
+
+
+def test_only_classes_that_may_link_bring_their_whole_sets(spark, monkeypatch):
+    """Texts of equal rare words and unlike rest share what is indexed, and still are not compared whole."""
+    asked = []
+    real = jaccard_join.whole_sets
+    monkeypatch.setattr(jaccard_join, "whole_sets", lambda texts, pairs, *rest: (asked.append(pairs.count()), real(texts, pairs, *rest))[1])
+    rng = random.Random(3)
+    rare = [f"rare{i}" for i in range(60)]
+    rows = [(k, " ".join(rare + [f"v{rng.randrange(9)}x{rng.randrange(9)}" for _ in range(120)])) for k in range(40)]
+    rows += [(100 + k, " ".join(f"own{i}" for i in range(100 + k))) for k in range(2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(similar_components(df, width=1, percent=90)) == brute(rows, 1, 90)
+    assert sum(asked) <= 5
+
+
+def test_sketches_are_sent_in_few_bytes():
+    rng = np.random.default_rng(4)
+    counts = rng.poisson(9, 1 << 16).astype(np.int64)
+    counts[:3] = 1 << 40, 70_000, 300
+    assert (jaccard_join.unpacked(jaccard_join.packed(counts)) == counts).all()
+    texts = pa.array([" ".join(f"w{i}" for i in rng.integers(0, 400_000, 1000)) + " the" * 3000 for _ in range(150)])
+    parts = list(jaccard_join._counters(1, 1 << 14)([pa.RecordBatch.from_pydict({"text": texts})]))[0]
+    held = np.concatenate([jaccard_join.unpacked(x.as_py()) for x in parts["counts"]])
+    assert held.max() >= 450_000 and sum(parts["every"].to_pylist()) == 150 * 4000
+    assert sum(len(x.as_py()) for x in parts["counts"]) < (1 << 14) / 4
