@@ -9,7 +9,7 @@ from .text import TAGS, review_dictionary, review_texts, sql_review_features
 from ..operators import models as M
 from ..operators.featurise import feature_names, row_features
 from ..operators.saved import SignatureAssembler, load_pipeline
-from ..session import shared_dir
+from ..session import shared_dir, written
 from ..sources.landing import keep_parts, read_landed
 from ..streaming import scoring as S
 
@@ -38,7 +38,9 @@ def _scorer(spark, sf):
     """Features and a pipeline that is fitted on the labelled documents, saved and loaded; used alike for batch and stream."""
     dictionary, labels = review_dictionary(spark, sf), table(spark, sf, "labels").select("doc_id", (1.0 + 4 * F.col("quality")).alias("rating"))
     names, path = feature_names(TAGS), shared_dir(spark, "stream-model")
-    train = row_features(review_texts(spark, sf).join(labels, "doc_id"), dictionary, TAGS).select("rating", *names)
+    # features are made where the texts are read, and once for all passes of the fit: only they meet the labels
+    features = row_features(review_texts(spark, sf), dictionary, TAGS).select("doc_id", *names)
+    train = written(features.join(labels, "doc_id").select("rating", *names), "stream-train")
     stages = [SignatureAssembler(names)]
     model = M.fit_assembled(stages[0].transform(train).select("features", "rating"), "rating", "elastic_net", {"l1_ratio": 0.5, "alpha": 0.01})
     PipelineModel([*stages, model]).write().overwrite().save(path)

@@ -111,3 +111,19 @@ def test_a_batch_reads_its_own_rows_only(spark, tmp_path):
     progress = query.lastProgress
     assert progress["numInputRows"] <= 2 * 2 and progress["stateOperators"][0]["numRowsTotal"] == 501
     assert read_landed(spark, target).count() == 501
+
+
+def test_texts_of_the_training_rows_stay_at_their_scan(spark, monkeypatch):
+    """Whatever the size of the labels, no text is shuffled to meet them, and features are made once."""
+    from reviewloom.plans import streams
+
+    fitted, real = [], streams.M.fit_assembled
+    monkeypatch.setattr(streams.M, "fit_assembled", lambda df, *rest: (fitted.append(df), real(df, *rest))[1])
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        streams._scorer(spark, "/root/testdata/sf0.001")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    plan = fitted[0]._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "ArrowEvalPython" not in plan and "stream-train" in plan
