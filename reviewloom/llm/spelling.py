@@ -7,7 +7,8 @@ takes its most frequent near word as its form where that is ``ratio`` times as f
 
 The number of symbols follows the vocabulary, so that a reduced word of nine letters stands for one word or so: work
 per word stays bounded as the vocabulary grows.  Corpus counts combine before the shuffle, roots are found by doubling,
-with a table written in each round.
+with a table written in each round.  Tables of words are never broadcast: Spark takes them for as small as their packed
+files, and a table of neighbourhoods for as small as that of its words.
 
 Odd input: null and empty texts have no words; a null id counts as an empty text; repeated rows count each time; ties
 go to the smallest word in code-point order; texts of any length are read whole; an empty table gives no rows; columns
@@ -85,7 +86,7 @@ def near_words(words: DataFrame, total: int, symbols: int | None = None) -> Data
     asked = asked.select("word", "n", F.xxhash64("key").alias("key"))
     known = short.select(F.xxhash64("short").alias("key"), F.col("word").alias("other"), F.col("n").alias("other_n"))
     # a hash met by chance does no harm: the original strings decide
-    return asked.join(known, "key").where(F.levenshtein("word", "other", 1) == 1).select("word", "n", "other", "other_n")
+    return asked.join(known.hint("merge"), "key").where(F.levenshtein("word", "other", 1) == 1).select("word", "n", "other", "other_n")
 
 
 def roots(forms: DataFrame) -> DataFrame:
@@ -93,7 +94,7 @@ def roots(forms: DataFrame) -> DataFrame:
     ahead = written(forms.select("word", F.col("form").alias("root")), "roots")
     while True:
         step = ahead.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        ahead = written(ahead.join(step, "root", "left").select(
+        ahead = written(ahead.join(step.hint("merge"), "root", "left").select(
             "word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
         if ahead.where("moved").isEmpty():
             return ahead.select("word", "root")
@@ -106,12 +107,12 @@ def variants(words: DataFrame, ratio: int = 5, symbols: int | None = None) -> Da
     best = near_words(words, words.count(), symbols).groupBy("word").agg(
         F.count("*").alias("n_near"), F.min(F.struct((-F.col("other_n")).alias("less"), "other")).alias("best"))
     frequent = -F.col("best.less") >= ratio * F.col("n")
-    rows = words.join(best, "word", "left").select(
+    rows = words.join(best.hint("merge"), "word", "left").select(
         "word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
         F.when(frequent, F.col("best.other")).alias("form"), F.when(frequent, -F.col("best.less")).alias("form_n"))
     rows = written(rows, "variants")
     last = roots(rows.where("form IS NOT NULL").select("word", "form"))
-    return rows.join(last, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return rows.join(last.hint("merge"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
 def variant_groups(

@@ -7,6 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from reviewloom.llm import spelling
 from reviewloom.llm.queries import ORACLES, QUERIES
 from reviewloom.llm.spelling import SYMBOLS, neighbourhood, reduced, roots, symbols_for, variant_groups, variants
 from tests.compare import differences, duck
@@ -115,3 +116,18 @@ def test_roots_of_long_chains(spark):
 def test_symbols_follow_the_vocabulary():
     assert [symbols_for(n) for n in (0, 1000, 10 ** 6, 10 ** 9)] == [4, 4, 5, 10]
     assert SYMBOLS.startswith(string.ascii_lowercase)
+
+
+def test_no_table_of_words_is_broadcast(spark, monkeypatch):
+    """A table that looks small by its file, or before it is exploded, must not reach the driver."""
+    plans, kept = [], spelling.written
+
+    def seen(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return kept(df, name)
+
+    monkeypatch.setattr(spelling, "written", seen)
+    out = variants(spark.createDataFrame(sorted(made_words(4, 60).items()), "word string, n long"), 5)
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert out.count() == 60 and sum("SortMergeJoin" in p for p in plans) >= 4
+    assert not any("Broadcast" in p for p in plans)
