@@ -6,10 +6,10 @@ Phrases of up to ``longest`` words are counted within the pieces of a text, per
 2. Level by level, a phrase is a candidate where its two parts of one word less are (Apriori), and where a hashed
    counter of its occurrences reaches ``least``.  The counters prune only; each pass counts the next level's while it
    lists the candidates of the level before.
-3. Candidates of all levels are dealt by hash to shards of at most ``SHARD`` phrases.  A task per shard builds its trie;
-   one after the other they are broadcast, so what a task holds is bounded however many candidates there are.  numpy
-   takes the states of all positions of a batch one level further at a time and counts the accepting ones; the counts
-   of the tasks are summed.
+3. Candidates of all levels are dealt by their first two words to shards of at most ``SHARD`` phrases on average.  A task
+   per shard builds its trie.  One more pass reads the texts; the first two words of a position name its trie, so each
+   position is looked up once however many tries there are, and a task holds one trie at a time beside some millions of
+   words.  numpy takes the states of all positions one level further at a time; the counts of the tasks are summed.
 
 What frequent words and counters let through is kept as a bitmap of at most 8 MB; when it fills up it only lets more
 through, and joins on the exact sets follow.  Words of the trie are spelt in two digits, which keeps sets of children
@@ -36,6 +36,8 @@ from .words import U, Words, joined, mix, raw, slices, strings
 
 SHARD = 1_000_000  # phrases a trie holds at most on average
 FLUSH = 1_500_000  # entries a task gathers before it hands them on
+HELD = 4_000_000  # words a task gathers before it looks them up
+BLOCK_BITS = 14  # of states whose counts travel together
 MOST_BITS = 26
 _BREAK = np.zeros(256, bool)
 _BREAK[[ord(c) for c in ".,;:!?\n\x0b\x0c\r"]] = True
@@ -351,29 +353,85 @@ def build_tries(candidates: DataFrame, longest: int) -> DataFrame:
     return candidates.groupBy("shard").applyInArrow(build, BUILT)
 
 
-def count_states(texts: DataFrame, trie, sieve_of_words, longest: int) -> DataFrame:
-    """(state, n): how often each state is reached at the end of a word; ``trie`` is broadcast."""
+def _pair(words: np.ndarray) -> np.ndarray:
+    """What decides a phrase's shard: the counter of its first two words."""
+    return _counter(joined(words[:, 0], words[:, 1]))
+
+
+def dealt(found: DataFrame, shards: int) -> DataFrame:
+    """(shard, words) of phrases (words): all phrases that begin with the same two words are in one shard."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts:
+            lists = batch.column("words")
+            flat, at = lists.values.to_numpy().view(U), lists.offsets.to_numpy()[:-1]
+            shard = (_pair(np.stack((flat[at], flat[at + 1]), 1)) % U(shards)).astype(np.int32) if len(at) else np.zeros(0, np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(shard), lists.cast(pa.list_(pa.int64()))], names=["shard", "words"])
+
+    return found.select("words").mapInArrow(run, "shard int, words array<long>")
+
+
+def count_states(texts: DataFrame, tries: dict, sieves, longest: int, shards: int) -> DataFrame:
+    """(shard, state, n): how often each state is reached at the end of a word after the first, from one pass over the texts.
+
+    ``tries`` holds a broadcast per shard, ``sieves`` is a broadcast list for the levels 1 and 2.  The first two words of a
+    position name the one trie that it is looked up in, so the work does not grow with the number of shards; a task
+    gathers ``HELD`` words and takes one trie after the other for them.  Counts travel as lists, one for a block of states.
+    """
+
+    def count(h: np.ndarray, joins: np.ndarray) -> Iterator[pa.RecordBatch]:
+        ok = passes(sieves.value[0], h)
+        at = np.flatnonzero(ok[:-1] & joins[:-1] & ok[1:])
+        pair = _pair(np.stack((h[at], h[at + 1]), 1))
+        some = passes(sieves.value[1], pair)
+        at, shard = at[some], (pair[some] % U(shards)).astype(np.int32)
+        order = np.argsort(shard, kind="stable")
+        ends = np.searchsorted(shard[order], np.arange(shards + 1))
+        for own, broadcast in tries.items():
+            p = at[order[ends[own]:ends[own + 1]]]
+            if not len(p):
+                continue
+            trie = Trie.unpacked(broadcast.value)
+            state, reached = np.zeros(len(p), np.int64), []
+            for k in range(longest):  # every position's state one word further, the dead ones left behind
+                if k:
+                    on = joins[p + k - 1]
+                    p, state = p[on], state[on]
+                rank = trie.spell(h[p + k])
+                on = rank >= 0
+                p, state = p[on], trie.step(state[on], rank[on])
+                p, state = p[state != 1], state[state != 1]
+                if k:
+                    reached.append(state)
+            state, n = np.unique(np.concatenate(reached), return_counts=True)
+            if hasattr(broadcast, "_value"):  # a task holds one trie at a time
+                del broadcast._value, trie
+            block, first = np.unique(state >> BLOCK_BITS, return_index=True)
+            off = pa.array(np.append(first, len(state)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(off, pa.array(x)) for x in (state.astype(np.int32), n.astype(np.int64))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(block), own, np.int32)), pa.array(block), *lists], names=["shard", "block", "states", "counts"])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = Trie.unpacked(trie.value)
-        total = np.zeros(len(held.check), np.int64)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for words in _batches(parts):
-            rank = np.full(len(words.hash), -1)
-            known = np.flatnonzero(passes(sieve_of_words.value, words.hash))
-            rank[known] = held.spell(words.hash[known])
-            at = np.flatnonzero(rank >= 0)
-            state = held.step(np.zeros(len(at), np.int64), rank[at])
-            for k in range(1, longest):  # every position's state one word further, the dead ones left behind
-                on = (state != 1) & words.joins[at + k - 1]
-                at, state = at[on], state[on]
-                on = rank[at + k] >= 0
-                at, state = at[on], held.step(state[on], rank[at[on] + k])
-                total += np.bincount(state, minlength=len(total))
-        total[1] = 0
+            held.append((words.hash, words.joins))
+            if sum(len(h) for h, _ in held) > HELD:
+                yield from count(*map(np.concatenate, zip(*held)))
+                held.clear()
+        if held:
+            yield from count(*map(np.concatenate, zip(*held)))
+
+    def summed(table: pa.Table) -> pa.Table:
+        low = table.column("block")[0].as_py() << BLOCK_BITS
+        at, n = (np.concatenate([x.flatten().to_numpy() for x in table.column(c).chunks]) for c in ("states", "counts"))
+        total = np.zeros(1 << BLOCK_BITS, np.int64)
+        np.add.at(total, at - low, n)
         some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["state", "n"])
+        shard = pa.array(np.full(len(some), table.column("shard")[0].as_py(), np.int32))
+        return pa.table([shard, pa.array(some + low), pa.array(total[some])], names=["shard", "state", "n"])
 
-    return texts.mapInArrow(run, "state long, n long").groupBy("state").agg(F.sum("n").alias("n"))
+    packed = texts.mapInArrow(run, "shard int, block long, states array<int>, counts array<long>")
+    return packed.groupBy("shard", "block").applyInArrow(summed, "shard int, state long, n long")
 
 
 def phrase_counts(texts: DataFrame, words: DataFrame, longest: int, least: int) -> DataFrame:
@@ -393,19 +451,19 @@ def phrase_counts(texts: DataFrame, words: DataFrame, longest: int, least: int)
         return words.select(F.array("h").alias("words"), "n").limit(0)
     found = written(found, "candidates")
     shards = max(1, math.ceil(found.count() / SHARD))
-    built = written(build_tries(found.select(F.pmod(F.hash("words"), F.lit(shards)).alias("shard"), "words"), longest), "tries")
-    counted = None
+    built = written(build_tries(dealt(found, shards), longest), "tries")
+    tries = {}
     for shard in range(shards):
         row = built.where((F.col("shard") == shard) & F.col("trie").isNotNull()).select("trie").first()
-        if row is None:
-            continue
-        trie = context.broadcast([bytes(x) for x in row.trie])
-        own = built.where((F.col("shard") == shard) & F.col("words").isNotNull())
-        counts = count_states(texts, trie, context.broadcast(sieves[0]), longest).where(F.col("n") >= least)
-        part = written(own.join(counts, "state").select("words", "n"), "phrases")
-        trie.unpersist()
-        counted = part if counted is None else counted.unionByName(part)
-    return counted if counted is not None else found.select("words", F.lit(0).cast("long").alias("n")).limit(0)
+        if row is not None:
+            tries[shard] = context.broadcast([bytes(x) for x in row.trie])
+    if not tries:
+        return found.select("words", F.lit(0).cast("long").alias("n")).limit(0)
+    counts = count_states(texts, tries, context.broadcast(sieves[:2]), longest, shards).where(F.col("n") >= least)
+    counted = written(built.where(F.col("words").isNotNull()).join(counts, ["shard", "state"]).select("words", "n"), "phrases")
+    for trie in tries.values():
+        trie.destroy()
+    return counted
 
 
 def scored(counts: DataFrame, words: DataFrame) -> DataFrame:

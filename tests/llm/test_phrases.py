@@ -77,6 +77,17 @@ def test_many_shards_and_small_flushes_change_nothing(spark, monkeypatch):
     assert got(collocations(df, least=3)) == brute(rows, 3, 3, 50, 2000)
 
 
+def test_texts_are_read_once_for_all_tries(spark, monkeypatch):
+    """The number of tries grows with the data; the passes over the texts must not."""
+    rows = made(11, 200)
+    calls, kept = [], phrases.count_states
+    monkeypatch.setattr(phrases, "count_states", lambda *a: (calls.append(a), kept(*a))[1])
+    monkeypatch.setattr(phrases, "SHARD", 7)
+    monkeypatch.setattr(phrases, "HELD", 50)
+    found = got(collocations(spark.createDataFrame(rows, "lang string, text string").repartition(2), least=3))
+    assert found == brute(rows, 3, 3, 50, 2000) and len(calls) == 1 and len(calls[0][1]) > 9
+
+
 @pytest.mark.parametrize("rows", [[], [(None, None)], [("en", "")], [("en", "one two one two")]])
 def test_nothing_to_find(spark, rows):
     assert got(collocations(spark.createDataFrame(rows, "lang string, text string"))) == []
