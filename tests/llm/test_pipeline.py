@@ -46,7 +46,7 @@ def test_toxicity_keeps_clean_documents(spark, steps):
 
 
 def test_line_dedup(steps):
-    want = without_lines(rows(steps[1], "doc_id", "text", "source"), 10)
+    want = without_lines(rows(steps[1], "doc_id", "text", "source"), 10, 10)
     assert sorted(rows(steps[2], "doc_id", "text"), key=str) == [w[:2] for w in want]
     assert all(n == len(t) for t, n in rows(steps[2], "text", "n_chars"))
 
